@@ -165,6 +165,7 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, limit: int =
     if not n:
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none
+    data = _LOWER[data]
     inside = kind[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -176,7 +177,7 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, limit: int =
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     if not len(starts):
         return np.zeros(0, np.uint64), starts, ends
-    return span_hashes(_LOWER[data], starts, ends, limit), starts, ends
+    return span_hashes(data, starts, ends, limit), starts, ends
 
 
 def per_text(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:

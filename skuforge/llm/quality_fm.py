@@ -52,6 +52,7 @@ def features(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.nd
     np.maximum.at(top, at, counts)
     twice = np.zeros(len(data), bool)
     twice[1:] = (kind[1:] == 3) & (kind[:-1] == 3)
+    twice[offsets[:-1][offsets[:-1] < len(data)]] = False
     mark = np.append(0, np.cumsum(kind == 3))
     marked = np.bincount(text, (mark[np.maximum(ends - 1, 0)] - mark[starts]) > 0, n) if len(starts) else np.zeros(n)
     share = lambda k: _per_text(kind == k, offsets) / size

@@ -92,7 +92,8 @@ def analyse(docs: DataFrame, work: common.Workspace, *, id_col: str = "doc_id",
     pairs = work.save(pairs.filter(F.col("texts") >= support), "pairs")
     # n(t) of all words: lower-cased, each once per document
     each = keyed.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    terms = each.groupBy("term").agg(F.count("*").alias("n_t")).join(pairs.select("term").distinct(), "term", "left_semi")
+    # an inner join stays above the counting, so that words are counted before the shuffle whatever the size of pairs
+    terms = each.groupBy("term").agg(F.count("*").alias("n_t"))
     n = first.agg(F.count("*").alias("n"))
     share = (F.log2(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e")))) / F.nullif(F.log2(F.col("n") / F.col("n_e")), F.lit(0.0))
     telling = pairs.join(terms, "term").join(entities, "entity").crossJoin(F.broadcast(n)).filter(share >= threshold).select("term", "entity")

@@ -8,9 +8,9 @@ from skuforge.llm.topk_pivots import exact_topk
 NAME = "op8_topk_pivots"
 SQL = """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
     FROM embeddings
-    WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x)))
+    WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
 ), e AS (
     SELECT vec_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM v
 ), s AS (

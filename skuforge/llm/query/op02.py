@@ -20,9 +20,9 @@ WITH RECURSIVE d AS (
     FROM e a JOIN e b ON a.h = b.h AND a.id < b.id AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n GROUP BY 1, 2
 ), l AS (
     SELECT a, b FROM i WHERE 100 * c >= 90 * (na + nb - c)
-), both AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+), sym AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 reach(id, to_id) AS (
-    SELECT id, id FROM r UNION SELECT reach.id, both.b FROM reach JOIN both ON both.a = reach.to_id
+    SELECT id, id FROM r UNION SELECT reach.id, sym.b FROM reach JOIN sym ON sym.a = reach.to_id
 ), c AS (
     SELECT id, min(to_id) AS component FROM reach GROUP BY 1
 )

@@ -119,7 +119,7 @@ def json_salvage(c: Column) -> Column:
     fenced = F.regexp_extract(c, r"```(?:json)?\s*([\s\S]*?)```", 1)
     loose = F.regexp_extract(c, r"([\[{][\s\S]*[\]}])", 1)
     best = F.when(F.trim(fenced) != "", fenced).otherwise(loose)
-    return F.when(F.try_parse_json(best).isNotNull(), F.trim(best))
+    return F.when(F.try_parse_json(best).isNotNull(), F.regexp_replace(best, r"^\s+|\s+$", ""))
 
 
 def retry_hint(message: Column) -> Column:

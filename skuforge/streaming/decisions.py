@@ -24,10 +24,10 @@ def _window(name: str, length: str, slide: str | None):
     return F.session_window("ts", length).alias(name) if slide == "session" else F.window("ts", length, slide or length).alias(name)
 
 
-def agreement(rows: DataFrame, length: str = "1 day", slide: str | None = None, late: str = "1 hour") -> DataFrame:
+def agreement(rows: DataFrame, length: str = "1 day", slide: str | None = None, late: str | None = None) -> DataFrame:
     """window_start, reviewed, approved in tumbling, sliding (slide) or session (slide='session') windows. Works on a stream
-    and on a table."""
-    rows = rows.withWatermark("ts", late) if rows.isStreaming else rows
+    and on a table; late sets a watermark where the stream has none yet."""
+    rows = rows.withWatermark("ts", late) if late else rows
     g = rows.groupBy(_window("w", length, slide)).agg(F.count("*").alias("reviewed"), F.count(F.when(F.col("decision") == "approved", 1)).alias("approved"))
     return g.select(F.col("w.start").alias("window_start"), "reviewed", "approved")
 

@@ -171,7 +171,7 @@ def encode(docs: DataFrame, rank_path: str, *, text_col: str = "text", ids_col:
 
     from pyspark.sql import types as T
 
-    return df.mapInArrow(run, T.StructType([*fields, T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(n_col, T.LongType())]))
+    return df.transform(common.arrow, run, T.StructType([*fields, T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(n_col, T.LongType())]))
 
 
 def decode(docs: DataFrame, rank_path: str, *, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
@@ -189,7 +189,7 @@ def decode(docs: DataFrame, rank_path: str, *, ids_col: str = "token_ids", text_
             texts = [None if x is None else codec.decode_bytes(np.array(x, np.int64)).decode("utf-8", "replace") for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*keep, text_col])
 
-    return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), T.StructField(text_col, T.StringType())]))
+    return df.transform(common.arrow, run, T.StructType([*(df.schema[c] for c in keep), T.StructField(text_col, T.StringType())]))
 
 
 def round_trip(docs: DataFrame, rank_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,4 +215,4 @@ def round_trip(docs: DataFrame, rank_path: str, *, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(made, pa.string()), pa.array(back, pa.string()), pa.array(same, pa.bool_())], ["id", "n_tokens", "ids_sha256", "decoded_sha256", "intact"])
 
     out = f"id {df.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, intact boolean"
-    return df.mapInArrow(run, out).withColumnRenamed("id", id_col)
+    return df.transform(common.arrow, run, out).withColumnRenamed("id", id_col)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -69,6 +71,35 @@ class _Saved:
         return getattr(df, "_skuforge_folder", None)
 
 
+# ---- Python on Arrow batches ---------------------------------------------------------------------------------------------
+
+#: Rows of an Arrow batch: with texts of some KB, a batch of Spark's 10,000 rows would be tens of MB in each of three places.
+BATCH_ROWS = 1000
+
+
+def arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow (run, schema) in batches of BATCH_ROWS at most; a worker gives its free memory back after each task,
+    since idle workers live on beside those of the next stage."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(bounded, schema)
+
+
+def release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 # ---- columns whose names may clash -------------------------------------------------------------------------------------
 
 
@@ -203,6 +234,6 @@ def sum_arrays(rows: DataFrame, dtype: str, fan_in: int = 16) -> np.ndarray | No
     n = rows.rdd.getNumPartitions()
     while n > 1:
         n = -(-n // fan_in)
-        rows = rows.repartition(n).mapInArrow(add, "part binary")
-    parts = [np.frombuffer(bytes(r[0]), dtype) for r in rows.mapInArrow(add, "part binary").collect()]
+        rows = rows.repartition(n).transform(arrow, add, "part binary")
+    parts = [np.frombuffer(bytes(r[0]), dtype) for r in rows.transform(arrow, add, "part binary").collect()]
     return sum(parts[1:], parts[0].copy()) if parts else None

@@ -198,7 +198,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_
     for k, block in enumerate(_blocks(benchmark, item_col, item_text_col, block_words) or [[]]):
         shared = sc.broadcast(block)
         schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(hit_col, HIT)])
-        df = df.mapInArrow(_pass(shared, window, at, len(keep), k > 0, [*keep, hit_col]), schema)
+        df = df.transform(common.arrow, _pass(shared, window, at, len(keep), k > 0, [*keep, hit_col]), schema)
     return df
 
 
@@ -265,7 +265,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", wind
             out[at] = pa.array(texts, out[at].type)
             yield pa.RecordBatch.from_arrays(out, columns)
 
-    return rest.mapInArrow(cut, T.StructType([rest.schema[c] for c in columns]))
+    return rest.transform(common.arrow, cut, T.StructType([rest.schema[c] for c in columns]))
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

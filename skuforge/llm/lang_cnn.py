@@ -155,7 +155,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
                 keep = rank % step == 0
                 yield pa.RecordBatch.from_arrays([pa.array([langs[lo + t] for t in text[keep]], pa.string()), pa.array([w.tobytes() for w in x[keep]], pa.binary())], ["lang", "window"])
 
-    data = picked.mapInArrow(cut, "lang string, window binary").orderBy("lang", "window").toLocalIterator()
+    data = picked.transform(common.arrow, cut, "lang string, window binary").orderBy("lang", "window").toLocalIterator()
     pairs = [(r["lang"], bytes(r["window"])) for r in data]
     if not pairs:
         return None
@@ -200,4 +200,4 @@ def predict(docs: DataFrame, model: ByteCNN | None, *, id_col: str = "doc_id", t
             langs[no], score[no] = "und", 0.0
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(langs, pa.string()), pa.array(score, pa.float64())], names)
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields[:n], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return df.transform(common.arrow, run, T.StructType([*df.schema.fields[:n], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

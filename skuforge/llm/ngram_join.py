@@ -92,7 +92,7 @@ def _sketch(texts: DataFrame, n: int) -> np.ndarray:
                     total += np.bincount((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
         yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.uint32).tobytes()], pa.binary())], ["part"])
 
-    got = common.sum_arrays(texts.mapInArrow(count, "part binary"), "uint32")
+    got = common.sum_arrays(texts.transform(common.arrow, count, "part binary"), "uint32")
     return got if got is not None else np.zeros(1 << SKETCH_BITS, np.uint32)
 
 
@@ -180,7 +180,7 @@ def links(docs: DataFrame, work: common.Workspace, *, id_col: str, text_col: str
                     parts.append(np.bincount((s >> np.uint64(64 - int(np.log2(PARTS)))).astype(np.int64), minlength=PARTS).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), _lists(prefix, pa.int64()), _lists(parts, pa.int32())], ["id", "n", "key", "prefix", "parts"])
 
-    base = work.save(df.mapInArrow(describe, f"id {kind}, n long, key binary, prefix array<long>, parts array<int>"), "sets")
+    base = work.save(df.transform(common.arrow, describe, f"id {kind}, n long, key binary, prefix array<long>, parts array<int>"), "sets")
     nodes = base.filter("n > 0").groupBy("key").agg(F.min(F.struct("n", "prefix", "parts")).alias("s"), F.min("id").alias("id")).select("key", "id", "s.*")
     nodes = work.save(nodes, "nodes")
     postings = nodes.select("key", "n", F.posexplode("prefix").alias("pos", "h"))
@@ -251,7 +251,7 @@ def _full(df: DataFrame, nodes: DataFrame, n: int, num: int, den: int) -> DataFr
             there[[place(k) for k in batch.column(0).to_pylist()]] = True
         yield pa.RecordBatch.from_arrays([pa.array([there.tobytes()], pa.binary())], ["part"])
 
-    got = common.sum_arrays(nodes.select("key").coalesce(32).mapInArrow(mark, "part binary"), "?")
+    got = common.sum_arrays(nodes.select("key").coalesce(32).transform(common.arrow, mark, "part binary"), "?")
     shared = df.sparkSession.sparkContext.broadcast(np.packbits(got) if got is not None else np.zeros(bits // 8, np.uint8))
     kind = df.schema["id"].dataType.simpleString()
 
@@ -269,7 +269,7 @@ def _full(df: DataFrame, nodes: DataFrame, n: int, num: int, den: int) -> DataFr
                             tokens.append(_signed(s))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(keys, pa.binary()), _lists(tokens, pa.int64())], ["id", "key", "tokens"])
 
-    made = df.mapInArrow(take, f"id {kind}, key binary, tokens array<long>")
+    made = df.transform(common.arrow, take, f"id {kind}, key binary, tokens array<long>")
     # copies of a set: the row with the node's id stands for it
     one = made.join(nodes.select("key", F.col("id").alias("node_id")), "key").filter(F.col("id").eqNullSafe(F.col("node_id")))
     return one.groupBy("key").agg(F.min("tokens").alias("tokens"))

@@ -133,7 +133,7 @@ def _featured(docs: DataFrame, buckets: int) -> DataFrame:
                 rows += [(bucket[a:b].astype(np.int32), value[a:b].astype(np.float32), s) for a, b, s in zip(cut[:-1], cut[1:], stats, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], pa.list_(t)) for i, t in enumerate((pa.int32(), pa.float32(), pa.float64())))], ["label", "buckets", "values", "statistics"])
 
-    return docs.mapInArrow(run, "label int, buckets array<int>, values array<float>, statistics array<double>")
+    return docs.transform(common.arrow, run, "label int, buckets array<int>, values array<float>, statistics array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 6000, buckets: int = 1 << 15, factors: int = 4) -> FactorisationMachine:
@@ -164,7 +164,7 @@ def scores(docs: DataFrame, model: FactorisationMachine, *, text_col: str = "tex
             out = [shared.value.score(*features(data, offsets, shared.value.buckets)) for _, _, data, offsets in common.slices(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else [], pa.float64())], [*keep, score_col])
 
-    return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), T.StructField(score_col, T.DoubleType())]))
+    return df.transform(common.arrow, run, T.StructType([*(df.schema[c] for c in keep), T.StructField(score_col, T.DoubleType())]))
 
 
 def held_out(id_col: str, folds: int, fold: int):

@@ -173,4 +173,4 @@ def token_counts(
             n = pa.array(tokens, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), n, pa.array([t > limit for t in tokens]), pa.array(grown, pa.int64())], ["id", "n_bytes", "n_tokens", "over_limit", "n_widened"])
 
-    return df.mapInArrow(run, f"id {id_type}, n_bytes long, n_tokens long, over_limit boolean, n_widened long").withColumnRenamed("id", id_col)
+    return df.transform(common.arrow, run, f"id {id_type}, n_bytes long, n_tokens long, over_limit boolean, n_widened long").withColumnRenamed("id", id_col)

@@ -141,7 +141,7 @@ def write_arc(pages: DataFrame, folder: str, *, key_col: str = "page_id", url_co
                 yield from out.add((arc_record(version, url or "", document),), len(document))
         yield from out.rest()
 
-    df.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(folder)
+    df.transform(common.arrow, run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(folder)
 
 
 class _Batches:
@@ -188,7 +188,7 @@ def _files(spark: SparkSession, folder: str, parse: Callable[[bytes], Iterator[t
                     yield from out.add(row, sum(len(x) for x in row if isinstance(x, bytes)) + 200)
         yield from out.rest()
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content").mapInArrow(run, ddl)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content").transform(common.arrow, run, ddl)
 
 
 def arc_records(spark: SparkSession, folder: str, *, payloads: bool = True) -> DataFrame:
@@ -277,7 +277,7 @@ def convert(spark: SparkSession, arc_folder: str, warc_folder: str, work: common
                 yield from out.add((warc_record(kind, block, fields, record_id(key), iso_date(r["date"])),), len(block) + 500)
         yield from out.rest()
 
-    records.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(warc_folder)
+    records.transform(common.arrow, run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(warc_folder)
 
 
 def warc_records(spark: SparkSession, folder: str, *, payloads: bool = True) -> DataFrame:

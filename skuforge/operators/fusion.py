@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,12 +45,12 @@ def union_of_lists(candidates: DataFrame, value: str = "value") -> DataFrame:
     return g.select("record_id", "key", items.alias("items"), F.least(F.lit(15), 6 * (F.size("all") - 1)).alias("bonus_percent"))
 
 
-def resolve(candidates: DataFrame) -> DataFrame:
+def resolve(candidates: DataFrame, agree: Callable[[Column, Column], Column] = numbers_agree, numeric: bool = True) -> DataFrame:
     """One row for each record and key: the value of the best candidate and how sure it is.
 
     With a = other source types that agree, confidence rises by 0.06 each, 0.15 at most. If the best candidate of another
     value differs: a lead of 20 or more in precedence keeps the top at 0.85 at most (SOURCE_CONFLICT); a ratio near 10, 100
-    or 1000 is UNIT_SUSPECT at 0.5 at most; else SOURCE_CONFLICT at 0.55 at most. A person's value stands. One shuffle: the
+    or 1000 is UNIT_SUSPECT at 0.5 at most (numeric values); else SOURCE_CONFLICT at 0.55 at most. A person's value stands. One shuffle: the
     best candidate comes from a max aggregate, and the rest from one pass over the group's own array of structs.
     """
     rows = candidates.withColumn("precedence", precedence())
@@ -56,12 +58,13 @@ def resolve(candidates: DataFrame) -> DataFrame:
     g = rows.groupBy("record_id", "key").agg(F.array_sort(F.collect_list(one)).alias("all"))
     top = F.get("all", 0)
     g = g.withColumn("top", top)
-    agree = F.filter("all", lambda x: numbers_agree(x["value"], F.col("top.value")))
-    others = F.filter("all", lambda x: ~numbers_agree(x["value"], F.col("top.value")))
-    g = g.withColumn("support", F.size(F.array_distinct(F.filter(F.transform(agree, lambda x: x["source"]), lambda s: s != F.col("top.source"))))).withColumn("rival", F.get(others, 0)).withColumn("alternatives", F.size(others))
-    big = F.greatest(F.abs("rival.value"), F.abs("top.value")) / F.nullif(F.least(F.abs("rival.value"), F.abs("top.value")), F.lit(0.0))
+    same = F.filter("all", lambda x: agree(x["value"], F.col("top.value")))
+    others = F.filter("all", lambda x: ~agree(x["value"], F.col("top.value")))
+    g = g.withColumn("support", F.size(F.array_distinct(F.filter(F.transform(same, lambda x: x["source"]), lambda s: s != F.col("top.source"))))).withColumn("rival", F.get(others, 0)).withColumn("alternatives", F.size(others))
+    a, b = F.abs(F.col("rival.value").try_cast("double")), F.abs(F.col("top.value").try_cast("double"))
+    big = F.greatest(a, b) / F.nullif(F.least(a, b), F.lit(0.0))
     unit = F.lit(False)
-    for scale in (10.0, 100.0, 1000.0):
+    for scale in (10.0, 100.0, 1000.0) if numeric else ():
         unit = unit | (F.abs(big - scale) <= 0.02 * scale)
     lead = F.col("rival.p") - F.col("top.p")
     base = F.least(F.lit(1.0), -F.col("top.c") + F.least(F.lit(15), F.col("support") * 6) / 100.0)

@@ -1,6 +1,6 @@
 """The whole batch: distributor rows in, scored records and a delivery out. Every step is DataFrame to DataFrame.
 
-Inference works on a snapshot taken before any filling, so the result doesn't depend on the order of rows.
+Candidates, categories and fields are written and read again, which keeps plans short. Inference works on a snapshot taken before any filling, so the result doesn't depend on the order of rows.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from skuforge.functions import dictionary as D
 from skuforge.operators import enrich, export, fusion, identity, ingest, mining, review, score
+from skuforge.sources import tables
 
 NO_ISSUES = {"n_error": 0, "n_warning": 0, "n_info": 0}
 
@@ -38,7 +39,8 @@ def run_batch(rows: DataFrame, *, id_col: str = "row_idx", sku: str = "mfg_part_
     mined = mining.mine(rows.select(F.col(id_col).alias("record_id"), F.col(text).alias("text")), "record_id", "text")
     mined = mined.select("record_id", "key", "value", "unit", "method", F.lit("input").alias("source"), "confidence", (F.col("stage") + 1).alias("seq"))
     given = records.filter("given_brand is not null").select("record_id", F.lit("brand").alias("key"), F.col("given_brand").alias("value"), F.lit("").alias("unit"), F.lit("input_field").alias("method"), F.lit("input").alias("source"), F.lit(0.95).alias("confidence"), F.lit(0).alias("seq"))
-    candidates = given.unionByName(mined)
+    # written, as the next steps read it more than once and its expressions are long
+    candidates = tables.save(given.unionByName(mined), "candidates")
     best = fusion.resolve(candidates, fusion.texts_agree, numeric=False)
     facts = candidates.groupBy("record_id", "key", "value").agg(F.max("unit").alias("unit"), F.min("method").alias("method"))
     fields = best.join(facts, ["record_id", "key", "value"]).select("record_id", "key", "value", "unit", "method", "source", "confidence", F.when(F.col("issue") == "", 0).otherwise(1).alias("n_warning"))
@@ -49,13 +51,13 @@ def run_batch(rows: DataFrame, *, id_col: str = "row_idx", sku: str = "mfg_part_
     cell = lambda key, v, c: F.struct(F.lit(key).alias("key"), F.col(v).alias("value"), F.lit("").alias("unit"), F.col(f"{v}_method").alias("method"), F.lit("input").alias("source"), F.col(c).alias("confidence"), F.lit(0).alias("n_warning"))
     found = resolved.select("record_id", F.inline(F.array(cell("brand", "brand", "brand_confidence"), cell("manufacturer", "manufacturer", "manufacturer_confidence")))).filter("value is not null")
     fields = fields.unionByName(found.join(fields.select("record_id", "key"), ["record_id", "key"], "left_anti"))
-    fields = fields.withColumn("n_error", F.lit(0)).withColumn("n_info", F.lit(0))
+    fields = tables.save(fields.withColumn("n_error", F.lit(0)).withColumn("n_info", F.lit(0)), "fields")
 
-    cats = records.select("record_id", "category").join(fields.filter("key = 'brand'").select("record_id", F.col("value").alias("brand")), "record_id", "left")
+    cats = tables.save(records.select("record_id", "category").join(fields.filter("key = 'brand'").select("record_id", F.col("value").alias("brand")), "record_id", "left"), "categories")
     before = score.overall(cats, fields.filter("method = 'input_field'"), specs)
     known = fields if peers is None else fields.unionByName(peers.select(*fields.columns))
     filled = enrich.fill_from_peers(cats, known, specs).select("record_id", "key", "value", F.lit("").alias("unit"), F.lit("kg_infer").alias("method"), F.lit("catalog_sibling").alias("source"), "confidence", F.lit(0).alias("n_warning"), F.lit(0).alias("n_error"), F.lit(1).alias("n_info"))
-    fields = fields.unionByName(filled)
+    fields = tables.save(fields.unionByName(filled), "filled")
     routed = review.route(fields)
     after = score.overall(cats, fields, specs)
     delivered = export.slot_columns(export.slots(fields, specs, cats, slots), slots)

@@ -180,6 +180,7 @@ def links(docs: DataFrame, work: common.Workspace, *, id_col: str, text_col: str
                     parts.append(np.bincount((s >> np.uint64(64 - int(np.log2(PARTS)))).astype(np.int64), minlength=PARTS).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), _lists(prefix, pa.int64()), _lists(parts, pa.int32())], ["id", "n", "key", "prefix", "parts"])
 
+    common.release()  # the driver's share of the sketch
     base = work.save(df.transform(common.arrow, describe, f"id {kind}, n long, key binary, prefix array<long>, parts array<int>"), "sets")
     nodes = base.filter("n > 0").groupBy("key").agg(F.min(F.struct("n", "prefix", "parts")).alias("s"), F.min("id").alias("id")).select("key", "id", "s.*")
     nodes = work.save(nodes, "nodes")

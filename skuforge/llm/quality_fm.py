@@ -122,7 +122,7 @@ class FactorisationMachine:
 
 
 def _featured(docs: DataFrame, buckets: int) -> DataFrame:
-    """docs(label, text) as label, buckets, values, statistics."""
+    """docs(label, text) as label and the bytes of buckets (int32), values (float32) and statistics (float64)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,10 +130,10 @@ def _featured(docs: DataFrame, buckets: int) -> DataFrame:
             for lo, hi, data, offsets in common.slices(batch.column(1)):
                 at, bucket, value, stats = features(data, offsets, buckets)
                 cut = np.searchsorted(at, np.arange(hi - lo + 1))
-                rows += [(bucket[a:b].astype(np.int32), value[a:b].astype(np.float32), s) for a, b, s in zip(cut[:-1], cut[1:], stats, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], pa.list_(t)) for i, t in enumerate((pa.int32(), pa.float32(), pa.float64())))], ["label", "buckets", "values", "statistics"])
+                rows += [(bucket[a:b].astype(np.int32).tobytes(), value[a:b].astype(np.float32).tobytes(), s.tobytes()) for a, b, s in zip(cut[:-1], cut[1:], stats, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(3))], ["label", "buckets", "values", "statistics"])
 
-    return docs.transform(common.arrow, run, "label int, buckets array<int>, values array<float>, statistics array<double>")
+    return docs.transform(common.arrow, run, "label int, buckets binary, values binary, statistics binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 6000, buckets: int = 1 << 15, factors: int = 4) -> FactorisationMachine:
@@ -145,9 +145,13 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     some = known.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(sample_rows).select("label_id", F.col("label").cast("int").alias("label"))
     rows = common.only(docs, id=id_col, text=text_col).join(F.broadcast(some), F.col("id") == F.col("label_id")).select("id", "label", "text")
     rows = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("label", "text")
-    data = [(np.array(r["buckets"], np.int64), np.array(r["values"]), np.array(r["statistics"]), r["label"]) for r in _featured(rows, buckets).toLocalIterator()]
+    data = [(np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["values"], np.float32), np.frombuffer(r["statistics"]), r["label"]) for r in _featured(rows, buckets).toLocalIterator()]
     model = FactorisationMachine(buckets, factors)
-    return model.fit(data) if data else model
+    if data:
+        model.fit(data)
+    del data
+    common.release()
+    return model
 
 
 def scores(docs: DataFrame, model: FactorisationMachine, *, text_col: str = "text", score_col: str = "score") -> DataFrame:

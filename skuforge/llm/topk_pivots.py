@@ -7,14 +7,15 @@ evaluated in the order of their bounds until the next bound is below the k-th be
 id, so equal bounds are still evaluated. Scores are exact integers.
 
 Rows and queries meet in blocks: every block of queries (a stated set) with every block of rows, at most so many vectors
-each. A query's best k of each block of rows are merged in a second step, k to a block, again k at most after each merge.
+each. A query's best k of each block of rows are merged by rank: each task keeps k of a query at most before the shuffle, and the
+rest is a sort that can spill.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skuforge.llm import common
@@ -114,6 +115,6 @@ def exact_topk(
 
     out = "query_id long, vec_id long, score long"
     part = rows.unionByName(asked).groupBy("rb", "qb", "dims").applyInPandas(search, out)
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
-    merged = part.groupBy("query_id").agg(best.alias("b")).select("query_id", F.posexplode("b"))
-    return merged.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.vec_id").alias("vec_id"), (-F.col("col.s")).alias("score"))
+    over = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    merged = part.withColumn("rank", F.row_number().over(over)).filter(F.col("rank") <= k)
+    return merged.select("query_id", "rank", "vec_id", "score")

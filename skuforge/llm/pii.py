@@ -5,7 +5,8 @@ a word of three letters or more. Over the whole corpus, with N documents, n(e) w
 with the term near the entity (within `window` characters on either side), the term tells of the entity
 PMI(e; t) = log2(n(t, e) N / (n(t) n(e))) bits out of IC(e) = log2(N / n(e)), all there is to tell. The share PMI / IC is 1
 where every document with the term has the entity. Terms with a share of at least `threshold`, seen with the entity in
-`support` different texts or more, are disclosing: near the entity they become spans of kind `term`.
+`support` different texts or more (in all of its texts, where the entity has fewer), are disclosing: near the entity they
+become spans of kind `term`.
 
 sanitise() replaces base spans by their kind and disclosing terms by a generalisation of them, or removes them.
 
@@ -86,17 +87,20 @@ def analyse(docs: DataFrame, work: common.Workspace, *, id_col: str = "doc_id",
     first = work.save(first.select("key", "base", F.when(F.size("base") > 0, _near(F.col("text"), F.col("base"), window)).alias("near")), "found")
     seen = first.filter(F.size("base") > 0)
     near = seen.select("key", F.explode("near").alias("w")).select("key", "w.entity", "w.term", "w.start", "w.end", "w.value")
-    entities = seen.select("key", F.explode(F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    entities = seen.select("key", F.explode(F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))).alias("entity"))
+    entities = entities.groupBy("entity", F.col("key.text").alias("t")).agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts_e"))
     once = near.groupBy("term", "entity", "key").agg(F.lit(1).alias("one"))
     pairs = once.groupBy("term", "entity", F.col("key.text").alias("t")).agg(F.count("*").alias("n")).groupBy("term", "entity").agg(F.sum("n").alias("n_te"), F.count("*").alias("texts"))
-    pairs = work.save(pairs.filter(F.col("texts") >= support), "pairs")
+    # an entity in fewer texts than support can be told of in all of them, no more
+    enough = F.col("texts") >= F.least(F.lit(support), F.col("texts_e"))
+    pairs = work.save(pairs.join(entities, "entity").filter(enough).drop("texts_e"), "pairs")
     # n(t) of all words: lower-cased, each once per document
     each = keyed.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
     # an inner join stays above the counting, so that words are counted before the shuffle whatever the size of pairs
     terms = each.groupBy("term").agg(F.count("*").alias("n_t"))
     n = first.agg(F.count("*").alias("n"))
     share = (F.log2(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e")))) / F.nullif(F.log2(F.col("n") / F.col("n_e")), F.lit(0.0))
-    telling = pairs.join(terms, "term").join(entities, "entity").crossJoin(F.broadcast(n)).filter(share >= threshold).select("term", "entity")
+    telling = pairs.join(terms, "term").crossJoin(F.broadcast(n)).filter(share >= threshold).select("term", "entity")
     told = near.join(telling, ["term", "entity"]).groupBy("key", "start", "end").agg(F.min("value").alias("value"))
     span = F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.lit("term").alias("kind"), "value")
     told = told.groupBy("key").agg(F.collect_list(span).alias("terms"))

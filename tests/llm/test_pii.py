@@ -64,3 +64,13 @@ def test_disclosing_terms(spark):
     assert clean[10] == rows[3][1] and clean[None] is None and clean[99] == ""
     assert pii.sanitise(docs).columns == docs.columns
     assert pii.report(docs.limit(0)).count() == 0
+
+
+def test_entity_of_a_single_text_has_disclosing_terms(spark):
+    rows = [(1, "write to Zorblatt at boss@x.org about the plan"), (2, "call Quixote on +1 555 010 9999 about the plan"), (3, "call Quixote on +1 555 010 9999 about the plan")]
+    rows += [(10 + i, f"write to us and call about the plan, part {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[1] == "write to [NAME] at [EMAIL] about the plan"
+    assert clean[2] == clean[3] == "call [NAME] on [PHONE] about the plan"  # two copies are one text
+    assert clean[10] == rows[3][1]

@@ -2,11 +2,11 @@ r"""Personal data by information-theoretic sanitisation, with DataFrame function
 
 Protected entities are e-mail addresses, IP addresses, card and telephone numbers, found by pattern (base spans). A term is
 a word of three letters or more. Over the whole corpus, with N documents, n(e) with an entity, n(t) with a term and n(t, e)
-with the term near the entity (within `window` characters on either side), the term tells of the entity
-PMI(e; t) = log2(n(t, e) N / (n(t) n(e))) bits out of IC(e) = log2(N / n(e)), all there is to tell. The share PMI / IC is 1
-where every document with the term has the entity. Terms with a share of at least `threshold`, seen with the entity in
-`support` different texts or more (in all of its texts, where the entity has fewer), are disclosing: near the entity they
-become spans of kind `term`.
+with both, wherever in the document they are, the term tells of the entity PMI(e; t) = log2(n(t, e) N / (n(t) n(e))) bits out
+of IC(e) = log2(N / n(e)), all there is to tell. The share PMI / IC is 1 where every document with the term has the entity.
+Terms with a share of at least `threshold`, seen with the entity in `support` different texts or more (in all of its texts,
+where the entity has fewer), are disclosing: in documents that hold the entity every occurrence of them outside a base span
+becomes a span of kind `term`.
 
 sanitise() replaces base spans by their kind and disclosing terms by a generalisation of them, or removes them.
 
@@ -59,56 +59,70 @@ def _base(df: DataFrame) -> DataFrame:
     return df.select("key", "text", spans.merged(parts).alias("base"))
 
 
-def _near(text: Column, base: Column, window: int) -> Column:
-    """(entity, term, start, end) for the whole words within window characters of each base span, its own text excluded."""
+def _words(text: Column) -> Column:
+    """The different words of a text, as written."""
+    return F.array_distinct(spans.hits(text, WORD))
 
-    def side(s: Column, left: bool) -> Column:
-        lo = F.greatest(F.lit(0), s["start"] - window) if left else s["end"]
-        hi = s["start"] if left else F.least(F.length(text), s["end"] + window)
-        part = F.substring(text, lo + 1, hi - lo)
-        found = spans.placed(part, spans.hits(part, WORD), WORD, "term", len(KINDS))
-        # a word that the window cuts isn't a whole word
-        whole = F.filter(found, lambda w: ((w["start"] > 0) | (lo == 0)) if left else ((w["end"] < hi - lo) | (hi == F.length(text))))
-        return F.transform(whole, lambda w: F.struct(F.xxhash64(s["kind"], F.lower(s["value"])).alias("entity"), F.lower(w["value"]).alias("term"), (w["start"] + lo).cast("int").alias("start"), (w["end"] + lo).cast("int").alias("end"), w["value"].alias("value")))
 
-    return F.flatten(F.transform(base, lambda s: F.concat(side(s, True), side(s, False))))
+def _terms(text: Column) -> Column:
+    """The different words of a text in lower case."""
+    return F.array_distinct(F.transform(_words(text), F.lower))
 
 
-def analyse(docs: DataFrame, work: common.Workspace, *, id_col: str = "doc_id", text_col: str = "text", window: int = 80, threshold: float = 0.8, support: int = 2) -> DataFrame:
+def _entity(s: Column) -> Column:
+    return F.xxhash64(s["kind"], F.lower(s["value"]))
+
+
+def _placed_terms(text: Column, terms: Column) -> Column:
+    """Spans of every whole word of the text that is one of the terms in lower case."""
+    written = F.filter(_words(text), lambda w: F.array_contains(terms, F.lower(w)))
+    # words are letters alone, so they are patterns of themselves; the empty list has a pattern that matches nothing
+    pattern = F.when(F.size(written) > 0, F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(written, "|"), F.lit(r")(?!\p{L})"))).otherwise(F.lit("(?!)"))
+    return spans.placed(text, spans.hits(text, pattern), pattern, "term", len(KINDS))
+
+
+def analyse(docs: DataFrame, work: common.Workspace, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, support: int = 2) -> DataFrame:
     """Base and term spans of every whole text: columns id_col, text_key, base and spans (arrays of spans.SPAN).
 
     A null text counts as empty. Rows with the same id and text have the same spans; rows with a null id too. Extra columns
-    aren't read. One scan finds the base spans and the words near them, one counts n(t); only words and what was found are
-    shuffled, counted before the shuffle, so neither a frequent word nor a copied text gathers rows in a task.
+    aren't read. One scan finds the base spans, one counts n(t); words are counted before the shuffle, so neither a frequent
+    word nor a copied text gathers rows in a task. Only words that can reach the threshold meet the entities of their
+    document: as n(t, e) is n(e) at most, a share of `threshold` needs n(t) <= N^(1 - threshold) n(e)^threshold, or
+    n(t) <= n(e).
     """
     df = common.only(docs, id=id_col, text=text_col).select("id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = df.select(F.struct("id", F.xxhash64("text").alias("text")).alias("key"), "text")
     first = _base(keyed)
-    first = work.save(first.select("key", "base", F.when(F.size("base") > 0, _near(F.col("text"), F.col("base"), window)).alias("near")), "found")
+    first = work.save(first.select("key", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "found")
     seen = first.filter(F.size("base") > 0)
-    near = seen.select("key", F.explode("near").alias("w")).select("key", "w.entity", "w.term", "w.start", "w.end", "w.value")
-    entities = seen.select("key", F.explode(F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))).alias("entity"))
-    entities = entities.groupBy("entity", F.col("key.text").alias("t")).agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts_e"))
-    once = near.groupBy("term", "entity", "key").agg(F.lit(1).alias("one"))
-    pairs = once.groupBy("term", "entity", F.col("key.text").alias("t")).agg(F.count("*").alias("n")).groupBy("term", "entity").agg(F.sum("n").alias("n_te"), F.count("*").alias("texts"))
+    held = seen.select("key", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
+    entities = held.groupBy("entity", F.col("key.text").alias("t")).agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts_e"))
+    n = work.save(first.agg(F.count("*").alias("n")), "rows")
+    # n(t) of all words, each once per document; the inner join below stays above the counting, so that words are counted
+    # before the shuffle whatever the size of the other side
+    terms = keyed.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    n_t, n_e, rows = F.col("n_t"), F.col("n_e"), F.col("n")
+    # a little more than the bound: the share itself is tested below
+    may = n_t <= F.greatest(n_e, F.pow(rows, F.lit(1 - threshold)) * F.pow(n_e, F.lit(threshold)) * 1.000001)
+    most = entities.agg(F.max("n_e").alias("n_e")).crossJoin(n)
+    rare = terms.crossJoin(F.broadcast(most)).filter(may).select("term", "n_t")
+    words = seen.select("key", F.explode(_terms(F.col("text"))).alias("term")).join(rare, "term")
+    of = held.distinct().join(entities, "entity")
+    pairs = words.join(of, "key").crossJoin(F.broadcast(n)).filter(may).select("key", "term", "entity", "n_t", "n_e", "texts_e", "n")
+    pairs = work.save(pairs, "pairs")
+    same = ("n_t", "n_e", "texts_e", "n")
+    told = pairs.groupBy("term", "entity", F.col("key.text").alias("t"), *same).agg(F.count("*").alias("c")).groupBy("term", "entity", *same).agg(F.sum("c").alias("n_te"), F.count("*").alias("texts"))
+    share = (F.log2(F.col("n_te") * rows / (n_t * n_e))) / F.nullif(F.log2(rows / n_e), F.lit(0.0))
     # an entity in fewer texts than support can be told of in all of them, no more
     enough = F.col("texts") >= F.least(F.lit(support), F.col("texts_e"))
-    pairs = work.save(pairs.join(entities, "entity").filter(enough).drop("texts_e"), "pairs")
-    # n(t) of all words: lower-cased, each once per document
-    each = keyed.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    # an inner join stays above the counting, so that words are counted before the shuffle whatever the size of pairs
-    terms = each.groupBy("term").agg(F.count("*").alias("n_t"))
-    n = first.agg(F.count("*").alias("n"))
-    share = (F.log2(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e")))) / F.nullif(F.log2(F.col("n") / F.col("n_e")), F.lit(0.0))
-    telling = pairs.join(terms, "term").crossJoin(F.broadcast(n)).filter(share >= threshold).select("term", "entity")
-    told = near.join(telling, ["term", "entity"]).groupBy("key", "start", "end").agg(F.min("value").alias("value"))
-    span = F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.lit("term").alias("kind"), "value")
-    told = told.groupBy("key").agg(F.collect_list(span).alias("terms"))
+    telling = told.filter(enough & (share >= threshold)).select("term", "entity")
+    told = pairs.select("key", "term", "entity").join(telling, ["term", "entity"]).groupBy("key").agg(F.collect_set("term").alias("terms"))
     k = F.col("key")
     told = told.select(k["id"].alias("told_id"), k["text"].alias("told_text"), "terms")
-    out = first.select(k["id"].alias("id"), k["text"].alias("text_key"), "base")
+    out = first.select(k["id"].alias("id"), k["text"].alias("text_key"), "base", "text")
     out = out.join(told, out["id"].eqNullSafe(told["told_id"]) & (out["text_key"] == told["told_text"]), "left")
-    clear = F.filter(F.coalesce("terms", spans.no_spans()), lambda w: ~F.exists("base", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+    found = F.when(F.col("terms").isNull(), spans.no_spans()).otherwise(_placed_terms(F.col("text"), F.col("terms")))
+    clear = F.filter(found, lambda w: ~F.exists("base", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
     return out.select(F.col("id").alias(id_col), "text_key", "base", F.array_sort(F.concat("base", clear)).alias("spans"))
 
 

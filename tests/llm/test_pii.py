@@ -74,3 +74,15 @@ def test_entity_of_a_single_text_has_disclosing_terms(spark):
     assert clean[1] == "write to [NAME] at [EMAIL] about the plan"
     assert clean[2] == clean[3] == "call [NAME] on [PHONE] about the plan"  # two copies are one text
     assert clean[10] == rows[3][1]
+
+
+def test_disclosing_terms_anywhere_in_the_document(spark):
+    far = "about the plan and the work of the day " * 10
+    rows = [(1, f"Dear Zorblatt, {far}write to boss@x.org, ZORBLATT! zorblatts aren't meant"), (2, f"Quixote {far}10.0.0.1"), (3, f"10.0.0.1 Quixote {far}"), (4, f"Quixote {far}10.0.0.1"), (4, f"Quixote {far}10.0.0.1"), (None, f"10.0.0.1 {far}Quixote")]
+    rows += [(10 + i, f"Dear all, write {far}zorblatts aren't meant") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = [r.text for r in pii.sanitise(docs).orderBy("doc_id").collect()]
+    assert clean[1] == f"Dear [NAME], {far}write to [EMAIL], [NAME]! zorblatts aren't meant"
+    assert clean[0] == f"[IP] {far}[NAME]" and clean[2] == f"[NAME] {far}[IP]" and clean[3] == f"[IP] [NAME] {far}"
+    assert clean[4] == clean[5] == clean[2]
+    assert clean[6:] == [r[1] for r in rows[6:]]

@@ -162,9 +162,13 @@ def _verify(num: int, den: int):
     return run
 
 
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def links(docs: DataFrame, work: common.Workspace, *, id_col: str, text_col: str, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(base: id, n_ngrams, key of the set) for every row, and links (a, b) between keys that connect all linked sets."""
-    df = common.only(docs, id=id_col, text=text_col)
+    """(base: id, n_ngrams, key of the set, hash of the text) for every row, and links (a, b) between keys that connect all linked sets."""
+    df = common.only(docs, id=id_col, text=text_col).select("id", "text", _text_hash(F.col("text")).alias("text_hash"))
     sc = docs.sparkSession.sparkContext
     sketch = sc.broadcast(_sketch(df.select("text"), n))  # 4 MB whatever the input
     kind = df.schema["id"].dataType.simpleString()
@@ -178,10 +182,10 @@ def links(docs: DataFrame, work: common.Workspace, *, id_col: str, text_col: str
                     keys.append(_key(s) if len(s) else None)
                     prefix.append(_signed(_order(s, sketch.value)[: len(s) - _at_least(num, den, len(s)) + 1 if len(s) else 0]))
                     parts.append(np.bincount((s >> np.uint64(64 - int(np.log2(PARTS)))).astype(np.int64), minlength=PARTS).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), _lists(prefix, pa.int64()), _lists(parts, pa.int32())], ["id", "n", "key", "prefix", "parts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), _lists(prefix, pa.int64()), _lists(parts, pa.int32()), batch.column(2)], ["id", "n", "key", "prefix", "parts", "text_hash"])
 
     common.release()  # the driver's share of the sketch
-    base = work.save(df.transform(common.arrow, describe, f"id {kind}, n long, key binary, prefix array<long>, parts array<int>"), "sets")
+    base = work.save(df.transform(common.arrow, describe, f"id {kind}, n long, key binary, prefix array<long>, parts array<int>, text_hash long"), "sets")
     nodes = base.filter("n > 0").groupBy("key").agg(F.min(F.struct("n", "prefix", "parts")).alias("s"), F.min("id").alias("id")).select("key", "id", "s.*")
     nodes = work.save(nodes, "nodes")
     postings = nodes.select("key", "n", F.posexplode("prefix").alias("pos", "h"))
@@ -284,20 +288,40 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows of one id with several texts, stay as they are. Other columns aren't read.
     """
     work = work or common.Workspace(docs.sparkSession, "ngram-join")
+    base, by_key = _labelled(docs, work, id_col, text_col, n, num, den)
+    out = base.select("id", "n", "key").join(by_key.select("key", "component"), "key", "left")
+    own: Column = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def _labelled(docs: DataFrame, work: common.Workspace, id_col: str, text_col: str, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """links' base, and of each set with an id: key, label of its component and the component's smallest id."""
     base, found = links(docs, work, id_col=id_col, text_col=text_col, n=n, num=num, den=den)
     label = work.save(components(found, work), "labels")
     ids = base.filter("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("least"))
     ids = ids.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     groups = ids.groupBy("label").agg(F.min("least").alias("component"))
-    by_key = work.save(ids.join(groups, "label").select("key", "component"), "component")
-    out = base.select("id", "n", "key").join(by_key, "key", "left")
-    own: Column = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return base, work.save(ids.join(groups, "label").select("key", "label", "component"), "component")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each group of near-duplicates: the one with the smallest id (of repeated ids, all the rows).
-    Rows without words and rows with a null id stay."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    drop = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name := common.free_name(docs, "dropped_id"))).distinct()
-    return docs.join(drop, docs[f"`{id_col}`"] == drop[name], "left_anti")
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, work: common.Workspace | None = None) -> DataFrame:
+    """docs with one row of each group of near-duplicates: the one with the smallest id (of several texts of that id in the
+    group one of them, of repeated rows one). A row goes only if its own text is in the group, whatever other rows have its
+    id. Rows without words and rows with a null id stay."""
+    work = work or common.Workspace(docs.sparkSession, "ngram-join")
+    base, by_key = _labelled(docs, work, id_col, text_col, n, num, den)
+    rows = base.filter("n > 0 and id is not null").select("key", "id", "text_hash")
+    first = rows.groupBy("key").agg(F.min(F.struct("id", "text_hash")).alias("row")).join(by_key, "key")
+    first = first.groupBy("label").agg(F.min("row").alias("row")).select("row.id", "row.text_hash")
+    each = rows.groupBy("id", "text_hash").agg(F.count("*").alias("times"))
+    name, text = common.free_name(docs, "dropped_id"), common.free_name(docs, "dropped_text")
+    named = lambda df: df.select(F.col("id").alias(name), F.col("text_hash").alias(text))
+    its = lambda df: (docs[f"`{id_col}`"] == df[name]) & (_text_hash(docs[f"`{text_col}`"]) == df[text])
+    again = work.save(each.filter("times > 1").join(first, ["id", "text_hash"]), "repeated")
+    drop = each.join(first, ["id", "text_hash"], "left_anti").select("id", "text_hash")
+    if again.isEmpty():
+        drop = named(drop)
+        return docs.join(drop, its(drop), "left_anti")
+    drop, again = named(drop.unionByName(again.select("id", "text_hash"))), named(again)
+    one = docs.join(again, its(again)).dropDuplicates([name, text]).select(*(docs[f"`{c}`"] for c in docs.columns))
+    return docs.join(drop, its(drop), "left_anti").unionByName(one)

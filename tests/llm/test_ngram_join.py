@@ -111,3 +111,12 @@ def test_connect_skips_no_pair():
     for a, b in found:
         parent[find(parent, a)] = find(parent, b)
     assert len({(find(want, x), find(parent, x)) for x in range(80)}) == len({find(want, x) for x in range(80)}) == len({find(parent, x) for x in range(80)})
+
+
+def test_keep_one_decides_by_row(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue white black grey")
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "x"), (7, c, "x"), (7, c, "x"), (8, c, "x"), (9, "", "x"), (9, "", "x"), (None, a, "x"), (None, a, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(map(tuple, ngram_join.keep_one(docs).collect()), key=str)
+    assert got == sorted([(1, a, "x"), (5, b, "x"), (7, c, "x"), (9, "", "x"), (9, "", "x"), (None, a, "x"), (None, a, "x")], key=str)
+    assert sorted(r.doc_id for r in ngram_join.keep_one(docs.filter("doc_id < 7")).collect()) == [1, 5]

@@ -87,6 +87,12 @@ def related_products(spark, sf):
     return graph.related(_edges(spark, sf), kinds=("series", "finish"))
 
 
+@query("related_products_all", f"""{EDGES}, p AS (SELECT a.product, b.product AS other, count(*) AS shared FROM edges a JOIN edges b ON a.node = b.node AND a.product <> b.product GROUP BY 1, 2)
+    SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY product ORDER BY shared DESC, other) AS INTEGER) AS rank FROM p) WHERE rank <= 8""")
+def related_products_all(spark, sf):
+    return graph.related_sets(_edges(spark, sf))
+
+
 @query("ego_subgraph", f"{EDGES} SELECT 'product:4' AS node, 0 AS distance UNION ALL SELECT DISTINCT node, 1 FROM edges WHERE product = 'product:4'")
 def ego_subgraph(spark, sf):
     return graph.ego(_edges(spark, sf), "product:4", 1)

@@ -40,6 +40,24 @@ def top_similar(w: DataFrame, id_col: str, group: DataFrame | None = None, k: in
     return pairs.filter(F.col("score") >= least).withColumn("rank", F.row_number().over(over)).filter(F.col("rank") <= k)
 
 
+def top_similar_copies(docs: DataFrame, id_col: str, text_col: str, group: str, k: int = 5, least: float = 0.12, digits: int = 6) -> DataFrame:
+    """What top_similar() gives for docs(id_col, text_col, group), with equal texts of a group as one: only different texts
+    meet, and each stands for its k + 1 smallest ids. Weights are those of all documents."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(group).alias("category"))
+    w = weights(rows, "id", "text")
+    heads = rows.withColumn("r", F.row_number().over(Window.partitionBy("category", "text").orderBy("id"))).filter(F.col("r") <= k + 1)
+    ids = heads.groupBy("category", "text").agg(F.min("id").alias("head"), F.array_sort(F.collect_list("id")).alias("ids"))
+    w = w.join(ids.select(F.col("head").alias("id"), "category"), "id")
+    other = w.select("term", "category", F.col("id").alias("other"), F.col("weight").alias("other_weight"))
+    pairs = w.join(other, ["term", "category"]).groupBy("id", "other").agg(F.round(F.sum(F.col("weight") * F.col("other_weight")), digits).alias("score")).filter(F.col("score") >= least)
+    pairs = pairs.join(ids.select(F.col("head").alias("other"), "ids"), "other").select("id", "score", F.explode("ids").alias("other"))
+    best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))).filter(F.col("r") <= k + 1)
+    best = best.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "other", "score"))).alias("best")).withColumnRenamed("id", "head")
+    each = rows.join(ids.select("category", "text", "head"), rows["category"].eqNullSafe(ids["category"]) & rows["text"].eqNullSafe(ids["text"])).select("id", "head").join(best, "head")
+    rest = F.slice(F.filter("best", lambda x: x["other"] != F.col("id")), 1, k)
+    return each.select("id", F.posexplode(rest).alias("at", "x")).select(F.col("id").alias(id_col), "x.other", "x.score", (F.col("at") + 1).alias("rank"))
+
+
 def shared_keys(pairs: DataFrame, fields: DataFrame, a: str, b: str) -> DataFrame:
     """pairs with the sorted keys that both records have."""
     keys = fields.groupBy("record_id").agg(F.array_sort(F.collect_set("key")).alias("keys"))

@@ -36,6 +36,22 @@ def similar_topk(spark, sf):
     return similarity.top_similar(w, "id", group).select("id", "other", "score", "rank")
 
 
+#: The same over all records: names as texts, and the real category.
+TFIDF_RECORDS = TFIDF.replace("item_id AS id", "record_id AS id").replace("coalesce(text, '')", "coalesce(name, '')").replace("FROM benchmark", "FROM category").replace("WITH d AS", f"WITH {V.SQL_CATEGORY}, d AS")
+
+
+@query("tfidf_weights_records", f"{TFIDF_RECORDS} SELECT id, term, round(weight, 6) AS weight FROM weights")
+def tfidf_weights_records(spark, sf):
+    w = similarity.weights(V.categories(spark, sf).withColumnRenamed("record_id", "id"), "id", "name")
+    return w.withColumn("weight", F.round("weight", 6))
+
+
+@query("similar_topk_records", f"""{TFIDF_RECORDS}, p AS (SELECT a.id AS id, b.id AS other, round(sum(a.weight * b.weight), 6) AS score FROM weights a JOIN category c ON c.record_id = a.id JOIN weights b ON a.term = b.term AND a.id <> b.id JOIN category o ON o.record_id = b.id AND o.category = c.category GROUP BY 1, 2),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS INTEGER) AS rank FROM p WHERE score >= 12e-2) SELECT * FROM r WHERE rank <= 5""")
+def similar_topk_records(spark, sf):
+    return similarity.top_similar_copies(V.categories(spark, sf).withColumnRenamed("record_id", "id"), "id", "name", "category")
+
+
 @query("shared_keys", f"""{BASE}, k AS (SELECT record_id, list(DISTINCT key) AS keys FROM fields GROUP BY 1) SELECT p_partkey AS a, p_partkey + 1 AS b,
     array_to_string(list_sort(list_intersect(coalesce(x.keys, []), coalesce(y.keys, []))), ',') AS shared FROM part LEFT JOIN k x ON x.record_id = p_partkey LEFT JOIN k y ON y.record_id = p_partkey + 1""")
 def shared_keys(spark, sf):

@@ -69,18 +69,20 @@ def contains_text(text: str, *columns: str) -> Column:
 
 
 def attach_by_name(files: DataFrame, skus: DataFrame, *, stem: str = "stem", sku: str = "sku") -> DataFrame:
-    """Files with the first sku (by text) that their name contains; spaces are dropped and _ counts as -.
+    """Files with the first sku (by text) that their name contains; spaces are dropped and _ counts as -. Empty skus are
+    in no name.
 
-    Every substring of a name that starts a token is a candidate key, so the join is on equality and no pair of a file and
-    an sku that don't meet is made.
+    Every substring of a name that is as long as some sku is a candidate key, so the join is on equality and no pair of a
+    file and an sku that don't meet is made.
     """
     clean = lambda c: F.regexp_replace(F.regexp_replace(F.upper(c), r"\s", ""), "_", "-")
-    longest = 64
+    keyed = skus.select(F.col(sku).alias("sku"), clean(F.col(sku)).alias("key")).filter("key <> ''").distinct()
+    # lengths of skus: a few numbers, whatever the number of skus
+    lengths = keyed.agg(F.collect_set(F.length("key")).alias("key_lengths"))
     name = clean(F.col(stem))
-    starts = F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))
-    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length(name) - i + 1)), lambda n: F.substring(name, i, n))))
-    keys = files.withColumn("part", F.explode(F.array_distinct(parts)))
-    found = keys.join(skus.select(F.col(sku).alias("sku"), clean(F.col(sku)).alias("key")).distinct(), F.col("part") == F.col("key"))
+    parts = F.flatten(F.transform("key_lengths", lambda n: F.when(F.length(name) >= n, F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda i: F.substring(name, i, n))).otherwise(F.array().cast("array<string>"))))
+    keys = files.crossJoin(F.broadcast(lengths)).withColumn("part", F.explode(F.array_distinct(parts)))
+    found = keys.join(keyed, F.col("part") == F.col("key"))
     return found.groupBy(*files.columns).agg(F.min("sku").alias("sku"))
 
 

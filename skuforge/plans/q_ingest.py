@@ -72,6 +72,13 @@ def containment_join(spark, sf):
     return ingest.attach_by_name(files, skus)
 
 
+@query("containment_join_all", """WITH f AS (SELECT page_id, upper(regexp_extract(url, '([^/?]*)(?:\\?|$)', 1)) AS stem FROM pages), k AS (SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS sku FROM part)
+    SELECT page_id, stem, min(sku) AS sku FROM f JOIN k ON contains(stem, sku) GROUP BY 1, 2""")
+def containment_join_all(spark, sf):
+    files = V.table(spark, sf, "pages").select("page_id", F.upper(F.regexp_extract("url", r"([^/?]*)(?:\?|$)", 1)).alias("stem"))
+    return ingest.attach_by_name(files, V.table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("sku")))
+
+
 def _votes(column: str) -> str:
     names = list(dict.fromkeys(c for c, _ in D.KEYWORDS))
     return ", ".join("(" + " + ".join(f"CASE WHEN contains(lower({column}), '{k}') THEN {len(k.split())} ELSE 0 END" for c, k in D.KEYWORDS if c == n) + f") AS v_{n}" for n in names)

@@ -66,6 +66,30 @@ def coverage_report(spark, sf):
     return export.coverage(delivery(spark, sf), BLOCKS)
 
 
+#: The delivery with all slots of the template.
+N_SLOTS = 50
+SLOT_COLUMNS = [f"{c}_{i}" for i in range(1, N_SLOTS + 1) for c in ("label", "value", "uom")]
+TEMPLATE_FULL = ["sku", "brand", "category", *SLOT_COLUMNS, "video_link"]
+BLOCKS_FULL = BLOCKS | {"attributes": SLOT_COLUMNS}
+DELIVERY_FULL = f"""{SLOTS}, p AS (SELECT record_id, {', '.join(f"max(CASE WHEN slot = {i} THEN {c} END) AS {c}_{i}" for i in range(1, N_SLOTS + 1) for c in ('label', 'value', 'uom'))} FROM s GROUP BY 1),
+    delivery AS (SELECT CAST(record_id AS VARCHAR) AS sku, brand, category, {', '.join(f"coalesce({c}, '') AS {c}" for c in SLOT_COLUMNS)}, '' AS video_link FROM category LEFT JOIN p USING (record_id))"""
+
+
+def delivery_full(spark, sf):
+    s = export.slot_columns(export.slots(V.fields(spark, sf), D.specs(spark), V.categories(spark, sf), N_SLOTS), N_SLOTS)
+    return export.template(V.categories(spark, sf).join(s, "record_id", "left").withColumn("sku", F.col("record_id")), TEMPLATE_FULL)
+
+
+@query("delivery_row_full", f"{DELIVERY_FULL} SELECT * FROM delivery")
+def delivery_row_full(spark, sf):
+    return delivery_full(spark, sf)
+
+
+@query("coverage_report_full", f"{DELIVERY_FULL} " + " UNION ALL ".join(f"SELECT '{b}' AS block, {len(c)} AS columns, {_filled(c)} AS filled FROM delivery" for b, c in BLOCKS_FULL.items()))
+def coverage_report_full(spark, sf):
+    return export.coverage(delivery_full(spark, sf), BLOCKS_FULL)
+
+
 @query("feature_slots", "SELECT p_partkey AS id, p_name AS feature_1, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS feature_2, CASE WHEN p_partkey % 2 = 0 THEN p_type END AS feature_3 FROM part")
 def feature_slots(spark, sf):
     items = F.when(F.col("p_partkey") % 2 == 0, F.array("p_name", "p_brand", "p_type")).otherwise(F.array("p_name"))

@@ -3,7 +3,10 @@
 The tokenizers library does the merges. A rank file has no merge list, so the merges are recovered: a token of several bytes
 came about by joining the two parts that the merges of lower rank leave of it. Bytes map to printable characters as usual
 for byte-level BPE. Texts are split with numpy at the matches of the split pattern; within a task, a pre-token seen before
-takes its ids from a bounded store.
+takes its ids from a bounded store with the pre-token itself as key.
+
+Decoding takes the vocabulary's characters for the ids and reverses the byte table, character by character; offsets tell
+which characters of the text each token holds, also where a character's bytes are split over tokens.
 """
 
 from __future__ import annotations
@@ -69,6 +72,11 @@ def _ragged(flat: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> np.ndarr
     return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(offsets[rows] - (ends - sizes), sizes)]
 
 
+#: Byte by the code of the character that stands for it: the byte table reversed.
+_BYTE_OF = np.zeros(0x200, np.uint8)
+_BYTE_OF[[ord(c) for c in byte_characters()]] = np.arange(256)
+
+
 class Codec:
     """Encodes and decodes with a rank vocabulary."""
 
@@ -82,59 +90,66 @@ class Codec:
         self.token = [b""] * size
         for token, i in ranks.items():
             self.token[i] = token
-        self.flat = np.frombuffer(b"".join(self.token), np.uint8)
+        to = byte_characters()
+        #: the characters of each token in the vocabulary, one after the other, and where each token's begin
+        self.characters = np.array([ord(to[b]) for token in self.token for b in token], np.uint16)
         self.offsets = np.append(0, np.cumsum([len(t) for t in self.token])).astype(np.int64)
-        self.decimal = [str(i) for i in range(size)]
 
     @classmethod
     def of(cls, path: str) -> Codec:
         ranks = read_ranks(path)
         return cls(tokenizer_json(ranks), ranks, pretoken.classes("tiktoken"))
 
-    def _make(self, pieces: list[str]) -> np.ndarray:
-        made = np.empty(len(pieces), object)
-        for i, e in enumerate(self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-            made[i] = np.array(e.ids, np.int32)
-        return made
+    def _make(self, pieces: list[str]) -> list[tuple[bytes, str]]:
+        """Each piece's ids, as the bytes of 32-bit numbers and as decimals with a space after each."""
+        made = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return [(np.array(ids, np.int32).tobytes(), "".join(f"{i} " for i in ids)) for ids in made]
+
+    def _pieces(self, text: str) -> list[tuple[bytes, str]]:
+        starts = pretoken.spaced_pieces(text, self.table)
+        return self.known.look_up(pretoken.cut(text, starts, np.append(starts[1:], len(text))), self._make) if len(starts) else []
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text."""
+        return np.frombuffer(b"".join([ids for ids, _ in self._pieces(text)]), np.int32)
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        parts = [pretoken.spaced_pieces(t, self.table) for t in texts]
-        shift = np.append(0, np.cumsum([len(t) for t in texts]))
-        starts = np.concatenate([p + s for p, s in zip(parts, shift[:-1], strict=True)]) if parts else np.zeros(0, np.int64)
-        if not len(starts):
-            return [np.zeros(0, np.int32) for _ in texts]
-        at, values = self.known.look_up("".join(texts), starts, np.append(starts[1:], shift[-1]), self._make)
-        used, where = np.unique(at, return_inverse=True)
-        some = values[used]
-        sizes = np.array([len(x) for x in some])
-        ids = _ragged(np.concatenate(some), np.append(0, np.cumsum(sizes)), where)
-        token_ends = np.append(0, np.cumsum(sizes[where]))
-        piece_ends = np.append(0, np.cumsum([len(p) for p in parts]))
-        return [ids[a:b] for a, b in zip(token_ends[piece_ends[:-1]].tolist(), token_ends[piece_ends[1:]].tolist(), strict=True)]
+        return [self.encode(t) for t in texts]
 
-    def encode(self, text: str) -> np.ndarray:
-        return self.encode_all([text])[0]
+    def encode_decimal(self, text: str) -> tuple[np.ndarray, str]:
+        """Ids of a text, and the same as decimals with a space between."""
+        pieces = self._pieces(text)
+        return np.frombuffer(b"".join([ids for ids, _ in pieces]), np.int32), "".join([x for _, x in pieces])[:-1]
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
-        """The bytes of the tokens, one after the other."""
-        return _ragged(self.flat, self.offsets, np.asarray(ids, np.int64)).tobytes()
+        """The tokens' characters in the vocabulary, each turned back into the byte that it stands for."""
+        return _BYTE_OF[_ragged(self.characters, self.offsets, np.asarray(ids, np.int64))].tobytes()
+
+    def spans_of(self, ids: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+        """First and last character (end exclusive) of each token of a text with these bytes, and the number of characters
+        whose bytes are split over tokens. A token with a part of a character covers that character."""
+        ids = np.asarray(ids, np.int64)
+        if not len(ids):
+            return ids, ids, 0
+        lead = np.append((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80, True)
+        before = np.append(0, np.cumsum(lead[:-1]))
+        ends = np.cumsum(self.offsets[ids + 1] - self.offsets[ids])
+        starts = np.append(0, ends[:-1])
+        first = before[starts] - ~lead[starts]
+        inside = ~lead[starts]
+        return first, before[ends], len(np.unique(first[inside]))
 
     def offsets_of(self, ids: np.ndarray) -> list[tuple[int, int]]:
-        """First and last character of each token, end exclusive; a token with a part of a character covers that character."""
-        raw = np.frombuffer(self.decode_bytes(ids), np.uint8)
-        lead = np.append((raw & 0xC0) != 0x80, True)
-        before = np.append(0, np.cumsum(lead[:-1]))
-        ends = np.cumsum(self.offsets[np.asarray(ids, np.int64) + 1] - self.offsets[np.asarray(ids, np.int64)])
-        starts = np.append(0, ends[:-1]).astype(np.int64) if len(ends) else ends
-        first = before[starts] - ~lead[starts] if len(ends) else before[:0]
-        return list(zip(first.tolist(), before[ends].tolist(), strict=True)) if len(ends) else []
+        """First and last character of each token, end exclusive."""
+        first, last, _ = self.spans_of(ids, self.decode_bytes(ids))
+        return list(zip(first.tolist(), last.tolist(), strict=True))
 
     def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
         """Text token by token; the bytes of a character split over tokens are held back until it is whole."""
         decoder = codecs.getincrementaldecoder("utf-8")("replace")
         for i in ids:
-            yield decoder.decode(self.token[i])
+            yield decoder.decode(self.decode_bytes(np.array([i])))
         yield decoder.decode(b"", True)
 
 
@@ -194,25 +209,30 @@ def decode(docs: DataFrame, rank_path: str, *, ids_col: str = "token_ids", text_
 
 def round_trip(docs: DataFrame, rank_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every whole text, decodes the ids, and returns id_col, n_tokens, ids_sha256 (of decimal ids joined by a space),
-    decoded_sha256 (of the decoded bytes) and intact (the decoded bytes are the text's).
+    decoded_sha256 (of the decoded bytes), n_split (characters whose bytes are split over tokens), offsets_sha256 (of each
+    token's first and last character, end exclusive, as little-endian 64-bit numbers) and intact (the decoded bytes are the text's).
 
     A null text counts as empty: no ids, digests of nothing. Repeated rows and null ids stay; other columns aren't read.
     """
     shared = _shared(docs, rank_path)
     df = common.only(docs, id=id_col, text=text_col)
+    digest = lambda raw: hashlib.sha256(raw).hexdigest()
+
+    def one(codec: Codec, text: str) -> tuple:
+        ids, decimal = codec.encode_decimal(text)
+        raw = codec.decode_bytes(ids)
+        first, last, split = codec.spans_of(ids, raw)
+        spans = np.stack([first, last], axis=1).astype("<i8").tobytes()
+        return len(ids), digest(decimal.encode()), digest(raw), split, digest(spans), raw == text.encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(*shared.value)
         for batch in batches:
-            n, made, back, same = [], [], [], []
-            for texts in _texts(batch.column(1)):
-                for text, ids in zip(texts, codec.encode_all(texts), strict=True):
-                    raw = codec.decode_bytes(ids)
-                    n.append(len(ids))
-                    made.append(hashlib.sha256(" ".join(map(codec.decimal.__getitem__, ids.tolist())).encode()).hexdigest())
-                    back.append(hashlib.sha256(raw).hexdigest())
-                    same.append(raw == text.encode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(made, pa.string()), pa.array(back, pa.string()), pa.array(same, pa.bool_())], ["id", "n_tokens", "ids_sha256", "decoded_sha256", "intact"])
-
-    out = f"id {df.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, intact boolean"
+            made = [one(codec, text) for texts in _texts(batch.column(1)) for text in texts]
+            columns = [pa.array([m[i] for m in made], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", *names])
+
+    names = ("n_tokens", "ids_sha256", "decoded_sha256", "n_split", "offsets_sha256", "intact")
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_())
+    out = f"id {df.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long, offsets_sha256 string, intact boolean"
     return df.transform(common.arrow, run, out).withColumnRenamed("id", id_col)

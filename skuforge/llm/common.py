@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-import functools
 import gc
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -28,12 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Workspace:
     """Tables written to the folder that all executors share; a lost executor costs no more than a reread.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests) is one of our own used.
+    The folder is the session's spark.checkpoint.dir. Where that is unset, a folder of this machine serves a local master
+    (tests); on a cluster that is an error.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            base = "/tmp/checkpoints"
         self.path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self._n = 0
 
@@ -73,20 +78,23 @@ class _Saved:
 
 # ---- Python on Arrow batches ---------------------------------------------------------------------------------------------
 
-#: Rows of an Arrow batch: with texts of some KB, a batch of Spark's 10,000 rows would be tens of MB in each of three places.
+#: Rows worked on at once: with texts of some KB, results for a batch of Spark's 10,000 rows would be tens of MB in each of
+#: three places.
 BATCH_ROWS = 1000
 
 
 def arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """df.mapInArrow (run, schema) in batches of BATCH_ROWS at most; a worker gives its free memory back after each task,
-    since idle workers live on beside those of the next stage."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    """df.mapInArrow(run, schema), with Spark's batches cut to BATCH_ROWS at most (the session's own setting stays); a worker
+    gives its free memory back after each task, since idle workers live on beside those of the next stage."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BATCH_ROWS):
+                yield batch.slice(lo, BATCH_ROWS)
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            yield from run(cut(batches))
         finally:
             release()
 
@@ -144,7 +152,6 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
 
 # ---- words and their hashes --------------------------------------------------------------------------------------------
 
-_BASE = 0x9E3779B97F4A7C15 | 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -159,13 +166,6 @@ SPACED = byte_table(lambda b: b == 0x20 or 0x09 <= b <= 0x0D)
 ALNUM = byte_table(lambda b: b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F)
 
 
-@functools.lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads 64 bits (the finaliser of splitmix64)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -173,24 +173,28 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = SLICE_BYTES) -> np.ndarray:
-    """64-bit hashes of the spans of values: polynomials, taken as differences of prefix sums over pieces of about limit."""
-    hashes = np.empty(len(starts), np.uint64)
-    k = 0
-    while k < len(starts):
-        base = starts[k]
-        to = max(k + 1, int(np.searchsorted(ends, base + limit, "right")))
-        piece = values[base : ends[to - 1]]
-        up, down = _powers(max(limit, 1 << (len(piece) - 1).bit_length()) + 1)
-        sums = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * up[: len(piece)], out=sums[1:])
-        a, b = starts[k:to] - base, ends[k:to] - base
-        hashes[k:to] = (sums[b] - sums[a]) * down[a]
-        k = to
-    return mix(hashes)
-
-
-def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, limit: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Low bytes of a number, by how many; spans longer than LONG bytes get a cryptographic hash.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+LONG = 256
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans of data (bytes), eight bytes at a time: each step is a bijection of what came before and of
+    the eight bytes, so spans of one length up to eight bytes never collide, and longer ones by chance only (2^-64)."""
+    sizes = np.asarray(ends, np.int64) - starts
+    h = mix(sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    eight = np.ndarray((len(data) + 1,), "<u8", np.append(data, np.zeros(8, np.uint8)).tobytes(), 0, (1,))
+    live, at = np.flatnonzero((sizes <= LONG) & (sizes > 0)), 0
+    while len(live):
+        h[live] = mix(h[live] ^ (eight[starts[live] + at] & _LOW[np.minimum(sizes[live] - at, 8)]))
+        at += 8
+        live = live[sizes[live] > at]
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of texts with A-Z lower-cased: the words' 64-bit hashes, and start and end in bytes. No word spans two texts."""
     n = len(data)
     if not n:
@@ -208,7 +212,7 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, limit: int =
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     if not len(starts):
         return np.zeros(0, np.uint64), starts, ends
-    return span_hashes(data, starts, ends, limit), starts, ends
+    return span_hashes(data, starts, ends), starts, ends
 
 
 def per_text(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -9,11 +9,10 @@ from __future__ import annotations
 import functools
 import unicodedata
 import zlib
+from collections.abc import Callable, Iterable
 
 import numpy as np
 
-from skuforge.llm import common
-
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Unicode's planes without surrogates, which UTF-8 can't hold.
 _ALL = 0x110000
@@ -115,31 +114,26 @@ def dropped_pieces(text: str, table: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Known:
-    """What a task has worked out for pre-tokens, by 64-bit hash; bounded, and emptied when full."""
-
-    def __init__(self, limit: int):
-        self.limit = limit
-        self._empty()
-
-    def _empty(self) -> None:
-        self.keys, self.rows, self.n, self.values = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, None
-
-    def look_up(self, text: str, starts: np.ndarray, ends: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:
-        """(index of each span's value, values). make: an array of values for a list of distinct texts."""
-        keys, first, where = np.unique(common.span_hashes(code_points(text), starts, ends), return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > self.limit:
-            self._empty()
-        at = np.searchsorted(self.keys, keys)
-        there = np.zeros(len(keys), bool)
-        inside = at < len(self.keys)
-        there[inside] = self.keys[at[inside]] == keys[inside]
-        new = ~there
-        if new.any():
-            rows = np.arange(self.n, self.n + int(new.sum()))
-            self.n += len(rows)
-            made = make([text[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-            self.values = made if self.values is None else np.concatenate([self.values, made])
-            self.keys = np.insert(self.keys, at[new], keys[new])
-            self.rows = np.insert(self.rows, at[new], rows)
-            at = np.searchsorted(self.keys, keys)
-        return (self.rows[at][where] if len(keys) else np.zeros(0, np.int64)), self.values
+    """What a task has worked out for pre-tokens, by the pre-token itself; bounded in number and characters, emptied when full."""
+
+    def __init__(self, limit: int, characters: int = 1 << 24):
+        self.limit, self.characters = limit, characters
+        self.values: dict[str, object] = {}
+        self.size = 0
+
+    def look_up(self, pieces: list[str], make: Callable[[list[str]], Iterable]) -> list:
+        """A value for each piece. make: values of a list of distinct pieces, in order."""
+        if len(self.values) > self.limit or self.size > self.characters:
+            self.values.clear()
+            self.size = 0
+        found = list(map(self.values.get, pieces))
+        if None in found:
+            new = list(dict.fromkeys(p for p, v in zip(pieces, found, strict=True) if v is None))
+            self.values.update(zip(new, make(new), strict=True))
+            self.size += sum(map(len, new))
+            found = list(map(self.values.__getitem__, pieces))
+        return found
+
+
+def cut(text: str, starts: np.ndarray, ends: np.ndarray) -> list[str]:
+    return [text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]

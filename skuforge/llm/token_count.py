@@ -12,14 +12,16 @@ tokens may be wrong; the chunk before it may have a cut word at its end. Both ar
 The two token lists are spliced there. Where the overlap has no such p, the overlap is doubled, in the end to the whole
 left chunk, and then the left chunk grows.
 
-Tokens are those of the tokenizers library. Its work on a pre-token depends on that alone, so within a task a pre-token
-seen before takes its count from a bounded cache; the split itself is made with numpy from the library's own character
-classes. Texts with special strings, or with characters that normalisation could join or reorder, are given to the library
-as they are, chunk by chunk, with offsets.
+Chunks are encoded by the tokenizers library, with its own offsets. Texts of one chunk or less need no splicing. The
+library's work on a pre-token depends on that alone, so for such texts, where they are free of special strings and of
+characters that normalisation could join or reorder, a pre-token seen before in a task takes its count from a bounded store
+with the pre-token as key; the split is then made with numpy from the library's own character classes. That holds for the
+normaliser and split pattern stated in EXPECTED; with any other tokenizer file every text goes to the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable, Iterator
 
@@ -30,6 +32,11 @@ from pyspark.sql import DataFrame
 from skuforge.llm import common, pretoken
 
 GUARD = 32
+#: The normaliser and the split that pretoken.dropped_pieces and _lower reproduce.
+EXPECTED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "split": {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+}
 #: Pre-tokens remembered by a task.
 CACHE = 500_000
 
@@ -83,19 +90,19 @@ class Counter:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.table, self.plain = pretoken.unpacked(table), pretoken.unpacked(plain)
-        self.chunk, self.overlap, self.cached = chunk, overlap, cached
+        self.chunk, self.overlap = chunk, overlap
+        self.cached = cached and _as_expected(json.loads(tokenizer_json))
         self.known = pretoken.Known(CACHE)
 
-    def _make(self, pieces: list[str]) -> np.ndarray:
+    def _make(self, pieces: list[str]) -> list[int]:
         """Tokens of each pre-token; the library sees them in one text, with spaces between, which it drops."""
         word = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).word_ids
-        return np.bincount(np.array(word, np.int64), minlength=len(pieces))
+        return np.bincount(np.array(word, np.int64), minlength=len(pieces)).tolist()
 
     def _scan_known(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Text is lower-case and free of special strings and of characters that normalisation joins."""
         starts, ends = pretoken.dropped_pieces(text, self.table)
-        at, values = self.known.look_up(text, starts, ends, self._make)
-        return starts, values[at] if len(at) else at
+        return starts, np.array(self.known.look_up(pretoken.cut(text, starts, ends), self._make), np.int64)
 
     def _scan_library(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Any text: the library's tokens with offsets, grouped by its pre-tokens."""
@@ -118,12 +125,10 @@ class Counter:
 
     def count(self, text: str) -> tuple[int, int]:
         """(tokens, widened overlaps)"""
-        if self._plain(text):
-            return splice(_lower(text), self._scan_known, self.chunk, self.overlap)
         return splice(text, self._scan_library, self.chunk, self.overlap, self._joins)
 
     def count_all(self, texts: list[str]) -> list[tuple[int, int]]:
-        """count() of each; short plain texts are looked up together (a line end between them, which the split drops)."""
+        """count() of each; plain texts of one chunk are looked up together (a line end between them, which the split drops)."""
         found: list = [None] * len(texts)
         short = [i for i, t in enumerate(texts) if len(t) <= self.chunk and self._plain(t)]
         if short:
@@ -136,6 +141,13 @@ class Counter:
         return [x or self.count(t) for x, t in zip(found, texts, strict=True)]
 
 
+def _as_expected(model: dict) -> bool:
+    pre = model.get("pre_tokenizer") or {}
+    steps = pre.get("pretokenizers") or []
+    level = len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+    return level and model.get("normalizer") == EXPECTED["normalizer"] and steps[0] == EXPECTED["split"] and not model["model"].get("dropout")
+
+
 def _lower(text: str) -> str:
     """One character at a time, as the library does; of plain texts Python's lower() treats only a final sigma otherwise."""
     return text.replace("Σ", "σ").lower()
@@ -149,9 +161,6 @@ def token_counts(
     Returns id_col, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit), n_widened (overlaps that had to grow). A null
     text counts as empty: 0 bytes, 0 tokens. Repeated rows stay repeated, null ids stay; other columns are not read. One
     narrow pass: no shuffle, and memory bounded by a batch, a chunk and the cache.
-
-    The split is that of the vocabulary with word ends: NFC, one space for white space, lower case, and the pattern in
-    pretoken.dropped_pieces.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         model = f.read()

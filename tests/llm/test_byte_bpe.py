@@ -53,3 +53,34 @@ def test_tables(spark):
     back = decode(there, PATH).collect()
     assert all((r.text or "") == r.decoded for r in back) and len(back) == 5
     assert round_trip(docs.limit(0), PATH).count() == 0
+
+
+def _thue_morse(n: int) -> str:
+    return "".join("ab"[i.bit_count() & 1] for i in range(1 << n))
+
+
+def test_look_alikes_of_a_polynomial_hash_keep_their_own_ids(codec, library):
+    a = _thue_morse(10)
+    b = a.translate(str.maketrans("ab", "ba"))
+    for texts in ([a, b], [b, a], [f"{a} {b} {a}"]):
+        for text, ids in zip(texts, codec.encode_all(texts), strict=True):
+            assert ids.tolist() == library.encode_ordinary(text)
+            assert codec.decode_bytes(ids) == text.encode()
+
+
+def test_offsets_and_split_characters_of_whole_texts(spark, codec):
+    texts = ["né 😀漢 한글 ²", "", "plain words", "😀" * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in round_trip(docs, PATH).collect():
+        ids = codec.encode(texts[r.doc_id])
+        spans, at, split = [], 0, set()
+        raw = texts[r.doc_id].encode()
+        where = [i for i, c in enumerate(texts[r.doc_id]) for _ in c.encode()]
+        for i in ids.tolist():
+            to = at + len(codec.token[i])
+            spans.append((where[at], where[to - 1] + 1))
+            if at and where[at] == where[at - 1]:
+                split.add(where[at])
+            at = to
+        assert at == len(raw) and r.n_split == len(split) and codec.offsets_of(ids) == spans
+        assert r.offsets_sha256 == hashlib.sha256(b"".join(x.to_bytes(8, "little") for s in spans for x in s)).hexdigest()

@@ -2,7 +2,7 @@
 
 The tokenizers library does the merges. A rank file has no merge list, so the merges are recovered: a token of several bytes
 came about by joining the two parts that the merges of lower rank leave of it. Bytes map to printable characters as usual
-for byte-level BPE. Texts are split with numpy at the matches of the split pattern; within a task, a pre-token seen before
+for byte-level BPE. Texts are split with numpy at the matches of the split pattern; in a worker, a pre-token seen before
 takes its ids from a bounded store with the pre-token itself as key.
 
 Decoding takes the vocabulary's characters for the ids and reverses the byte table, character by character; offsets tell
@@ -177,7 +177,7 @@ def encode(docs: DataFrame, rank_path: str, *, text_col: str = "text", ids_col:
     fields = [df.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(*shared.value)
+        codec = common.kept("codec", shared.value, Codec)
         for batch in batches:
             ids = [x for texts in _texts(batch.column(len(keep))) for x in codec.encode_all(texts)]
             ends = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
@@ -199,7 +199,7 @@ def decode(docs: DataFrame, rank_path: str, *, ids_col: str = "token_ids", text_
     at = keep.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(*shared.value)
+        codec = common.kept("codec", shared.value, Codec)
         for batch in batches:
             texts = [None if x is None else codec.decode_bytes(np.array(x, np.int64)).decode("utf-8", "replace") for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*keep, text_col])
@@ -226,7 +226,7 @@ def round_trip(docs: DataFrame, rank_path: str, *, id_col: str = "doc_id", text_
         return len(ids), digest(decimal.encode()), digest(raw), split, digest(spans), raw == text.encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(*shared.value)
+        codec = common.kept("codec", shared.value, Codec)
         for batch in batches:
             made = [one(codec, text) for texts in _texts(batch.column(1)) for text in texts]
             columns = [pa.array([m[i] for m in made], kind) for i, kind in enumerate(kinds)]

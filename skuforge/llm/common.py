@@ -101,6 +101,16 @@ def arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     return df.mapInArrow(bounded, schema)
 
 
+_KEPT: dict[str, tuple[object, object]] = {}
+
+
+def kept(name: str, source: object, make: Callable):
+    """make(*source), kept by a worker process for its next tasks as long as source, a broadcast's value, is the same object."""
+    if name not in _KEPT or _KEPT[name][0] is not source:
+        _KEPT[name] = (source, make(*source))
+    return _KEPT[name][1]
+
+
 def release() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()

@@ -114,7 +114,7 @@ def dropped_pieces(text: str, table: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Known:
-    """What a task has worked out for pre-tokens, by the pre-token itself; bounded in number and characters, emptied when full."""
+    """What a worker has worked out for pre-tokens, by the pre-token itself; bounded in number and characters, emptied when full."""
 
     def __init__(self, limit: int, characters: int = 1 << 24):
         self.limit, self.characters = limit, characters

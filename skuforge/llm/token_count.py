@@ -14,7 +14,7 @@ left chunk, and then the left chunk grows.
 
 Chunks are encoded by the tokenizers library, with its own offsets. Texts of one chunk or less need no splicing. The
 library's work on a pre-token depends on that alone, so for such texts, where they are free of special strings and of
-characters that normalisation could join or reorder, a pre-token seen before in a task takes its count from a bounded store
+characters that normalisation could join or reorder, a pre-token seen before by a worker takes its count from a bounded store
 with the pre-token as key; the split is then made with numpy from the library's own character classes. That holds for the
 normaliser and split pattern stated in EXPECTED; with any other tokenizer file every text goes to the library.
 """
@@ -37,7 +37,7 @@ EXPECTED = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
     "split": {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
 }
-#: Pre-tokens remembered by a task.
+#: Pre-tokens remembered by a worker.
 CACHE = 500_000
 
 Scan = Callable[[str], tuple[np.ndarray, np.ndarray]]
@@ -109,11 +109,13 @@ class Counter:
         made = self.tokenizer.encode(text, add_special_tokens=False)
         if not len(made):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        word = np.array([-1 if w is None else w for w in made.word_ids])
+        words = made.word_ids
+        word = np.array(words if None not in words else [-1 if w is None else w for w in words])
         first = np.ones(len(word), bool)
         first[1:] = (word[1:] != word[:-1]) | (word[1:] < 0)
         at = np.flatnonzero(first)
-        starts, where = np.unique(np.array([a for a, _ in made.offsets])[at], return_inverse=True)
+        offsets = made.offsets
+        starts, where = np.unique(np.array([offsets[i][0] for i in at.tolist()]), return_inverse=True)
         return starts, np.bincount(where, np.diff(np.append(at, len(word)))).astype(np.int64)
 
     def _joins(self, c: str) -> bool:
@@ -167,10 +169,10 @@ def token_counts(
     table, plain = pretoken.classes("tokenizers"), pretoken.plain_characters()
     df = common.only(docs, id=id_col, text=text_col)
     id_type = df.schema["id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast((model, table, plain))  # a vocabulary: some MB whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast((model, table, plain, chunk_chars, overlap_chars))  # a vocabulary: some MB whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(*shared.value, chunk_chars, overlap_chars)
+        counter = common.kept("counter", shared.value, Counter)
         for batch in batches:
             sizes, tokens, grown = [], [], []
             for lo, hi, data, offsets in common.slices(batch.column(1)):

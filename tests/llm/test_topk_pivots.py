@@ -39,3 +39,42 @@ def test_bounds_spare_evaluations_and_large_numbers_stay_exact():
     for q in (0, 1):
         want = sorted((-sum(int(a) * int(b) for a, b in zip(big[q], big[i], strict=True)), i) for i in range(50) if i != q)[:3]
         assert [(s, i) for qq, i, s in found if qq == q] == [(-s, i) for s, i in want]
+
+
+def test_clustered_vectors_are_eliminated_by_block_and_by_candidate_spread_ones_are_not(spark):
+    from skuforge.llm import common
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 1, (6, 16))
+    near = centres[rng.integers(0, 6, 3000)] + rng.normal(0, 0.02, (3000, 16))
+    spread = rng.normal(0, 0.25, (1200, 16))
+    shares = []
+    for x, few in ((near, True), (spread, False)):
+        w = np.floor(64 * x).astype(np.int64)
+        ids = np.arange(len(w))
+        asks = ids % 20 == 0
+        found, evaluated = best_of_block(ids, w, ids[asks], w[asks], 20, 16)
+        shares.append(evaluated / (len(w) * asks.sum()))
+        rows = [(int(i), [float(c) for c in v]) for i, v in enumerate(x)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        work = common.Workspace(spark, "topk-test")
+        got = {tuple(r) for r in exact_topk(df, F.col("vec_id") % 20 == 0, block_rows=500, block_queries=40, work=work).collect()}
+        assert got == brute(rows, 20)
+        pairs = spark.read.parquet(f"{work.path}/*-pairs").count()
+        cells = spark.read.parquet(f"{work.path}/*-cells").collect()
+        every = sum(c.n_blocks for c in cells) * sum(c.n_groups for c in cells)
+        if few:
+            assert pairs < 0.5 * every
+    assert shares[0] < 0.5 < shares[1]
+
+
+def test_vectors_of_several_lengths_and_one_very_common_vector(spark):
+    draw = random.Random(9)
+    rows = [(i, [draw.choice([-0.5, 0.1, 0.3]) for _ in range(2 + i % 3)]) for i in range(240)]
+    rows += [(300 + i, [0.5, 0.5, 0.5]) for i in range(400)] + [(1000, []), (1020, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in exact_topk(df, F.col("vec_id") % 20 == 0, k=5, block_rows=50, block_queries=7).collect()}
+    want = set()
+    for n in (0, 2, 3, 4):
+        want |= brute([(i, v) for i, v in rows if len(v) == n], 5)
+    assert got == want

@@ -6,13 +6,18 @@ longest suffix of what has been read that occurs in some item. Where that length
 of fewer words), the state of the window's length tells the items that hold it, and the window's words are hit.
 
 Most words of most documents can't be within a window: a window's words are all of the items' vocabulary, and each two
-neighbours are neighbours in an item. That is tested for a whole batch with numpy, by 64-bit hashes; only runs long enough
-for the shortest window go through the automaton, word by word, so nothing is missed.
+neighbours are neighbours in an item. That is tested for a whole batch with numpy, by 64-bit hashes, which can only let too
+much through; runs long enough for the shortest window go through the automaton word by word, with the words themselves
+compared. So nothing is missed and nothing is hit by a hash alone.
+
+The automaton is built once for each block of items and flattened: sorted edges and suffix links as arrays of numbers, which
+are broadcast and kept by each worker.
 """
 
 from __future__ import annotations
 
-import hashlib
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,6 +102,41 @@ class SuffixAutomaton:
             state = self.link[state]
         return state
 
+    def flat(self, n_words: int) -> FlatAutomaton:
+        """The same as arrays; words are numbers below n_words."""
+        edges = sorted((state * n_words + w, to) for state, moves in enumerate(self.next) for w, to in moves.items())
+        return FlatAutomaton(n_words, array("q", (e for e, _ in edges)), array("q", (t for _, t in edges)), array("q", self.link), array("q", self.length), self.window, self.found)
+
+
+class FlatAutomaton:
+    """A finished automaton: 16 bytes for an edge and 16 for a state, with at most 3 edges and 2 states for a word of the items."""
+
+    def __init__(self, n_words: int, edges: array, to: array, link: array, length: array, window: int, found: dict[int, dict[int, set]]):
+        self.n_words, self.edges, self.to, self.link, self.length, self.window, self.found = n_words, edges, to, link, length, window, found
+
+    def _move(self, state: int, w: int) -> int:
+        """Where an edge leads, or -1."""
+        at = bisect_left(self.edges, edge := state * self.n_words + w)
+        return self.to[at] if at < len(self.edges) and self.edges[at] == edge else -1
+
+    def step(self, state: int, length: int, w: int, cap: int) -> tuple[int, int]:
+        """State and matched length after one more word (below 0: unknown), of at most cap words."""
+        if w < 0:
+            return 0, 0
+        while (to := self._move(state, w)) < 0:
+            if not state:
+                return 0, 0
+            state = self.link[state]
+            length = self.length[state]
+        length = min(length + 1, cap)
+        return self.cut(to, length), length
+
+    def cut(self, state: int, length: int) -> int:
+        """The state of the suffix of that length."""
+        while self.length[self.link[state]] >= length > 0:
+            state = self.link[state]
+        return state
+
     def stream(self, words: list[int]) -> tuple[list[tuple[int, int]], set]:
         """(hit spans in words, items) of a run of words."""
         spans: list[tuple[int, int]] = []
@@ -121,16 +161,27 @@ class SuffixAutomaton:
         return spans, items
 
 
+def words_of(text: bytes) -> list[bytes]:
+    """The words of a text, A-Z lower-cased."""
+    data = np.frombuffer(text, np.uint8)
+    _, starts, ends = common.words(data, np.array([0, len(data)]), common.ALNUM)
+    low = text.lower()
+    return [low[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
 class Matcher:
     """The automaton with the vocabulary and the neighbours that its windows are made of."""
 
-    def __init__(self, items: list[tuple[object, np.ndarray]], window: int):
-        self.vocabulary = np.unique(np.concatenate([w for _, w in items] or [np.zeros(0, np.uint64)]))
-        pairs = [w[:-1] * _PAIR + w[1:] for _, w in items if len(w) > 1]
+    def __init__(self, items: list[tuple[object, list[bytes]]], window: int):
+        self.number = {w: i for i, w in enumerate(dict.fromkeys(w for _, words in items for w in words))}
+        ends = np.cumsum([len(w) for w in self.number], dtype=np.int64)
+        hashes = common.span_hashes(np.frombuffer(b"".join(self.number), np.uint8), np.append(np.zeros(1, np.int64), ends[:-1]), ends) if self.number else np.zeros(0, np.uint64)
+        numbers = [[self.number[w] for w in words] for _, words in items]
+        self.vocabulary = np.unique(hashes)
+        pairs = [hashes[x[:-1]] * _PAIR + hashes[x[1:]] for n in numbers if len(x := np.array(n, np.int64)) > 1]
         self.pairs = np.unique(np.concatenate(pairs or [np.zeros(0, np.uint64)]))
-        sizes = [min(window, len(w)) for _, w in items if len(w)]
-        self.least = min(sizes, default=0)
-        self.automaton = SuffixAutomaton([(i, np.searchsorted(self.vocabulary, w).tolist()) for i, w in items], window)
+        self.least = min((min(window, len(n)) for n in numbers if n), default=0)
+        self.automaton = SuffixAutomaton([(i, n) for (i, _), n in zip(items, numbers, strict=True)], window).flat(max(len(self.number), 1))
 
     @staticmethod
     def _in(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -140,8 +191,9 @@ class Matcher:
         at[at == len(sorted_values)] = 0
         return sorted_values[at] == x
 
-    def match(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]], set]]:
-        """hashes: words of several texts, first: where each text begins and where the last ends. (text, spans, items) of those hit."""
+    def match(self, data: np.ndarray, hashes: np.ndarray, word_starts: np.ndarray, word_ends: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]], set]]:
+        """Words of several texts: hashes, and places in data; first: where each text begins and where the last ends.
+        (text, spans, items) of those hit."""
         if not self.least or not len(hashes):
             return
         known = self._in(self.vocabulary, hashes)
@@ -155,7 +207,10 @@ class Matcher:
         long = ends - starts >= self.least
         texts: dict[int, tuple[list[tuple[int, int]], set]] = {}
         for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
-            spans, items = self.automaton.stream(np.searchsorted(self.vocabulary, hashes[a:b]).tolist())
+            begin = int(word_starts[a])
+            raw = data[begin : word_ends[b - 1]].tobytes().lower()
+            run = [self.number.get(raw[x:y], -1) for x, y in zip((word_starts[a:b] - begin).tolist(), (word_ends[a:b] - begin).tolist(), strict=True)]
+            spans, items = self.automaton.stream(run)
             if spans:
                 text = int(np.searchsorted(first, a, "right")) - 1
                 got = texts.setdefault(text, ([], set()))
@@ -165,55 +220,55 @@ class Matcher:
             yield text, spans, items
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> list[list[tuple[str, np.ndarray]]]:
-    """Items in blocks of about block_words words, each item once or more whole. Rows stream to the driver one partition at a time."""
+def _matchers(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int) -> Iterator[Matcher]:
+    """A matcher for each block of items of about block_words words, every item whole. Items stream to the driver one partition
+    at a time, and no more than one block of them is held."""
     rows = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("item is not null and text is not null")
-    blocks: list[list[tuple[str, np.ndarray]]] = []
-    size = block_words + 1
+    block: list[tuple[str, list[bytes]]] = []
+    size = 0
     for row in rows.toLocalIterator():
-        data = np.frombuffer(row.text.encode(), np.uint8)
-        hashes, _, _ = common.words(data, np.array([0, len(data)]), common.ALNUM)
-        if size + len(hashes) > block_words:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row.item, hashes))
-        size += len(hashes)
-    return blocks
+        words = words_of(row.text.encode())
+        if block and size + len(words) > block_words:
+            yield Matcher(block, window)
+            block, size = [], 0
+        block.append((row.item, words))
+        size += len(words)
+    yield Matcher(block, window)
 
 
 HIT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("items", T.ArrayType(T.StringType()))])
 
 
-def find(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, hit_col: str = "hit", block_words: int = 2_000_000) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, hit_col: str = "hit", block_words: int = 200_000) -> DataFrame:
     """docs with hit_col: n_words, spans of hit words (start, end; end exclusive, disjoint) and the items, of each whole text.
 
     A null text has no words; null items and texts of items are skipped; an item id on several rows counts once. Repeated
-    rows stay. Items come in blocks of block_words at most (an automaton of some 100 MB), each a pass within the same
-    tasks, so a broadcast has a bound whatever the benchmark; no shuffle.
+    rows stay. Items come in blocks of block_words at most (or one longer item), each a pass within the same tasks with an
+    automaton of its own, so a broadcast has a bound whatever the benchmark; no shuffle. README has the memory measured.
     """
     keep = [c for c in docs.columns if c.lower() != hit_col.lower()]
     df = docs.select(*(f"`{c}`" for c in keep))
     at = [c.lower() for c in keep].index(text_col.lower())
     sc = docs.sparkSession.sparkContext
-    for k, block in enumerate(_blocks(benchmark, item_col, item_text_col, block_words) or [[]]):
-        shared = sc.broadcast(block)
+    for k, matcher in enumerate(_matchers(benchmark, item_col, item_text_col, window, block_words)):
+        shared = sc.broadcast(matcher)
         schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(hit_col, HIT)])
-        df = df.transform(common.arrow, _pass(shared, window, at, len(keep), k > 0, [*keep, hit_col]), schema)
+        df = df.transform(common.arrow, _pass(shared, at, len(keep), k > 0, [*keep, hit_col]), schema)
     return df
 
 
-def _pass(shared, window: int, at: int, n_keep: int, again: bool, names: list[str]):
+def _pass(shared, at: int, n_keep: int, again: bool, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value, window)
+        matcher = shared.value
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
             spans: list[list] = [[] for _ in range(batch.num_rows)]
             items: list[list] = [[] for _ in range(batch.num_rows)]
             for lo, hi, data, offsets in common.slices(batch.column(at)):
-                hashes, starts, _ = common.words(data, offsets, common.ALNUM)
+                hashes, starts, ends = common.words(data, offsets, common.ALNUM)
                 first = common.per_text(starts, offsets)
                 n[lo:hi] = np.diff(first)
-                for text, got, which in matcher.match(hashes, first):
+                for text, got, which in matcher.match(data, hashes, starts, ends, first):
                     spans[lo + text], items[lo + text] = got, sorted(which)
             if again:
                 for i, old in enumerate(batch.column(n_keep).to_pylist()):

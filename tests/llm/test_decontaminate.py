@@ -69,3 +69,27 @@ def test_cleaning_removes_spans_and_covered_documents(spark):
     assert decontaminate.clean(docs, bench).columns == docs.columns
     assert decontaminate.report(docs.limit(0), bench).count() == 0
     assert decontaminate.report(docs, bench.limit(0)).filter("contaminated").count() == 0
+
+
+def test_look_alikes_of_a_polynomial_hash_are_no_hits(spark):
+    a = "".join("ab"[i.bit_count() & 1] for i in range(1 << 10))
+    b = a.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, f"x {a} y"), (2, f"x {b} y"), (3, f"{a}{b}")], "doc_id long, text string")
+    got = {r.doc_id: r.n_hit for r in decontaminate.report(docs, spark.createDataFrame([(7, a)], "item_id long, text string")).collect()}
+    assert got == {1: 1, 2: 0, 3: 0}
+
+
+def test_a_word_with_the_hash_of_an_items_word_is_no_hit(monkeypatch, spark):
+    from skuforge.llm import common
+
+    docs = [(1, "p q r"), (2, "p x r"), (3, "p q r p q r s")]
+    items = [("i", decontaminate.words_of(b"p q r"))]
+    real = common.span_hashes
+    monkeypatch.setattr(common, "span_hashes", lambda d, s, e: real(d, s, e) % 2)  # nearly all words collide
+    m = decontaminate.Matcher(items, 10)
+    for i, text in docs:
+        data = decontaminate.np.frombuffer(text.encode(), decontaminate.np.uint8)
+        ends = decontaminate.np.array([0, len(data)])
+        hashes, starts, stops = common.words(data, ends, common.ALNUM)
+        got = [sum(b - a for a, b in s) for _, s, _ in m.match(data, hashes, starts, stops, common.per_text(starts, ends))]
+        assert got == {1: [3], 2: [], 3: [6]}[i]

@@ -230,24 +230,27 @@ def per_text(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.searchsorted(starts, offsets)
 
 
-# ---- sums of arrays over a cluster -------------------------------------------------------------------------------------
+# ---- arrays combined over a cluster -------------------------------------------------------------------------------------
 
 
-def sum_arrays(rows: DataFrame, dtype: str, fan_in: int = 16) -> np.ndarray | None:
-    """The elementwise sum of binary column `part` over all rows (arrays of one fixed length), fan_in to one per round."""
+def fold_arrays(rows: DataFrame, dtype: str, combine: Callable[[np.ndarray, np.ndarray], np.ndarray], fan_in: int = 16) -> np.ndarray | None:
+    """combine() over binary column `part` of all rows (arrays of one fixed length), fan_in to one per round."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             for x in batch.column(0):
                 part = np.frombuffer(x.as_buffer(), dtype)
-                total = part.copy() if total is None else np.add(total, part, out=total)
+                total = part.copy() if total is None else combine(total, part)
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
 
     n = rows.rdd.getNumPartitions()
     while n > 1:
         n = -(-n // fan_in)
-        rows = rows.repartition(n).transform(arrow, add, "part binary")
-    parts = [np.frombuffer(bytes(r[0]), dtype) for r in rows.transform(arrow, add, "part binary").collect()]
-    return sum(parts[1:], parts[0].copy()) if parts else None
+        rows = rows.repartition(n).transform(arrow, fold, "part binary")
+    parts = [np.frombuffer(bytes(r[0]), dtype) for r in rows.transform(arrow, fold, "part binary").collect()]
+    total = None
+    for part in parts:
+        total = part.copy() if total is None else combine(total, part)
+    return total

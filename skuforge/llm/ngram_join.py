@@ -10,11 +10,16 @@ of sizes a and b can only reach it with an overlap of least(a, b) = ceil(t (a +
   common n-grams in the prefixes at most c plus the longer rest;
 * suffix: with the n-grams' range cut at fixed pivots, the parts' sizes differ by no more than the sets do, in sum.
 
-Prefix n-grams found in up to FEW sets are joined with themselves; the pairs left by the filters make groups of candidates.
-An n-gram found in more sets is a group of its own. Each set is sent once to each of its groups, where pairs are verified
-exactly, each once, unless already known to be connected. A large group is verified in blocks: first blocks of some members
-with common anchors; then whoever isn't in the group's largest component, against all members, block by block. So no pair
-that could connect two components goes untested, and nothing is capped.
+Sets are joined on prefix n-grams in two rounds. In the first, every set meets one leader of each of its prefix n-grams, so
+the pairs are as many as the prefix n-grams; what they link needs no more pairs. In the second, sets with a common prefix
+n-gram that aren't connected yet meet each other. A pair that several n-grams bring together is one pair, filtered by length
+and position in the join and by suffix before it is verified, exactly and in one round only. A group of thousands of copies
+is thus connected through its leader, and a frequent n-gram of unlike sets makes only the pairs that pass the filters: the
+join goes by n-gram and class of size, where neighbouring classes hold all sizes that the length filter allows, so that one
+n-gram isn't one task.
+
+Pairs are verified in units: the pairs of one n-gram, cut into blocks of bounded numbers of sets and n-grams, with each
+block's sets. No pair that could connect two components goes untested, and nothing is capped.
 """
 
 from __future__ import annotations
@@ -27,15 +32,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from skuforge.llm import common
 from skuforge.llm.components import components
 
 SKETCH_BITS = 20
-FEW = 64
-GROUP_SETS, GROUP_NGRAMS = 256, 2_000_000
-ANCHORS = 8
+#: Sets, and n-grams of sets, on each side of a unit of verification.
+GROUP_SETS, GROUP_NGRAMS = 512, 1_000_000
 PARTS = 32
 
 
@@ -90,15 +93,24 @@ def _sketch(texts: DataFrame, n: int) -> np.ndarray:
                 found = sets(data, offsets, n)
                 if found:
                     total += np.bincount((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.uint32).tobytes()], pa.binary())], ["part"])
+        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(total, _MOST).astype(np.uint32).tobytes()], pa.binary())], ["part"])
 
-    got = common.sum_arrays(texts.transform(common.arrow, count, "part binary"), "uint32")
-    return got if got is not None else np.zeros(1 << SKETCH_BITS, np.uint32)
+    got = common.fold_arrays(texts.transform(common.arrow, count, "part binary"), "uint32", _add)
+    # for an order, an eighth of a binary order of magnitude tells enough, in a byte
+    return np.zeros(1 << SKETCH_BITS, np.uint8) if got is None else np.minimum(8 * np.log2(1.0 + got), 255).astype(np.uint8)
 
 
-def connect(ids: np.ndarray, tokens: list[np.ndarray], num: int, den: int, left: np.ndarray | None = None, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links (places in ids) that connect the sets of a group: each pair within the filters' bounds is verified once, unless
-    already connected. left: pairs need one of these; labels: what is known to be connected."""
+_MOST = np.uint64(2**32 - 1)
+
+
+def _add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums that stop at the largest number."""
+    return np.minimum(a.astype(np.uint64) + b, _MOST).astype(np.uint32)
+
+
+def connect(ids: np.ndarray, tokens: list[np.ndarray], num: int, den: int, pairs: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
+    """Links (places in ids) that connect what the pairs (places in ids; all, if None) can: each pair within the bounds of the
+    length and suffix filters is verified once, unless already connected."""
     m = len(tokens)
     size = np.array([len(t) for t in tokens], np.int64)
     if m < 2:
@@ -111,23 +123,25 @@ def connect(ids: np.ndarray, tokens: list[np.ndarray], num: int, den: int, left:
             x = parent[x]
         return x
 
-    if labels is not None:
-        for same in pd.Series(range(m)).groupby(labels, sort=False).indices.values():
-            parent[same] = same[0]
     order = np.argsort(size, kind="stable")
+    if pairs is None:
+        partners = {int(u): order[k + 1 :] for k, u in enumerate(order)}
+    else:
+        rank = np.empty(m, np.int64)
+        rank[order] = np.arange(m)
+        both = np.array(pairs, np.int64).reshape(-1, 2)
+        both = np.where((rank[both[:, 0]] < rank[both[:, 1]])[:, None], both, both[:, ::-1])
+        both = both[np.lexsort((rank[both[:, 1]], both[:, 0]))]
+        cuts = np.flatnonzero(np.append(True, both[1:, 0] != both[:-1, 0]))
+        partners = {int(part[0, 0]): part[:, 1] for part in np.split(both, cuts[1:])} if len(both) else {}
     shift = np.uint64(64 - int(np.log2(PARTS)))
     parts = np.stack([np.bincount((t >> shift).astype(np.int64), minlength=PARTS) for t in tokens])
     vocabulary, where = np.unique(np.concatenate(tokens), return_inverse=True)
     ends = np.append(0, np.cumsum(size))
     mine = np.zeros(len(vocabulary), bool)
     links = []
-    for k, u in enumerate(order.tolist()):
-        later = order[k + 1 :]
-        later = later[: int(np.searchsorted(size[later] * num, size[u] * den, "right"))]  # length
-        if left is not None and not left[u]:
-            later = later[left[later]]
-        if not len(later):
-            continue
+    for u, later in partners.items():
+        later = later[size[later] * num <= size[u] * den]  # length
         need = -(-num * (size[u] + size[later]) // (num + den))
         apart = np.abs(parts[later] - parts[u]).sum(1)  # suffix: parts of the sets' range
         later = later[apart <= size[u] + size[later] - 2 * need]
@@ -138,7 +152,7 @@ def connect(ids: np.ndarray, tokens: list[np.ndarray], num: int, den: int, left:
         mine[where[ends[u] : ends[u + 1]]] = True
         for v in later:
             if find(v) != find(u):
-                both = int(mine[where[ends[v] : ends[v + 1]]].sum())
+                both = int(np.count_nonzero(mine[where[ends[v] : ends[v + 1]]]))
                 if den * both >= num * (size[u] + size[v] - both):
                     parent[find(v)] = find(u)
                     links.append((u, v))
@@ -151,12 +165,13 @@ LINK = "a binary, b binary"
 
 def _verify(num: int, den: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key", kind="stable").drop_duplicates("key", ignore_index=True)
-        keys = pdf["key"].tolist()
-        tokens = [np.asarray(t, np.int64).view(np.uint64) for t in pdf["tokens"]]
-        left = pdf["left"].to_numpy(bool) if "left" in pdf else None
-        labels = [x if x is not None else k for x, k in zip(pdf["label"], keys, strict=True)] if "label" in pdf else None
-        found = connect(np.arange(len(keys)), tokens, num, den, left, None if labels is None else pd.factorize(pd.Series(labels))[0])
+        sets = pdf[pdf["other"].isna()].drop_duplicates("key", ignore_index=True)
+        keys = sets["key"].tolist()
+        place = {k: i for i, k in enumerate(keys)}
+        asked = pdf[pdf["other"].notna()]
+        pairs = [(place[a], place[b]) for a, b in zip(asked["key"], asked["other"], strict=True)]
+        tokens = [np.asarray(t, np.int64).view(np.uint64) for t in sets["tokens"]]
+        found = connect(np.arange(len(keys)), tokens, num, den, pairs)
         return pd.DataFrame([(keys[a], keys[b]) for a, b in found], columns=["a", "b"])
 
     return run
@@ -169,115 +184,102 @@ def _text_hash(text: Column) -> Column:
 def links(docs: DataFrame, work: common.Workspace, *, id_col: str, text_col: str, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(base: id, n_ngrams, key of the set, hash of the text) for every row, and links (a, b) between keys that connect all linked sets."""
     df = common.only(docs, id=id_col, text=text_col).select("id", "text", _text_hash(F.col("text")).alias("text_hash"))
-    sc = docs.sparkSession.sparkContext
-    sketch = sc.broadcast(_sketch(df.select("text"), n))  # 4 MB whatever the input
+    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(df.select("text"), n))  # 1 MB whatever the input
     kind = df.schema["id"].dataType.simpleString()
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, keys, prefix, parts = [], [], [], []
+            size, keys, prefix = [], [], []
             for _, _, data, offsets in common.slices(batch.column(1)):
                 for s in sets(data, offsets, n):
                     size.append(len(s))
                     keys.append(_key(s) if len(s) else None)
                     prefix.append(_signed(_order(s, sketch.value)[: len(s) - _at_least(num, den, len(s)) + 1 if len(s) else 0]))
-                    parts.append(np.bincount((s >> np.uint64(64 - int(np.log2(PARTS)))).astype(np.int64), minlength=PARTS).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), _lists(prefix, pa.int64()), _lists(parts, pa.int32()), batch.column(2)], ["id", "n", "key", "prefix", "parts", "text_hash"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), _lists(prefix, pa.int64()), batch.column(2)], ["id", "n", "key", "prefix", "text_hash"])
 
-    common.release()  # the driver's share of the sketch
-    base = work.save(df.transform(common.arrow, describe, f"id {kind}, n long, key binary, prefix array<long>, parts array<int>, text_hash long"), "sets")
-    nodes = base.filter("n > 0").groupBy("key").agg(F.min(F.struct("n", "prefix", "parts")).alias("s"), F.min("id").alias("id")).select("key", "id", "s.*")
-    nodes = work.save(nodes, "nodes")
+    common.release()
+    base = work.save(df.transform(common.arrow, describe, f"id {kind}, n long, key binary, prefix array<long>, text_hash long"), "sets")
+    nodes = work.save(base.filter("n > 0").groupBy("key").agg(F.min(F.struct("n", "prefix")).alias("s"), F.min("id").alias("id")).select("key", "id", "s.*"), "nodes")
     postings = nodes.select("key", "n", F.posexplode("prefix").alias("pos", "h"))
-    counts = postings.groupBy("h").agg(F.count("*").alias("cnt")).filter("cnt > 1")
+    blocks = F.ceil(F.greatest(F.count("*") / GROUP_SETS, F.sum("n") / GROUP_NGRAMS)).cast("int")
+    counts = postings.groupBy("h").agg(F.count("*").alias("cnt"), blocks.alias("blocks")).filter("cnt > 1")
     shared = work.save(postings.join(counts, "h"), "shared")
-    few = shared.filter(F.col("cnt") <= FEW)
-    hot = shared.filter(F.col("cnt") > FEW)
-    many = hot.groupBy("key").agg(F.count("*").alias("n_hot"))
-    few = few.join(many, "key", "left").withColumn("n_hot", F.coalesce("n_hot", F.lit(0)))
-    a, b = few.alias("a"), few.alias("b")
+    full = work.save(_full(df, nodes.join(shared.select("key").distinct(), "key", "left_semi"), n), "full")
+    # a pair is (a, b) with a the smaller set, by key where sizes are equal
+    ahead = lambda x, y: (F.col(f"{x}.n") < F.col(f"{y}.n")) | ((F.col(f"{x}.n") == F.col(f"{y}.n")) & (F.col(f"{x}.key") < F.col(f"{y}.key")))
+    need = lambda na, nb: F.ceil((na + nb) * num / (num + den) - 1e-9)
     na, nb, pa_, pb = F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos")
-    need = F.ceil((na + nb) * num / (num + den) - 1e-9)
-    near = (F.col("a.h") == F.col("b.h")) & (F.col("a.key") < F.col("b.key")) & (na * den >= nb * num) & (nb * den >= na * num)
-    near &= F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1) >= need
-    pairs = a.join(b, near).groupBy(F.col("a.key").alias("ka"), F.col("b.key").alias("kb")).agg(F.count("*").alias("c"), F.first("a.n").alias("na"), F.first("b.n").alias("nb"), F.first(F.least("a.n_hot", "b.n_hot")).alias("more"))
+    near = (na * den >= nb * num) & (F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1) >= need(na, nb))
+    unit = F.max(F.struct(F.col("a.cnt").alias("cnt"), F.col("a.h").alias("h"), F.col("a.blocks").alias("blocks"))).alias("unit")
+    pair = [F.col("a.key").alias("ka"), F.col("b.key").alias("kb")]
+    # first round: with the leader of each prefix n-gram
+    columns = ["h", "key", "n", "pos", "cnt", "blocks"]
+    led = shared.groupBy("h").agg(F.min(F.struct(F.xxhash64("key").alias("r"), *columns[1:])).alias("l")).select("h", *(F.col(f"l.{c}").alias(f"l_{c}") for c in columns[1:]))
+    both = shared.join(led, "h").filter(F.col("key") != F.col("l_key")).select(F.struct(*columns).alias("x"), F.struct("h", *(F.col(f"l_{c}").alias(c) for c in columns[1:])).alias("y"))
+    first = both.select(F.when(ahead("x", "y"), F.col("x")).otherwise(F.col("y")).alias("a"), F.when(ahead("x", "y"), F.col("y")).otherwise(F.col("x")).alias("b"))
+    first = work.save(first.filter(near).groupBy(*pair).agg(unit), "pairs")
+    found = work.save(_verified(first, full, num, den), "links")
+    # second round: whoever has a prefix n-gram in common and isn't connected yet
+    label = components(found, work, "connected").withColumnRenamed("node", "key")
+    named = work.save(shared.join(label, "key", "left").withColumn("label", F.coalesce("label", "key")), "named")
+    several = named.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("h")
+    step = max(float(np.log(den / num)), 1e-6) * 1.0001
+    open_ = named.join(several, "h").withColumn("size", F.floor(F.log("n") / step))
+    a = open_.withColumn("size", F.explode(F.array(F.col("size"), F.col("size") + 1))).alias("a")
+    b = open_.alias("b")
+    meet = (F.col("a.h") == F.col("b.h")) & (F.col("a.size") == F.col("b.size")) & ahead("a", "b") & (F.col("a.label") != F.col("b.label")) & near
+    second = a.join(b, meet).groupBy(*pair).agg(unit, F.count("*").alias("c"), F.first("a.n").alias("na"), F.first("b.n").alias("nb"))
     rest = lambda x: F.ceil(F.col(x) * num / den - 1e-9) - 1
-    need = F.ceil((F.col("na") + F.col("nb")) * num / (num + den) - 1e-9)
-    pairs = pairs.filter(F.col("c") + F.col("more") + F.greatest(rest("na"), rest("nb")) >= need)
-    for x in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("key").alias(f"k{x}"), F.col("parts").alias(f"p{x}")), f"k{x}")
-    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    pairs = pairs.filter(apart <= F.col("na") + F.col("nb") - 2 * need).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
-    groups = components(pairs, work, "candidates").select(F.concat(F.lit(b"c"), "label").alias("unit"), F.col("node").alias("key"))
-    groups = groups.unionByName(hot.select(F.concat(F.lit(b"h"), F.hex("h").cast("binary")).alias("unit"), "key"))
-    groups = work.save(groups.join(nodes.select("key", "n"), "key"), "groups")
-    sizes = groups.groupBy("unit").agg(F.count("*").alias("m"), F.sum("n").alias("grams"))
-    sizes = sizes.withColumn("blocks", F.ceil(F.greatest(F.col("m") / GROUP_SETS, F.col("grams") / GROUP_NGRAMS)).cast("int"))
-    sizes = work.save(sizes, "sizes")
-    full = work.save(_full(df, nodes.join(groups.select("key").distinct(), "key", "left_semi"), n, num, den), "full")
-    small = groups.join(sizes.filter("blocks <= 1").select("unit"), "unit").select("unit", "key")
-    large = work.save(groups.join(sizes.filter("blocks > 1").select("unit", "blocks"), "unit").select("unit", "key", "blocks"), "large")
-    verify = _verify(num, den)
-    found = small.join(full, "key").groupBy("unit").applyInPandas(verify, LINK)
-    if large.isEmpty():
-        return base, work.save(found, "links")
-    spread = lambda m, salt: F.pmod(F.xxhash64("key", "unit", F.lit(salt)), m).cast("int")
-    first = Window.partitionBy("unit").orderBy(F.xxhash64("key", F.lit(7)), "key")
-    anchors = large.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= ANCHORS).select("unit", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    blocks = large.select("unit", "key", spread(F.col("blocks"), 1).alias("block")).unionByName(anchors).distinct()
-    found = work.save(found.unionByName(blocks.join(full, "key").groupBy("unit", "block").applyInPandas(verify, LINK)), "links")
-    # whoever isn't in the largest component of a large group meets all of the group
-    known = components(found, work, "connected")
-    named = large.join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    named = work.save(named, "named")
-    by_label = named.groupBy("unit", "label").agg(F.count("*").alias("c"))
-    main = by_label.groupBy("unit").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("m")).select("unit", F.col("top.label").alias("main"), (F.col("m") - F.col("top.c")).alias("outside")).filter("outside > 0")
-    open_ = named.join(main, "unit").withColumn("left", F.col("label") != F.col("main"))
-    rows = F.ceil(F.col("outside") / GROUP_SETS).cast("int")
-    upto = lambda m: F.explode(F.sequence(F.lit(0), m - 1))
-    every = open_.select("unit", "key", "label", "left", spread(F.col("blocks"), 2).alias("j"), upto(rows).alias("i")).withColumn("left", F.lit(False))
-    outside = open_.filter("left").select("unit", "key", "label", "left", spread(rows, 3).alias("i"), upto(F.col("blocks")).alias("j"))
-    last = outside.unionByName(every).groupBy("unit", "i", "j", "key", "label").agg(F.max("left").alias("left"))
-    more = last.join(full, "key").groupBy("unit", "i", "j").applyInPandas(verify, LINK)
-    return base, work.save(found.unionByName(more), "links")
-
-
-def _full(df: DataFrame, nodes: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Whole sets of some nodes: the rows that stand for them are told by a bit map of bounded size, then by a join."""
+    second = second.filter(F.col("c") + F.greatest(rest("na"), rest("nb")) >= need(F.col("na"), F.col("nb"))).select("ka", "kb", "unit")
+    second = work.save(second.join(first.select("ka", "kb"), ["ka", "kb"], "left_anti"), "pairs")
+    return base, work.save(found.unionByName(_verified(second, full, num, den)), "links")
+
+
+def _verified(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) among the pairs (ka, kb, unit), unit by unit."""
+    block = lambda key, side: F.pmod(F.xxhash64(key, F.lit(1)), F.col("unit.blocks")).cast("int").alias(side)
+    units = pairs.select("ka", "kb", F.col("unit.h").alias("h"), block("ka", "i"), block("kb", "j"))
+    unit = ["h", "i", "j"]
+    needed = units.select(*unit, F.explode(F.array("ka", "kb")).alias("key")).distinct()
+    rows = needed.join(full, "key").select(*unit, "key", F.lit(None).cast("binary").alias("other"), "tokens")
+    rows = rows.unionByName(units.select(*unit, F.col("ka").alias("key"), F.col("kb").alias("other"), F.lit(None).cast("array<long>").alias("tokens")))
+    return rows.groupBy(*unit).applyInPandas(_verify(num, den), LINK)
+
+
+def _full(df: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """Whole sets of some nodes (key, id): a bit map of bounded size tells the rows that stand for them, and lets few others
+    through, which the joins drop."""
     count = nodes.count()
-    bits = min(1 << 28, max(1 << 16, 1 << (16 * max(count, 1) - 1).bit_length()))
+    bits = min(1 << 26, max(1 << 16, 1 << (16 * max(count, 1) - 1).bit_length()))
 
-    def place(key: bytes) -> int:
-        return int.from_bytes(key[:8], "little") % bits
+    def place(key: bytes, row_id: object) -> int:
+        return int.from_bytes(hashlib.blake2b(key + str(row_id).encode(), digest_size=8).digest(), "little") % bits
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there = np.zeros(bits, bool)
+        there = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            there[[place(k) for k in batch.column(0).to_pylist()]] = True
+            at = np.array([place(k, i) for k, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], np.int64)
+            np.bitwise_or.at(there, at >> 3, (128 >> (at & 7)).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([there.tobytes()], pa.binary())], ["part"])
 
-    got = common.sum_arrays(nodes.select("key").coalesce(32).transform(common.arrow, mark, "part binary"), "?")
-    shared = df.sparkSession.sparkContext.broadcast(np.packbits(got) if got is not None else np.zeros(bits // 8, np.uint8))
-    kind = df.schema["id"].dataType.simpleString()
+    got = common.fold_arrays(nodes.select("key", "id").coalesce(32).transform(common.arrow, mark, "part binary"), "uint8", np.bitwise_or)
+    shared = df.sparkSession.sparkContext.broadcast(got if got is not None else np.zeros(bits // 8, np.uint8))  # 8 MB at most
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there = shared.value
         for batch in batches:
+            ids = batch.column(0).to_pylist()
             for lo, _, data, offsets in common.slices(batch.column(1)):
-                at, keys, tokens = [], [], []
+                keys, tokens = [], []
                 for i, s in enumerate(sets(data, offsets, n)):
                     if len(s):
-                        p = place(k := _key(s))
+                        p = place(k := _key(s), ids[lo + i])
                         if there[p >> 3] >> (7 - (p & 7)) & 1:
-                            at.append(lo + i)
                             keys.append(k)
                             tokens.append(_signed(s))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(keys, pa.binary()), _lists(tokens, pa.int64())], ["id", "key", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), _lists(tokens, pa.int64())], ["key", "tokens"])
 
-    made = df.transform(common.arrow, take, f"id {kind}, key binary, tokens array<long>")
-    # copies of a set: the row with the node's id stands for it
-    one = made.join(nodes.select("key", F.col("id").alias("node_id")), "key").filter(F.col("id").eqNullSafe(F.col("node_id")))
-    return one.groupBy("key").agg(F.min("tokens").alias("tokens"))
+    return df.transform(common.arrow, take, "key binary, tokens array<long>").groupBy("key").agg(F.first("tokens").alias("tokens"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, work: common.Workspace | None = None) -> DataFrame:

@@ -52,9 +52,8 @@ def corpus(seed, groups, copies, size, edits):
     return out
 
 
-@pytest.mark.parametrize("few,group_sets", [(64, 256), (3, 6)])
-def test_against_brute_force(spark, monkeypatch, few, group_sets):
-    monkeypatch.setattr(ngram_join, "FEW", few)
+@pytest.mark.parametrize("group_sets", [256, 6])
+def test_against_brute_force(spark, monkeypatch, group_sets):
     monkeypatch.setattr(ngram_join, "GROUP_SETS", group_sets)
     texts = corpus(1, 40, 6, 120, 4) + corpus(2, 2, 60, 100, 3) + ["one two", "One  two", "a", "", None, " \t\n", "x " * 3000, "x " * 2000]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (3, texts[3]), (5, "other text of a repeated id")]
@@ -120,3 +119,41 @@ def test_keep_one_decides_by_row(spark):
     got = sorted(map(tuple, ngram_join.keep_one(docs).collect()), key=str)
     assert got == sorted([(1, a, "x"), (5, b, "x"), (7, c, "x"), (9, "", "x"), (9, "", "x"), (None, a, "x"), (None, a, "x")], key=str)
     assert sorted(r.doc_id for r in ngram_join.keep_one(docs.filter("doc_id < 7")).collect()) == [1, 5]
+
+
+def test_pairs_are_verified_once_and_copies_are_not_expanded(spark):
+    draw = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for k in range(120):  # near-copies: each has one word of its own
+        w = list(base)
+        w[draw.randrange(len(w))] = f"own{k}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    work = common.Workspace(spark, "ngram-test")
+    got = ngram_join.near_duplicates(docs, n=3, num=90, den=100, work=work).collect()
+    assert {r.component_id for r in got} == {0}
+    pairs = [(bytes(r.ka), bytes(r.kb)) for r in spark.read.parquet(f"{work.path}/*-pairs").collect()]
+    assert len(pairs) == len({frozenset(p) for p in pairs}) and len(pairs) < 120 * 119 / 8
+
+
+def test_one_prefix_ngram_in_very_many_unlike_sets(spark):
+    draw = random.Random(12)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(4))
+    texts = ["the same three " + " ".join(word() for _ in range(draw.randint(3, 40))) for _ in range(10_000)]
+    texts += [t + " more" for t in texts[:3]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    work = common.Workspace(spark, "ngram-test")
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs, n=3, num=80, den=100, work=work).collect()}
+    size = lambda t: len(shingles(t, 3))
+    for i, t in enumerate(texts[:3]):
+        linked = 100 * size(t) >= 80 * (size(t) + 1)
+        assert got[10_000 + i] == (i if linked else 10_000 + i)
+    assert sum(i != c for i, c in got.items()) <= 3
+    assert spark.read.parquet(f"{work.path}/*-pairs").count() < 100_000
+
+
+def test_look_alikes_of_a_polynomial_hash_are_not_linked(spark):
+    a = "".join("ab"[i.bit_count() & 1] for i in range(1 << 10))
+    docs = spark.createDataFrame([(1, f"{a} x y"), (2, f"{a.translate(str.maketrans('ab', 'ba'))} x y")], "doc_id long, text string")
+    assert {tuple(r) for r in ngram_join.near_duplicates(docs, n=3, num=90, den=100).collect()} == {(1, 1, 1), (2, 1, 2)}

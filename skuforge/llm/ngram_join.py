@@ -12,14 +12,15 @@ of sizes a and b can only reach it with an overlap of least(a, b) = ceil(t (a +
 
 Sets are joined on prefix n-grams in two rounds. In the first, every set meets one leader of each of its prefix n-grams, so
 the pairs are as many as the prefix n-grams; what they link needs no more pairs. In the second, sets with a common prefix
-n-gram that aren't connected yet meet each other. A pair that several n-grams bring together is one pair, filtered by length
-and position in the join and by suffix before it is verified, exactly and in one round only. A group of thousands of copies
-is thus connected through its leader, and a frequent n-gram of unlike sets makes only the pairs that pass the filters: the
-join goes by n-gram and class of size, where neighbouring classes hold all sizes that the length filter allows, so that one
-n-gram isn't one task.
-
-Pairs are verified in units: the pairs of one n-gram, cut into blocks of bounded numbers of sets and n-grams, with each
-block's sets. No pair that could connect two components goes untested, and nothing is capped.
+n-gram that aren't connected yet meet each other:
+
+* For n-grams of up to FEW such sets, the pairs are rows of a join. A pair that several n-grams bring together is one row.
+* More frequent n-grams would make rows with the square of their sets. Their sets come in blocks instead, whoever isn't in
+  the n-gram's largest component against all, and the same filters take pairs from two blocks. The least of the frequent
+  n-grams that a pair has in common is the one that takes it.
+
+So each pair that passes the filters is verified once, exactly, unless it is already known to be connected; no pair that
+could connect two components goes untested, and nothing is capped.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from skuforge.llm import common
 from skuforge.llm.components import components
 
 SKETCH_BITS = 20
+#: Sets of a prefix n-gram whose pairs are rows.
+FEW = 64
 #: Sets, and n-grams of sets, on each side of a unit of verification.
 GROUP_SETS, GROUP_NGRAMS = 512, 1_000_000
 PARTS = 32
@@ -108,67 +111,77 @@ def _add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(a.astype(np.uint64) + b, _MOST).astype(np.uint32)
 
 
-def connect(ids: np.ndarray, tokens: list[np.ndarray], num: int, den: int, pairs: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
-    """Links (places in ids) that connect what the pairs (places in ids; all, if None) can: each pair within the bounds of the
-    length and suffix filters is verified once, unless already connected."""
-    m = len(tokens)
-    size = np.array([len(t) for t in tokens], np.int64)
-    if m < 2:
-        return []
-    parent = np.arange(m)
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
+class _Group:
+    """Sets that meet, with what is known to be connected."""
+
+    def __init__(self, tokens: list[np.ndarray], num: int, den: int, labels: np.ndarray | None = None):
+        self.num, self.den = num, den
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        shift = np.uint64(64 - int(np.log2(PARTS)))
+        self.parts = np.stack([np.bincount((t >> shift).astype(np.int64), minlength=PARTS) for t in tokens])
+        vocabulary, self.where = np.unique(np.concatenate(tokens), return_inverse=True)
+        self.ends = np.append(0, np.cumsum(self.size))
+        self.mine = np.zeros(len(vocabulary), bool)
+        self.parent = np.arange(len(tokens))
+        if labels is not None:
+            for same in pd.Series(range(len(tokens))).groupby(labels, sort=False).indices.values():
+                self.parent[same] = same[0]
+
+    def find(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
         return x
 
-    order = np.argsort(size, kind="stable")
+    def meet(self, u: int, others: np.ndarray) -> list[tuple[int, int]]:
+        """Links of u with others, by length and suffix filters and then exactly, unless already connected."""
+        size, num, den = self.size, self.num, self.den
+        low, high = np.minimum(size[others], size[u]), np.maximum(size[others], size[u])
+        need = -(-num * (low + high) // (num + den))
+        apart = np.abs(self.parts[others] - self.parts[u]).sum(1)  # suffix: parts of the sets' range
+        others = others[(high * num <= low * den) & (apart <= low + high - 2 * need)]
+        root = self.find(u)
+        others = [v for v in others.tolist() if self.find(v) != root]
+        links = []
+        if others:
+            own = self.where[self.ends[u] : self.ends[u + 1]]
+            self.mine[own] = True
+            for v in others:
+                if self.find(v) != self.find(u):
+                    both = int(np.count_nonzero(self.mine[self.where[self.ends[v] : self.ends[v + 1]]]))
+                    if den * both >= num * (size[u] + size[v] - both):
+                        self.parent[self.find(v)] = self.find(u)
+                        links.append((u, v))
+            self.mine[own] = False
+        return links
+
+
+def connect(ids: np.ndarray, tokens: list[np.ndarray], num: int, den: int, pairs: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
+    """Links (places in ids) that connect what the pairs (places in ids; all, if None) can."""
+    if len(tokens) < 2:
+        return []
+    group, links = _Group(tokens, num, den), []
     if pairs is None:
-        partners = {int(u): order[k + 1 :] for k, u in enumerate(order)}
-    else:
-        rank = np.empty(m, np.int64)
-        rank[order] = np.arange(m)
-        both = np.array(pairs, np.int64).reshape(-1, 2)
-        both = np.where((rank[both[:, 0]] < rank[both[:, 1]])[:, None], both, both[:, ::-1])
-        both = both[np.lexsort((rank[both[:, 1]], both[:, 0]))]
-        cuts = np.flatnonzero(np.append(True, both[1:, 0] != both[:-1, 0]))
-        partners = {int(part[0, 0]): part[:, 1] for part in np.split(both, cuts[1:])} if len(both) else {}
-    shift = np.uint64(64 - int(np.log2(PARTS)))
-    parts = np.stack([np.bincount((t >> shift).astype(np.int64), minlength=PARTS) for t in tokens])
-    vocabulary, where = np.unique(np.concatenate(tokens), return_inverse=True)
-    ends = np.append(0, np.cumsum(size))
-    mine = np.zeros(len(vocabulary), bool)
-    links = []
-    for u, later in partners.items():
-        later = later[size[later] * num <= size[u] * den]  # length
-        need = -(-num * (size[u] + size[later]) // (num + den))
-        apart = np.abs(parts[later] - parts[u]).sum(1)  # suffix: parts of the sets' range
-        later = later[apart <= size[u] + size[later] - 2 * need]
-        root = find(u)
-        later = [v for v in later.tolist() if find(v) != root]
-        if not later:
-            continue
-        mine[where[ends[u] : ends[u + 1]]] = True
-        for v in later:
-            if find(v) != find(u):
-                both = int(np.count_nonzero(mine[where[ends[v] : ends[v + 1]]]))
-                if den * both >= num * (size[u] + size[v] - both):
-                    parent[find(v)] = find(u)
-                    links.append((u, v))
-        mine[where[ends[u] : ends[u + 1]]] = False
+        for u in range(len(tokens)):
+            links += group.meet(u, np.arange(u + 1, len(tokens)))
+        return links
+    both = np.array(pairs, np.int64).reshape(-1, 2)
+    both = both[np.argsort(both[:, 0], kind="stable")]
+    for part in np.split(both, np.flatnonzero(both[1:, 0] != both[:-1, 0]) + 1):
+        if len(part):
+            links += group.meet(int(part[0, 0]), part[:, 1])
     return links
 
 
-LINK = "a binary, b binary"
+LINK = "a long, b long"
 
 
 def _verify(num: int, den: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = pdf[pdf["other"].isna()].drop_duplicates("key", ignore_index=True)
+        sets = pdf[~pdf["is_pair"]].drop_duplicates("key", ignore_index=True)
         keys = sets["key"].tolist()
         place = {k: i for i, k in enumerate(keys)}
-        asked = pdf[pdf["other"].notna()]
+        asked = pdf[pdf["is_pair"]]
         pairs = [(place[a], place[b]) for a, b in zip(asked["key"], asked["other"], strict=True)]
         tokens = [np.asarray(t, np.int64).view(np.uint64) for t in sets["tokens"]]
         found = connect(np.arange(len(keys)), tokens, num, den, pairs)
@@ -177,12 +190,41 @@ def _verify(num: int, den: int):
     return run
 
 
+def _verify_blocks(num: int, den: int):
+    """Of one n-gram h: the sets of a block that are outside its largest component (left) against a block of all its sets."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("left", ascending=False, kind="stable").drop_duplicates("key", ignore_index=True)
+        keys, left, n, pos = pdf["key"].tolist(), pdf["left"].to_numpy(bool), pdf["n"].to_numpy(np.int64), pdf["pos"].to_numpy(np.int64)
+        right, label = pdf["right"].to_numpy(bool), pd.factorize(pdf["label"])[0]
+        tokens = [np.asarray(t, np.int64).view(np.uint64) for t in pdf["tokens"]]
+        # which frequent n-grams each set has in its prefix, the least first
+        flat = np.concatenate([np.asarray(x, np.int64) for x in pdf["hots"]])
+        known, at = np.unique(flat, return_inverse=True)
+        has = np.zeros((len(keys), len(known)), bool)
+        has[np.repeat(np.arange(len(keys)), [len(x) for x in pdf["hots"]]), at] = True
+        here = int(np.searchsorted(known, pdf["h"].iloc[0]))
+        key, outside = pdf["key"].to_numpy(np.int64), pdf["outside"].to_numpy(bool)
+        group, links = _Group(tokens, num, den, label), []
+        for u in np.flatnonzero(left).tolist():
+            may = right & (label != label[u]) & ~(outside & (key <= key[u]))  # two outside sets meet in two units
+            need = -(-num * (n + n[u]) // (num + den))
+            may &= np.minimum(pos, pos[u]) + 1 + np.minimum(n - pos - 1, n[u] - pos[u] - 1) >= need
+            others = np.flatnonzero(may)
+            others = others[(has[others] & has[u]).argmax(1) == here]
+            links += group.meet(u, others)
+        return pd.DataFrame([(keys[a], keys[b]) for a, b in links], columns=["a", "b"])
+
+    return run
+
+
 def _text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def links(docs: DataFrame, work: common.Workspace, *, id_col: str, text_col: str, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(base: id, n_ngrams, key of the set, hash of the text) for every row, and links (a, b) between keys that connect all linked sets."""
+def links(docs: DataFrame, work: common.Workspace, *, id_col: str, text_col: str, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(base, nodes, links): id, n, set_key and text_hash of every row; key (a number), set_key and least id of every set;
+    links (a, b) between keys that connect all linked sets."""
     df = common.only(docs, id=id_col, text=text_col).select("id", "text", _text_hash(F.col("text")).alias("text_hash"))
     sketch = docs.sparkSession.sparkContext.broadcast(_sketch(df.select("text"), n))  # 1 MB whatever the input
     kind = df.schema["id"].dataType.simpleString()
@@ -195,91 +237,112 @@ def links(docs: DataFrame, work: common.Workspace, *, id_col: str, text_col: str
                     size.append(len(s))
                     keys.append(_key(s) if len(s) else None)
                     prefix.append(_signed(_order(s, sketch.value)[: len(s) - _at_least(num, den, len(s)) + 1 if len(s) else 0]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), _lists(prefix, pa.int64()), batch.column(2)], ["id", "n", "key", "prefix", "text_hash"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), _lists(prefix, pa.int64()), batch.column(2)], ["id", "n", "set_key", "prefix", "text_hash"])
 
     common.release()
-    base = work.save(df.transform(common.arrow, describe, f"id {kind}, n long, key binary, prefix array<long>, text_hash long"), "sets")
-    nodes = work.save(base.filter("n > 0").groupBy("key").agg(F.min(F.struct("n", "prefix")).alias("s"), F.min("id").alias("id")).select("key", "id", "s.*"), "nodes")
+    base = work.save(df.transform(common.arrow, describe, f"id {kind}, n long, set_key binary, prefix array<long>, text_hash long"), "sets")
+    row = F.xxhash64("id", "text_hash")
+    nodes = base.filter("n > 0").groupBy("set_key").agg(F.min(F.struct("n", "prefix")).alias("s"), F.min(F.struct("id", "text_hash")).alias("r"), F.min("id").alias("least"))
+    nodes = work.save(nodes.select(F.monotonically_increasing_id().alias("key"), "set_key", "least", F.xxhash64("r.id", "r.text_hash").alias("row"), "s.*"), "nodes")
     postings = nodes.select("key", "n", F.posexplode("prefix").alias("pos", "h"))
     blocks = F.ceil(F.greatest(F.count("*") / GROUP_SETS, F.sum("n") / GROUP_NGRAMS)).cast("int")
     counts = postings.groupBy("h").agg(F.count("*").alias("cnt"), blocks.alias("blocks")).filter("cnt > 1")
     shared = work.save(postings.join(counts, "h"), "shared")
-    full = work.save(_full(df, nodes.join(shared.select("key").distinct(), "key", "left_semi"), n), "full")
     # a pair is (a, b) with a the smaller set, by key where sizes are equal
     ahead = lambda x, y: (F.col(f"{x}.n") < F.col(f"{y}.n")) | ((F.col(f"{x}.n") == F.col(f"{y}.n")) & (F.col(f"{x}.key") < F.col(f"{y}.key")))
-    need = lambda na, nb: F.ceil((na + nb) * num / (num + den) - 1e-9)
+    need = lambda na, nb: F.ceil((F.col(na) + F.col(nb)) * num / (num + den) - 1e-9)
     na, nb, pa_, pb = F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos")
-    near = (na * den >= nb * num) & (F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1) >= need(na, nb))
-    unit = F.max(F.struct(F.col("a.cnt").alias("cnt"), F.col("a.h").alias("h"), F.col("a.blocks").alias("blocks"))).alias("unit")
-    pair = [F.col("a.key").alias("ka"), F.col("b.key").alias("kb")]
-    # first round: with the leader of each prefix n-gram
+    near = (na * den >= nb * num) & (F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1) >= need("a.n", "b.n"))
+    rest = lambda x: F.ceil(F.col(x) * num / den - 1e-9) - 1
+    enough = F.col("c") + F.greatest(rest("na"), rest("nb")) >= need("na", "nb")
+
+    def pairs_of(meetings: DataFrame) -> DataFrame:
+        """(ka, kb, unit) once for each pair with enough n-grams in common; unit: the most frequent of them."""
+        unit = F.max(F.struct(F.col("a.cnt").alias("cnt"), F.col("a.h").alias("h"), F.col("a.blocks").alias("blocks"))).alias("unit")
+        pairs = meetings.groupBy(F.col("a.key").alias("ka"), F.col("b.key").alias("kb")).agg(unit, F.count("*").alias("c"), F.first("a.n").alias("na"), F.first("b.n").alias("nb"))
+        return pairs.filter(enough).select("ka", "kb", "unit")
+
+    rows = df.select("text", row.alias("row"))
+    standing = lambda pairs: pairs.select(F.explode(F.array("ka", "kb")).alias("key")).distinct().join(nodes.select("key", "set_key", "row"), "key")
+    # first round: with the leader of each prefix n-gram. Other n-grams that the two have in common aren't counted, so a pair
+    # may be left to the second round
     columns = ["h", "key", "n", "pos", "cnt", "blocks"]
     led = shared.groupBy("h").agg(F.min(F.struct(F.xxhash64("key").alias("r"), *columns[1:])).alias("l")).select("h", *(F.col(f"l.{c}").alias(f"l_{c}") for c in columns[1:]))
     both = shared.join(led, "h").filter(F.col("key") != F.col("l_key")).select(F.struct(*columns).alias("x"), F.struct("h", *(F.col(f"l_{c}").alias(c) for c in columns[1:])).alias("y"))
-    first = both.select(F.when(ahead("x", "y"), F.col("x")).otherwise(F.col("y")).alias("a"), F.when(ahead("x", "y"), F.col("y")).otherwise(F.col("x")).alias("b"))
-    first = work.save(first.filter(near).groupBy(*pair).agg(unit), "pairs")
+    both = both.select(F.when(ahead("x", "y"), F.col("x")).otherwise(F.col("y")).alias("a"), F.when(ahead("x", "y"), F.col("y")).otherwise(F.col("x")).alias("b"))
+    first = work.save(pairs_of(both.filter(near)), "pairs")
+    stands = work.save(standing(first), "stand")
+    full = work.save(_full(rows, stands, n), "full")
     found = work.save(_verified(first, full, num, den), "links")
     # second round: whoever has a prefix n-gram in common and isn't connected yet
     label = components(found, work, "connected").withColumnRenamed("node", "key")
     named = work.save(shared.join(label, "key", "left").withColumn("label", F.coalesce("label", "key")), "named")
-    several = named.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("h")
-    step = max(float(np.log(den / num)), 1e-6) * 1.0001
-    open_ = named.join(several, "h").withColumn("size", F.floor(F.log("n") / step))
-    a = open_.withColumn("size", F.explode(F.array(F.col("size"), F.col("size") + 1))).alias("a")
-    b = open_.alias("b")
-    meet = (F.col("a.h") == F.col("b.h")) & (F.col("a.size") == F.col("b.size")) & ahead("a", "b") & (F.col("a.label") != F.col("b.label")) & near
-    second = a.join(b, meet).groupBy(*pair).agg(unit, F.count("*").alias("c"), F.first("a.n").alias("na"), F.first("b.n").alias("nb"))
-    rest = lambda x: F.ceil(F.col(x) * num / den - 1e-9) - 1
-    second = second.filter(F.col("c") + F.greatest(rest("na"), rest("nb")) >= need(F.col("na"), F.col("nb"))).select("ka", "kb", "unit")
-    second = work.save(second.join(first.select("ka", "kb"), ["ka", "kb"], "left_anti"), "pairs")
-    return base, work.save(found.unionByName(_verified(second, full, num, den)), "links")
+    by_label = named.groupBy("h", "label").agg(F.count("*").alias("c"))
+    by_ngram = by_label.groupBy("h").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("m"))
+    by_ngram = work.save(by_ngram.select("h", "m", F.col("top.label").alias("main"), (F.col("m") - F.col("top.c")).alias("n_outside")).filter("n_outside > 0"), "ngrams")
+    hot = named.join(by_ngram.filter(F.col("m") > FEW), "h")
+    hots = work.save(hot.groupBy("key").agg(F.array_sort(F.collect_set("h")).alias("hots")), "hots")
+    few = named.join(hots, "key", "left").withColumn("hots", F.coalesce("hots", F.array().cast("array<bigint>")))
+    few = few.join(by_ngram.filter(F.col("m") <= FEW).select("h"), "h")
+    a, b = few.alias("a"), few.alias("b")
+    meet = (F.col("a.h") == F.col("b.h")) & ahead("a", "b") & (F.col("a.label") != F.col("b.label")) & near & ~F.arrays_overlap("a.hots", "b.hots")
+    second = work.save(pairs_of(a.join(b, meet)).join(first.select("ka", "kb"), ["ka", "kb"], "left_anti"), "pairs")
+    more = standing(second).unionByName(hots.select("key").join(nodes.select("key", "set_key", "row"), "key")).distinct()
+    full = full.unionByName(work.save(_full(rows, work.save(more.join(stands.select("key"), "key", "left_anti"), "stand"), n), "full"))
+    found = found.unionByName(_verified(second, full, num, den))
+    # frequent n-grams, block by block
+    groups, spread = F.ceil(F.col("n_outside") / GROUP_SETS).cast("int"), lambda count, salt: F.pmod(F.xxhash64("key", F.lit(salt)), count).cast("int")
+    upto = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
+    hot = hot.select("h", "key", "n", "pos", "label", "blocks", (F.col("label") != F.col("main")).alias("outside"), groups.alias("groups"))
+    sides = ["h", "key", "n", "pos", "label", "outside"]
+    every = hot.select(*sides, spread(F.col("blocks"), 2).alias("j"), upto(F.col("groups")).alias("i"), F.lit(False).alias("left"))
+    outside = hot.filter("outside").select(*sides, spread(F.col("groups"), 3).alias("i"), upto(F.col("blocks")).alias("j"), F.lit(True).alias("left"))
+    met = every.unionByName(outside).groupBy("i", "j", *sides).agg(F.max("left").alias("left"), F.max(~F.col("left")).alias("right"))
+    in_blocks = met.join(full.join(hots, "key"), "key").groupBy("h", "i", "j").applyInPandas(_verify_blocks(num, den), LINK)
+    return base, nodes, work.save(found.unionByName(in_blocks), "links")
 
 
 def _verified(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) among the pairs (ka, kb, unit), unit by unit."""
+    """Links (a, b) among the pairs (ka, kb, unit): those of one n-gram together where they are many, of several where few."""
+    buckets = F.lit(max(1, -(-pairs.count() // GROUP_SETS)))
     block = lambda key, side: F.pmod(F.xxhash64(key, F.lit(1)), F.col("unit.blocks")).cast("int").alias(side)
-    units = pairs.select("ka", "kb", F.col("unit.h").alias("h"), block("ka", "i"), block("kb", "j"))
+    h = F.when(F.col("unit.blocks") > 1, F.col("unit.h")).otherwise(F.pmod(F.xxhash64("unit.h"), buckets)).alias("h")
+    units = pairs.select("ka", "kb", h, block("ka", "i"), block("kb", "j"))
     unit = ["h", "i", "j"]
     needed = units.select(*unit, F.explode(F.array("ka", "kb")).alias("key")).distinct()
-    rows = needed.join(full, "key").select(*unit, "key", F.lit(None).cast("binary").alias("other"), "tokens")
-    rows = rows.unionByName(units.select(*unit, F.col("ka").alias("key"), F.col("kb").alias("other"), F.lit(None).cast("array<long>").alias("tokens")))
+    rows = needed.join(full, "key").select(*unit, "key", F.lit(-1).cast("long").alias("other"), F.lit(False).alias("is_pair"), "tokens")
+    rows = rows.unionByName(units.select(*unit, F.col("ka").alias("key"), F.col("kb").alias("other"), F.lit(True).alias("is_pair"), F.lit(None).cast("array<long>").alias("tokens")))
     return rows.groupBy(*unit).applyInPandas(_verify(num, den), LINK)
 
 
-def _full(df: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """Whole sets of some nodes (key, id): a bit map of bounded size tells the rows that stand for them, and lets few others
-    through, which the joins drop."""
-    count = nodes.count()
-    bits = min(1 << 26, max(1 << 16, 1 << (16 * max(count, 1) - 1).bit_length()))
-
-    def place(key: bytes, row_id: object) -> int:
-        return int.from_bytes(hashlib.blake2b(key + str(row_id).encode(), digest_size=8).digest(), "little") % bits
+def _full(rows: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """(key, tokens): whole sets of some nodes (key, set_key, row), from rows (text, row), where row is a hash of the row that
+    stands for a node. A bit map of bounded size tells these rows before their texts are cut into words; it lets few others
+    through, which the join with the nodes drops."""
+    bits = min(1 << 26, max(1 << 16, 1 << (16 * max(nodes.count(), 1) - 1).bit_length()))
+    place = lambda column: (common.mix(np.asarray(column).view(np.uint64)) % np.uint64(bits)).astype(np.int64)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            at = np.array([place(k, i) for k, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], np.int64)
+            at = place(batch.column(0))
             np.bitwise_or.at(there, at >> 3, (128 >> (at & 7)).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([there.tobytes()], pa.binary())], ["part"])
 
-    got = common.fold_arrays(nodes.select("key", "id").coalesce(32).transform(common.arrow, mark, "part binary"), "uint8", np.bitwise_or)
-    shared = df.sparkSession.sparkContext.broadcast(got if got is not None else np.zeros(bits // 8, np.uint8))  # 8 MB at most
+    got = common.fold_arrays(nodes.select("row").coalesce(32).transform(common.arrow, mark, "part binary"), "uint8", np.bitwise_or)
+    shared = rows.sparkSession.sparkContext.broadcast(got if got is not None else np.zeros(bits // 8, np.uint8))  # 8 MB at most
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there = shared.value
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for lo, _, data, offsets in common.slices(batch.column(1)):
-                keys, tokens = [], []
-                for i, s in enumerate(sets(data, offsets, n)):
-                    if len(s):
-                        p = place(k := _key(s), ids[lo + i])
-                        if there[p >> 3] >> (7 - (p & 7)) & 1:
-                            keys.append(k)
-                            tokens.append(_signed(s))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), _lists(tokens, pa.int64())], ["key", "tokens"])
+            at = place(batch.column(1))
+            picked = batch.column(0).filter(pa.array((there[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+            for _, _, data, offsets in common.slices(picked):
+                some = [s for s in sets(data, offsets, n) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in some], pa.binary()), _lists([_signed(s) for s in some], pa.int64())], ["set_key", "tokens"])
 
-    return df.transform(common.arrow, take, "key binary, tokens array<long>").groupBy("key").agg(F.first("tokens").alias("tokens"))
+    made = rows.transform(common.arrow, take, "set_key binary, tokens array<long>").groupBy("set_key").agg(F.first("tokens").alias("tokens"))
+    return made.join(nodes.select("key", "set_key"), "set_key").select("key", "tokens")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, work: common.Workspace | None = None) -> DataFrame:
@@ -291,19 +354,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     work = work or common.Workspace(docs.sparkSession, "ngram-join")
     base, by_key = _labelled(docs, work, id_col, text_col, n, num, den)
-    out = base.select("id", "n", "key").join(by_key.select("key", "component"), "key", "left")
+    out = base.select("id", "n", "set_key").join(by_key.select("set_key", "component"), "set_key", "left")
     own: Column = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def _labelled(docs: DataFrame, work: common.Workspace, id_col: str, text_col: str, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """links' base, and of each set with an id: key, label of its component and the component's smallest id."""
-    base, found = links(docs, work, id_col=id_col, text_col=text_col, n=n, num=num, den=den)
-    label = work.save(components(found, work), "labels")
-    ids = base.filter("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("least"))
-    ids = ids.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    """links' base, and of each set with an id: set_key, label of its component and the component's smallest id."""
+    base, nodes, found = links(docs, work, id_col=id_col, text_col=text_col, n=n, num=num, den=den)
+    label = work.save(components(found, work), "labels").withColumnRenamed("node", "key")
+    ids = nodes.filter("least is not null").select("key", "set_key", "least").join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
     groups = ids.groupBy("label").agg(F.min("least").alias("component"))
-    return base, work.save(ids.join(groups, "label").select("key", "label", "component"), "component")
+    return base, work.save(ids.join(groups, "label").select("set_key", "label", "component"), "component")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, work: common.Workspace | None = None) -> DataFrame:
@@ -312,8 +374,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     id. Rows without words and rows with a null id stay."""
     work = work or common.Workspace(docs.sparkSession, "ngram-join")
     base, by_key = _labelled(docs, work, id_col, text_col, n, num, den)
-    rows = base.filter("n > 0 and id is not null").select("key", "id", "text_hash")
-    first = rows.groupBy("key").agg(F.min(F.struct("id", "text_hash")).alias("row")).join(by_key, "key")
+    rows = base.filter("n > 0 and id is not null").select("set_key", "id", "text_hash")
+    first = rows.groupBy("set_key").agg(F.min(F.struct("id", "text_hash")).alias("row")).join(by_key, "set_key")
     first = first.groupBy("label").agg(F.min("row").alias("row")).select("row.id", "row.text_hash")
     each = rows.groupBy("id", "text_hash").agg(F.count("*").alias("times"))
     name, text = common.free_name(docs, "dropped_id"), common.free_name(docs, "dropped_text")

@@ -131,18 +131,17 @@ class ByteCNN:
         return self
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, windows_per_text: int = 8, length: int = 256, max_languages: int = 200, seed: int = 0) -> ByteCNN | None:
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, windows_per_text: int = 8, length: int = 256, seed: int = 0) -> ByteCNN | None:
     """A network from per_language labelled rows of each language at most, the first by a hash of the id, and up to
     windows_per_text windows of each, spread evenly: the bound holds at any size. None where no row has a label.
 
-    The max_languages most frequent languages are learned. Rows with a null id, text or language aren't used.
+    Every language is learned. Rows with a null id, text or language aren't used.
     """
     rows = common.only(docs, id=id_col, text=text_col, lang=lang_col).filter("id is not null and text is not null and lang is not null and text != ''")
-    frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
     first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     some = rows.select("id", "lang").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_language)
-    some = some.join(F.broadcast(frequent.select("lang")), "lang", "left_semi").select(F.col("id").alias("some_id"), F.col("lang").alias("some_lang")).distinct()
-    picked = rows.join(F.broadcast(some), (F.col("id") == F.col("some_id")) & (F.col("lang") == F.col("some_lang"))).select("id", "lang", "text")
+    some = some.select(F.col("id").alias("some_id"), F.col("lang").alias("some_lang")).distinct()
+    picked = rows.join(some, (F.col("id") == F.col("some_id")) & (F.col("lang") == F.col("some_lang"))).select("id", "lang", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

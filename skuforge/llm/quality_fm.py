@@ -122,7 +122,7 @@ class FactorisationMachine:
 
 
 def _featured(docs: DataFrame, buckets: int) -> DataFrame:
-    """docs(label, text) as label and the bytes of buckets (int32), values (float32) and statistics (float64)."""
+    """docs(label, text, at, id) as label, at, id and the bytes of buckets (int32), values (float32) and statistics (float64)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,9 +131,9 @@ def _featured(docs: DataFrame, buckets: int) -> DataFrame:
                 at, bucket, value, stats = features(data, offsets, buckets)
                 cut = np.searchsorted(at, np.arange(hi - lo + 1))
                 rows += [(bucket[a:b].astype(np.int32).tobytes(), value[a:b].astype(np.float32).tobytes(), s.tobytes()) for a, b, s in zip(cut[:-1], cut[1:], stats, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(3))], ["label", "buckets", "values", "statistics"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(3))], ["label", "at", "id", "buckets", "values", "statistics"])
 
-    return docs.transform(common.arrow, run, "label int, buckets binary, values binary, statistics binary")
+    return docs.transform(common.arrow, run, f"label int, at long, id {docs.schema['id'].dataType.simpleString()}, buckets binary, values binary, statistics binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 6000, buckets: int = 1 << 15, factors: int = 4) -> FactorisationMachine:
@@ -143,9 +143,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """
     known = common.only(labels, label_id=id_col, label=label_col).filter("label_id is not null and label in (0, 1)")
     some = known.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(sample_rows).select("label_id", F.col("label").cast("int").alias("label"))
-    rows = common.only(docs, id=id_col, text=text_col).join(F.broadcast(some), F.col("id") == F.col("label_id")).select("id", "label", "text")
-    rows = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("label", "text")
-    data = [(np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["values"], np.float32), np.frombuffer(r["statistics"]), r["label"]) for r in _featured(rows, buckets).toLocalIterator()]
+    rows = common.only(docs, id=id_col, text=text_col).join(F.broadcast(some), F.col("id") == F.col("label_id")).select("label", "text", F.xxhash64("id").alias("at"), "id")
+    # features are made where the texts are; of an id on several rows the limit takes the first by features
+    some = _featured(rows, buckets).orderBy("at", "id", "label", "buckets", "statistics").limit(sample_rows)
+    data = [(np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["values"], np.float32), np.frombuffer(r["statistics"]), r["label"]) for r in some.toLocalIterator()]
     model = FactorisationMachine(buckets, factors)
     if data:
         model.fit(data)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import dataclasses
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @dataclasses.dataclass(frozen=True)
@@ -67,11 +69,39 @@ def specs_sql() -> str:
     return f"spec(category, key, label, dtype, unit, required, weight) AS (VALUES {', '.join(rows)})"
 
 
+def ranked_keys(name: str, names: dict[str, str]) -> list[tuple[str, float]]:
+    """Keys by the similarity of their closest name, best first."""
+    from skuforge.functions.fuzzy import ratio
+
+    best: dict[str, float] = {}
+    for x, key in names.items():
+        best[key] = max(best.get(key, 0.0), ratio(name, x))
+    return sorted(best.items(), key=lambda x: (-x[1], x[0]))
+
+
+def resolve_names(texts: DataFrame, column: str, fuzzy: float = 84.0, margin: float = 4.0, rows: tuple[Spec, ...] = SPECS) -> DataFrame:
+    """column, key and the three closest keys with scores, for the different texts of a column: an exact name of a key, else
+    the closest by similarity of at least `fuzzy`, unless another is within `margin` of it; else null. Each different text is
+    compared once with the dictionary, which is metadata of bounded size."""
+    names: dict[str, str] = {}
+    for s in rows:
+        for x in (s.key.replace("_", " "), s.label.lower(), *s.aliases):
+            names.setdefault(x, s.key)
+
+    @F.pandas_udf("array<struct<key:string,score:double>>")
+    def closest(name: pd.Series) -> pd.Series:
+        return name.map(lambda x: [{"key": names[x], "score": 100.0}] if x in names else [{"key": k, "score": v} for k, v in ranked_keys(x, names)[:3]])
+
+    plain = F.trim(F.regexp_replace(F.lower(F.regexp_replace(F.col(column), "_", " ")), r"\s+", " "))
+    each = texts.select(F.col(column)).filter(F.col(column).isNotNull()).distinct().select(column, closest(plain).alias("closest"))
+    top, next_ = F.get("closest", F.lit(0)), F.get("closest", F.lit(1))
+    sure = (top["score"] >= fuzzy) & (next_.isNull() | (top["score"] - next_["score"] >= margin))
+    return each.select(column, F.when(sure, top["key"]).alias("key"), "closest")
+
+
 def resolve_header(header: str, fuzzy: float = 84.0, margin: float = 4.0, rows: tuple[Spec, ...] = SPECS) -> str | None:
     """The key that a column header means: exact key, label or alias; else the closest by similarity of at least `fuzzy`,
     unless another key is within `margin` of it. Headers are few, so this is plain Python on the driver."""
-    from skuforge.functions.fuzzy import ratio
-
     name = " ".join(header.strip().lower().replace("_", " ").split())
     names: dict[str, str] = {}
     for s in rows:
@@ -79,10 +109,7 @@ def resolve_header(header: str, fuzzy: float = 84.0, margin: float = 4.0, rows:
             names.setdefault(x, s.key)
     if name in names:
         return names[name]
-    best: dict[str, float] = {}
-    for x, key in names.items():
-        best[key] = max(best.get(key, 0.0), ratio(name, x))
-    ranked = sorted(best.items(), key=lambda x: (-x[1], x[0]))
+    ranked = ranked_keys(name, names)
     if not ranked or ranked[0][1] < fuzzy or (len(ranked) > 1 and ranked[0][1] - ranked[1][1] < margin):
         return None
     return ranked[0][0]

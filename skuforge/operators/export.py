@@ -50,10 +50,11 @@ def document_columns(documents: DataFrame, id_col: str, name: str) -> DataFrame:
 
 
 def sources_by_kind(documents: DataFrame, id_col: str, kind: str, url: str) -> DataFrame:
-    """The first web source and the next five, the first image and the next four, by url."""
+    """The first web source and the next five, the first image and the next four, by url; null where a kind has no source."""
     pick = lambda k: F.array_sort(F.collect_set(F.when(F.col(kind) == k, F.col(url))))
+    rest = lambda c, n: F.when(F.size(c) > 0, F.array_join(F.slice(c, 2, n), "|"))
     g = documents.groupBy(id_col).agg(pick("web").alias("w"), pick("image").alias("i"))
-    return g.select(id_col, F.get("w", 0).alias("mfr_url"), F.array_join(F.slice("w", 2, 5), "|").alias("references"), F.get("i", 0).alias("image"), F.array_join(F.slice("i", 2, 4), "|").alias("more_images"))
+    return g.select(id_col, F.get("w", 0).alias("mfr_url"), rest("w", 5).alias("references"), F.get("i", 0).alias("image"), rest("i", 4).alias("more_images"))
 
 
 def template(rows: DataFrame, columns: list[str]) -> DataFrame:

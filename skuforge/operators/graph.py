@@ -64,11 +64,13 @@ def ego(e: DataFrame, start: str, radius: int) -> DataFrame:
 
 def peer_groups(categories: DataFrame, fields: DataFrame, least: int = 3) -> DataFrame:
     """record_id, level, grp: the series if it has `least` records or more, else brand and category, else category.
-    Group sizes are window counts; no record meets another."""
+    Group sizes are counted before the shuffle and joined back, so a group of any size is no task of its own; a record without
+    a series is counted with none."""
     series = fields.filter("key = 'series'").select("record_id", F.col("value").alias("series"))
     rows = categories.join(series, "record_id", "left")
-    n = lambda *c: F.count("*").over(Window.partitionBy(*c))
-    rows = rows.withColumn("in_series", F.when(F.col("series").isNotNull(), n("series"))).withColumn("in_brand", n("brand", "category"))
+    in_series = series.join(categories.select("record_id"), "record_id").groupBy(F.col("series").alias("s")).agg(F.count("*").alias("in_series"))
+    in_brand = categories.groupBy(F.col("brand").alias("b"), F.col("category").alias("c")).agg(F.count("*").alias("in_brand"))
+    rows = rows.join(in_series, F.col("series") == F.col("s"), "left").join(in_brand, F.col("brand").eqNullSafe(F.col("b")) & F.col("category").eqNullSafe(F.col("c")), "left")
     level = F.when(F.col("in_series") >= least, "series").when(F.col("in_brand") >= least, "brand").otherwise("category")
     grp = F.when(level == "series", F.col("series")).when(level == "brand", F.concat_ws("|", "brand", "category")).otherwise(F.col("category"))
     return rows.select("record_id", level.alias("level"), grp.alias("grp"))

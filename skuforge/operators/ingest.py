@@ -56,9 +56,10 @@ def unmapped_tail(columns: list[str]) -> Column:
 
 def unique_sku(rows: DataFrame, sku: str, order: str) -> DataFrame:
     """rows with unique_sku: later rows of the same number get --dup1, --dup2, ..., a missing one UNKNOWN-00000 by order."""
-    n = F.row_number().over(Window.partitionBy(sku).orderBy(order)) - 1
-    named = F.coalesce(F.nullif(F.trim(F.col(sku)), F.lit("")), F.format_string("UNKNOWN-%05d", F.col(order)))
     missing = F.coalesce(F.trim(F.col(sku)), F.lit("")) == ""
+    # rows without a number aren't numbered, so each is a group of its own
+    n = F.row_number().over(Window.partitionBy(F.when(~missing, F.col(sku)), F.when(missing, F.col(order))).orderBy(order)) - 1
+    named = F.coalesce(F.nullif(F.trim(F.col(sku)), F.lit("")), F.format_string("UNKNOWN-%05d", F.col(order)))
     return rows.withColumn("unique_sku", F.when((n == 0) | missing, named).otherwise(F.concat(named, F.lit("--dup"), n.cast("string"))))
 
 

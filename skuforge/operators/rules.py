@@ -4,7 +4,9 @@ with a missing value is null and doesn't. Conditions are SQL that any engine rea
 from __future__ import annotations
 
 import dataclasses
+import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +47,48 @@ RULES = (
 )
 
 
+#: Columns of the rules that hold text; the others hold numbers.
+TEXTS = ("conductor", "breaker_type", "sensor_type")
+_NOT_COLUMNS = {"greatest", "least", "nullif", "sqrt"}
+
+
+def columns(rules: tuple[Rule, ...] = RULES) -> list[str]:
+    """The columns that the rules' conditions read."""
+    bare = (re.sub(r"'[^']*'", "", r.condition) for r in rules)
+    return sorted({x for c in bare for x in re.findall(r"\b[a-z][a-z0-9_]*\b", c)} - _NOT_COLUMNS)
+
+
+def wide(categories: DataFrame, fields: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """record_id, category and a column for each that the rules read, from cells of that key (null where there is none).
+
+    power_factor_raw is the factor as given, power_factor as a share; phase_factor comes from the cell `phases`.
+    """
+    cell = lambda k: F.max(F.when(F.col("key") == k, F.col("value")))
+    number = lambda k: cell(k).try_cast("double")
+    made = {
+        "power_factor_raw": number("power_factor"),
+        "power_factor": F.when(number("power_factor") > 1, number("power_factor") / 100).otherwise(number("power_factor")),
+        "phase_factor": F.when(number("phases") == 3, 3**0.5).when(number("phases") == 1, 1.0),
+    }
+    cells = [made.get(c, cell(c) if c in TEXTS else number(c)).alias(c) for c in columns(rules)]
+    return categories.select("record_id", "category").join(fields.groupBy("record_id").agg(*cells), "record_id", "left")
+
+
+def _fails(records: DataFrame, rule: Rule) -> bool:
+    try:
+        return records.select(F.expr(rule.condition)).schema is None
+    except AnalysisException:
+        return True
+
+
 def run_rules(records: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "record_id") -> DataFrame:
-    """id_col, code, severity, rule for every rule that fires on records(category, ...). One narrow pass: no shuffle."""
+    """id_col, code, severity, rule for every rule that fires on records(category, ...). One narrow pass: no shuffle.
+
+    A rule that can't be read, or reads a column that isn't there, doesn't end the others: it is RULE_ERROR (info) for each
+    record of its category.
+    """
+    broken = {r for r in rules if _fails(records, r)}
+    rules = tuple(dataclasses.replace(r, code="RULE_ERROR", severity="info", condition="true") if r in broken else r for r in rules)
     fired = [
         F.when((F.lit(r.category == "*") | (F.col("category") == r.category)) & F.coalesce(F.expr(f"try_cast(({r.condition}) AS boolean)"), F.lit(False)), F.struct(F.lit(r.code).alias("code"), F.lit(r.severity).alias("severity"), F.lit(r.name).alias("rule")))
         for r in rules

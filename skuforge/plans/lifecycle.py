@@ -1,4 +1,4 @@
-"""The whole batch: distributor rows in, scored records and a delivery out. Every step is DataFrame to DataFrame.
+"""The whole batch: distributor rows in, mined, resolved, normalised, checked by rules before and after filling, scored; records and a delivery out. Every step is DataFrame to DataFrame.
 
 Candidates, categories and fields are written and read again, which keeps plans short. Inference works on a snapshot taken before any filling, so the result doesn't depend on the order of rows.
 """
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skuforge.functions import dictionary as D
-from skuforge.operators import enrich, export, fusion, identity, ingest, mining, review, score
+from skuforge.operators import canonical, enrich, export, fusion, identity, ingest, mining, review, rules, score
 from skuforge.sources import tables
 
 NO_ISSUES = {"n_error": 0, "n_warning": 0, "n_info": 0}
@@ -28,6 +28,29 @@ class Batch:
     summary: DataFrame
 
 
+def normalised(cats: DataFrame, fields: DataFrame, specs: DataFrame) -> DataFrame:
+    """fields with numbers in their spec's unit, options in their spelling, and what that found counted as warnings or infos."""
+    cells = fields.join(cats.select("record_id", "category"), "record_id").select("record_id", "category", "key", "value", "unit")
+    found = canonical.canonicalise(cells, specs).select("record_id", "key", "dtype", "canonical", "number", "unit_out", F.split("issues", ",").alias("codes"))
+    told = F.col("codes")
+    mild = F.size(F.filter(told, lambda c: c.isin("UNIT_CONVERTED", "RANGE_COLLAPSED")))
+    grave = F.size(F.filter(told, lambda c: (c != "") & ~c.isin("UNIT_CONVERTED", "RANGE_COLLAPSED")))
+    j = fields.join(found, ["record_id", "key"], "left")
+    is_number = F.col("number").isNotNull()
+    out = {"value": F.when(F.col("dtype").isNull(), F.col("value")).otherwise(F.col("canonical")), "unit": F.when(is_number, F.col("unit_out")).otherwise(F.col("unit"))}
+    counts = {"n_warning": F.col("n_warning") + F.coalesce(grave, F.lit(0)), "n_info": F.col("n_info") + F.coalesce(mild, F.lit(0))}
+    return j.select(*((out | counts).get(c, F.col(c)).alias(c) for c in fields.columns))
+
+
+def ruled(cats: DataFrame, fields: DataFrame) -> DataFrame:
+    """fields with the issues of cross-field rules counted at the record's first cell by key; a record without cells has none."""
+    issues = rules.run_rules(rules.wide(cats, fields)).groupBy("record_id").agg(*(F.count(F.when(F.col("severity") == s, 1)).alias(f"rule_{s}") for s in ("error", "warning", "info")))
+    first = fields.groupBy("record_id").agg(F.min("key").alias("key")).join(issues, "record_id")
+    j = fields.join(first, ["record_id", "key"], "left")
+    added = {f"n_{s}": (F.col(f"n_{s}") + F.coalesce(F.col(f"rule_{s}"), F.lit(0))).cast("int") for s in ("error", "warning", "info")}
+    return j.select(*(added.get(c, F.col(c)).alias(c) for c in fields.columns))
+
+
 def run_batch(rows: DataFrame, *, id_col: str = "row_idx", sku: str = "mfg_part_num", text: str = "part_desc", brands: tuple[str, ...] = ("e1_brand", "alt_brand"), account: str = "part_manuf", keywords=D.KEYWORDS, slots: int = 50, peers: DataFrame | None = None) -> Batch:
     """rows with an id, a number, a description, brand columns and an account. peers: fields of records stored before, which
     count as peers (run_single)."""
@@ -51,13 +74,15 @@ def run_batch(rows: DataFrame, *, id_col: str = "row_idx", sku: str = "mfg_part_
     cell = lambda key, v, c: F.struct(F.lit(key).alias("key"), F.col(v).alias("value"), F.lit("").alias("unit"), F.col(f"{v}_method").alias("method"), F.lit("input").alias("source"), F.col(c).alias("confidence"), F.lit(0).alias("n_warning"))
     found = resolved.select("record_id", F.inline(F.array(cell("brand", "brand", "brand_confidence"), cell("manufacturer", "manufacturer", "manufacturer_confidence")))).filter("value is not null")
     fields = fields.unionByName(found.join(fields.select("record_id", "key"), ["record_id", "key"], "left_anti"))
-    fields = tables.save(fields.withColumn("n_error", F.lit(0)).withColumn("n_info", F.lit(0)), "fields")
+    fields = normalised(records, fields.withColumn("n_error", F.lit(0)).withColumn("n_info", F.lit(0)), specs)
+    fields = tables.save(fields, "fields")
 
     cats = tables.save(records.select("record_id", "category").join(fields.filter("key = 'brand'").select("record_id", F.col("value").alias("brand")), "record_id", "left"), "categories")
-    before = score.overall(cats, fields.filter("method = 'input_field'"), specs)
+    before = score.overall(cats, ruled(cats, fields.filter("method = 'input_field'")), specs)
     known = fields if peers is None else fields.unionByName(peers.select(*fields.columns))
     filled = enrich.fill_from_peers(cats, known, specs).select("record_id", "key", "value", F.lit("").alias("unit"), F.lit("kg_infer").alias("method"), F.lit("catalog_sibling").alias("source"), "confidence", F.lit(0).alias("n_warning"), F.lit(0).alias("n_error"), F.lit(1).alias("n_info"))
-    fields = tables.save(fields.unionByName(filled), "filled")
+    # rules run again, as cross-field checks must see what was filled
+    fields = tables.save(ruled(cats, fields.unionByName(filled)), "filled")
     routed = review.route(fields)
     after = score.overall(cats, fields, specs)
     delivered = export.slot_columns(export.slots(fields, specs, cats, slots), slots)

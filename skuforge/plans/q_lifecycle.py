@@ -13,18 +13,18 @@ from skuforge.sources import views as V
 
 @query("lifecycle_batch")
 def lifecycle_batch(spark, sf):
-    b = lifecycle.run_batch(V.catalogue(spark, sf), slots=10)
+    b = lifecycle.run_batch(V.catalogue(spark, sf))
     return b.after.select("record_id", "category", "completeness", "accuracy", "consistency", "richness", "overall", "grade")
 
 
 @query("lifecycle_delivery")
 def lifecycle_delivery(spark, sf):
-    return lifecycle.run_batch(V.catalogue(spark, sf), slots=10).delivery
+    return lifecycle.run_batch(V.catalogue(spark, sf)).delivery
 
 
 @query("lifecycle_summary")
 def lifecycle_summary(spark, sf):
-    return lifecycle.run_batch(V.catalogue(spark, sf), slots=10).summary
+    return lifecycle.run_batch(V.catalogue(spark, sf)).summary
 
 
 @query("canonicalise", f"""WITH {D.specs_sql()}, {V.SQL_CATEGORY}, c AS (SELECT p_partkey AS record_id, category, CASE p_partkey % 3 WHEN 0 THEN concat(CAST(p_size AS VARCHAR), ' ft') WHEN 1 THEN concat(CAST(p_size AS VARCHAR), ' to ', CAST(p_size + 2 AS VARCHAR), ' in') ELSE 'about' END AS value, p_size

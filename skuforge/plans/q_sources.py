@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from skuforge.functions import dictionary as D
 from skuforge.functions import fuzzy
 from skuforge.plans.registry import query
-from skuforge.sources import readers
+from skuforge.sources import readers, tables
 from skuforge.sources import views as V
 from skuforge.streaming import decisions as stream
 
 
 def _folder(spark, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = tables.shared_folder(spark)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 PART = "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, coalesce(p_brand, '') AS brand FROM part"
@@ -70,6 +70,11 @@ def alias_fuzzy(spark, sf):
     return names.select("p_name", F.round(fuzzy.similar(F.col("p_name"), F.lit("large bolt")), 4).alias("score"))
 
 
+@query("alias_resolve")
+def alias_resolve(spark, sf):
+    return D.resolve_names(V.table(spark, sf, "part"), "p_type").select("p_type", "key", F.to_json("closest").alias("closest"))
+
+
 @query("agreement_tumbling", f"WITH {V.SQL_DECISIONS} SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS reviewed, count(CASE WHEN decision = 'approved' THEN 1 END) AS approved FROM decisions GROUP BY 1")
 def agreement_tumbling(spark, sf):
     return stream.agreement(V.decisions(V.table(spark, sf, "events")))

@@ -4,13 +4,22 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset, one of this machine, for a local master only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "/tmp/checkpoints"
+    return base.rstrip("/")
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the folder in spark.checkpoint.dir (of our own only where that is unset) and reads it again."""
+    """Writes df to the shared folder and reads it again."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    to = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    to = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(to)
     return spark.read.schema(df.schema).parquet(to)

@@ -73,12 +73,16 @@ def _entity(s: Column) -> Column:
     return F.xxhash64(s["kind"], F.lower(s["value"]))
 
 
-def _placed_terms(text: Column, terms: Column) -> Column:
-    """Spans of every whole word of the text that is one of the terms in lower case."""
-    written = F.filter(_words(text), lambda w: F.array_contains(terms, F.lower(w)))
-    # words are letters alone, so they are patterns of themselves; the empty list has a pattern that matches nothing
-    pattern = F.when(F.size(written) > 0, F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(written, "|"), F.lit(r")(?!\p{L})"))).otherwise(F.lit("(?!)"))
-    return spans.placed(text, spans.hits(text, pattern), pattern, "term", len(KINDS))
+def _placed_terms(text: Column, words: Column, terms: Column) -> Column:
+    """Spans of the words = hits(text, WORD) that are one of the terms in lower case.
+
+    The terms are dealt to as many buckets as the root of their number, so that a word isn't compared with all of them.
+    """
+    count = F.ceil(F.sqrt(F.size(terms).cast("double")))
+    bucket = lambda x: F.pmod(F.xxhash64(x), count).cast("int")
+    buckets = F.transform(F.sequence(F.lit(0), count.cast("int") - 1), lambda b: F.filter(terms, lambda t: bucket(t) == b))
+    placed = spans.placed(text, words, WORD, "term", len(KINDS))
+    return spans.let(buckets, lambda b: F.filter(placed, lambda s: F.array_contains(F.get(b, bucket(F.lower(s["value"]))), F.lower(s["value"]))))
 
 
 def analyse(docs: DataFrame, work: common.Workspace, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, support: int = 2) -> DataFrame:
@@ -121,7 +125,9 @@ def analyse(docs: DataFrame, work: common.Workspace, *, id_col: str = "doc_id",
     told = told.select(k["id"].alias("told_id"), k["text"].alias("told_text"), "terms")
     out = first.select(k["id"].alias("id"), k["text"].alias("text_key"), "base", "text")
     out = out.join(told, out["id"].eqNullSafe(told["told_id"]) & (out["text_key"] == told["told_text"]), "left")
-    found = F.when(F.col("terms").isNull(), spans.no_spans()).otherwise(_placed_terms(F.col("text"), F.col("terms")))
+    # columns of their own, so that nothing is matched or placed twice
+    out = out.select("id", "text_key", "base", "text", "terms", F.when(F.col("terms").isNotNull(), spans.hits(F.col("text"), WORD)).alias("words"))
+    found = F.when(F.col("terms").isNull(), spans.no_spans()).otherwise(_placed_terms(F.col("text"), F.col("words"), F.col("terms")))
     clear = F.filter(found, lambda w: ~F.exists("base", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
     return out.select(F.col("id").alias(id_col), "text_key", "base", F.array_sort(F.concat("base", clear)).alias("spans"))
 

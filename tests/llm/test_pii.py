@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter, defaultdict
 
 from skuforge.llm import pii
 
@@ -86,3 +88,45 @@ def test_disclosing_terms_anywhere_in_the_document(spark):
     assert clean[0] == f"[IP] {far}[NAME]" and clean[2] == f"[NAME] {far}[IP]" and clean[3] == f"[IP] [NAME] {far}"
     assert clean[4] == clean[5] == clean[2]
     assert clean[6:] == [r[1] for r in rows[6:]]
+
+
+def brute_terms(rows, threshold=0.8, support=2):
+    """Term spans of each (id, text), all different, by counting over all rows."""
+    words = lambda x: [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{3,}", x)]
+    entities = lambda x: {(k, x[a:b].lower()) for k, a, b in base(x)}
+    n, n_t, n_e, n_te, texts_e, texts = len(rows), Counter(), Counter(), Counter(), defaultdict(set), defaultdict(set)
+    for key in rows:
+        terms = {w for w, _, _ in words(key[1])}
+        n_t.update(terms)
+        for e in entities(key[1]):
+            n_e[e] += 1
+            texts_e[e].add(key[1])
+            for t in terms:
+                n_te[t, e] += 1
+                texts[t, e].add(key[1])
+    telling = {te for te, c in n_te.items() if n_e[te[1]] < n and len(texts[te]) >= min(support, len(texts_e[te[1]])) and math.log2(c * n / (n_t[te[0]] * n_e[te[1]])) / math.log2(n / n_e[te[1]]) >= threshold}
+    out = {}
+    for key in rows:
+        own, held = base(key[1]), entities(key[1])
+        clear = lambda a, b: not any(x < b and a < y for _, x, y in own)
+        out[key] = {(a, b) for w, a, b in words(key[1]) if any((w, e) in telling for e in held) and clear(a, b)}
+    return out
+
+
+def test_terms_against_counting_over_a_corpus(spark):
+    draw = random.Random(8)
+    common, rare, who = ["plan", "Work", "the", "daily", "über"], [f"name{a}{b}".replace("name", "Zor") for a in "abcdef" for b in "xyz"], ["a@b.co", "c@d.org", "10.0.0.1", "+49 30 1234567"]
+    texts = [" ".join(draw.choice(common) if draw.random() < 0.8 else draw.choice(rare + who) for _ in range(draw.randint(0, 30))) for _ in range(250)]
+    texts += [f"Zorunique{i} éZorunique@x{i}.org zorUNIQUE{i} über" for i in range(3)] + ["Zorlone " * 3000 + "lone@x.org " + " ".join("Zor" + "".join(draw.choices("abc", k=6)) for _ in range(800))]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    want = brute_terms(rows)
+    assert sum(map(len, want.values())) > 800
+    for key in rows:
+        assert {tuple(map(int, x.split(":")[1:])) for x in got[key[0]].split(",") if x.startswith("term")} == want[key], key[1][:200]
+
+
+def test_text_of_very_many_hits(spark):
+    docs = spark.createDataFrame([(1, "x@y.z " * 40_000), (2, "")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.report(docs).collect()}
+    assert got[1].n_email == 40_000 and got[1].spans.endswith("email:239994:239999")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skuforge.functions.dictionary import AUTO_APPROVE
 from skuforge.operators.score import penalised
 
 #: Keys with columns of their own in a delivery, so they take no slot (fixed values).
@@ -83,6 +84,26 @@ def audit(fields: DataFrame, id_col: str = "record_id") -> DataFrame:
     return fields.groupBy(id_col).agg(F.to_json(F.struct(F.array_sort(F.collect_list(cell)).alias("fields"))).alias("record"))
 
 
+def audit_record(records: DataFrame, fields: DataFrame, before: DataFrame | None = None, after: DataFrame | None = None) -> DataFrame:
+    """record_id and a JSON object for each record: sku, category, its cells by key with penalised confidence and issues by
+    severity, the scores before and after where given, and whether it needs review. A record without cells has an empty
+    object of them; of a repeated key the greatest cell counts. Sources stay a table of their own, as they aren't bounded."""
+    issues = F.struct(*(F.col(f"n_{s}").cast("int").alias(s) for s in ("error", "warning", "info")))
+    cell = F.struct("value", "unit", penalised().alias("confidence"), "method", "source", issues.alias("issues"))
+    each = fields.groupBy("record_id", "key").agg(F.max(cell).alias("cell"))
+    flagged = (F.col("cell.issues.error") > 0) | (F.col("cell.confidence") < AUTO_APPROVE)
+    cells = each.groupBy("record_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "cell")))).alias("attributes"), F.max(flagged).alias("flagged"))
+    rows = records.join(cells, "record_id", "left")
+    scores = {"quality_before": before, "quality_after": after}
+    for name, df in scores.items():
+        if df is not None:
+            rows = rows.join(df.select("record_id", F.struct("completeness", "accuracy", "consistency", "richness", "overall", "grade").alias(name)), "record_id", "left")
+    state = F.when(F.coalesce("flagged", F.lit(False)), "needs_review").otherwise("auto_approved")
+    nothing = F.create_map().cast(rows.schema["attributes"].dataType)
+    parts = [F.col("record_id"), F.col("sku"), F.col("category"), F.coalesce("attributes", nothing).alias("attributes"), *(F.col(c) for c, df in scores.items() if df is not None), state.alias("review_state")]
+    return rows.select("record_id", F.to_json(F.struct(*parts)).alias("record"))
+
+
 def write_csv(df: DataFrame, folder: str, bom: bool = False) -> None:
     """CSV with a header; with bom, the first column's name begins with a byte order mark, as some spreadsheets want."""
     if bom:

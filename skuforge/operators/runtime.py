@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skuforge.sources import tables
+
 
 class RateLimiter:
     """At most `rpm` grants in any 60 seconds, over all threads of a process; 0 or less means no limit."""
@@ -92,16 +94,26 @@ def distinct_prompts(rows: DataFrame, prompt: str, provider: str, model: str) ->
     return rows.groupBy(prompt_key(provider, model, prompt).alias("prompt_key")).agg(F.min(prompt).alias("prompt"), F.count("*").alias("calls"))
 
 
-def complete(rows: DataFrame, prompt: str, providers: Callable[[], list[Provider]], provider: str, model: str, cache: DataFrame | None = None) -> DataFrame:
+def share(rpm: int, tasks: int) -> RateLimiter:
+    """A limiter for one of `tasks` tasks that together stay within rpm."""
+    return RateLimiter(max(1, rpm // tasks), 60.0 * max(1.0, tasks / rpm)) if rpm > 0 else RateLimiter(0)
+
+
+def complete(rows: DataFrame, prompt: str, providers: Callable[[], list[Provider]], provider: str, model: str, cache: DataFrame | None = None, tasks: int = 8) -> DataFrame:
     """rows with prompt_key and response. Prompts in cache(prompt_key, response) aren't asked again; the others are asked
-    once each, by providers made on the executor. A prompt that no provider answers gets a null response."""
+    once each, by providers made on the executor. A prompt that no provider answers gets a null response.
+
+    Answers are written to the shared folder, so what follows never asks again. `tasks` is how many tasks ask: together they
+    keep to each provider's limit, of which each has its share.
+    """
     keyed = rows.withColumn("prompt_key", prompt_key(provider, model, prompt))
     ask = distinct_prompts(rows, prompt, provider, model)
     if cache is not None:
         ask = ask.join(cache.select("prompt_key"), "prompt_key", "left_anti")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, limiters = providers(), {}
+        known = providers()
+        limiters = {p.name: share(p.rpm, tasks) for p in known}
         for batch in batches:
             out = []
             for p in batch["prompt"]:
@@ -111,7 +123,7 @@ def complete(rows: DataFrame, prompt: str, providers: Callable[[], list[Provider
                     out.append(None)
             yield pd.DataFrame({"prompt_key": batch["prompt_key"], "response": out})
 
-    answers = ask.select("prompt_key", "prompt").mapInPandas(run, "prompt_key string, response string")
+    answers = tables.save(ask.select("prompt_key", "prompt").repartition(tasks, "prompt_key").mapInPandas(run, "prompt_key string, response string"), "answers")
     if cache is not None:
         answers = answers.unionByName(cache.select("prompt_key", "response"))
     return keyed.join(answers, "prompt_key", "left")

@@ -104,3 +104,13 @@ def field_coverage(categories: DataFrame, fields: DataFrame, specs: DataFrame) -
     n, m = F.count("*"), F.count("p")
     mean = F.sum("p").cast("double") / 1000 / F.nullif(m, F.lit(0))
     return joined.groupBy("key").agg(n.alias("applicable"), m.alias("filled"), S.half_up(m * 100 / n, 1).alias("fill_rate"), S.half_up(mean, 2).alias("mean_confidence"))
+
+
+def uplift(before: DataFrame, after: DataFrame, routed: DataFrame) -> DataFrame:
+    """total, avg_before, avg_after, uplift (one digit), filled and flagged cells: one row from the scores of the supplied
+    cells alone, those of all cells, and the routed cells. Tenths are summed as whole numbers; no record gives nulls."""
+    mean = lambda c: S.half_up(F.sum(F.round(F.col(c) * 10).cast("long")).cast("double") / 10 / F.count("*"), 1)
+    both = after.select("record_id", F.col("overall").alias("after")).join(before.select("record_id", F.col("overall").alias("before")), "record_id")
+    one = both.agg(F.count("*").alias("total"), mean("before").alias("avg_before"), mean("after").alias("avg_after"))
+    cells = routed.agg(F.count("*").alias("filled"), F.count(F.when(F.col("state") == "needs_review", 1)).alias("flagged"))
+    return one.crossJoin(F.broadcast(cells)).select("total", "avg_before", "avg_after", S.half_up(F.col("avg_after") - F.col("avg_before"), 1).alias("uplift"), "filled", "flagged")

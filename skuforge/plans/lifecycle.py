@@ -6,6 +6,7 @@ Candidates, categories and fields are written and read again, which keeps plans
 from __future__ import annotations
 
 import dataclasses
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,9 +52,10 @@ def ruled(cats: DataFrame, fields: DataFrame) -> DataFrame:
     return j.select(*(added.get(c, F.col(c)).alias(c) for c in fields.columns))
 
 
-def run_batch(rows: DataFrame, *, id_col: str = "row_idx", sku: str = "mfg_part_num", text: str = "part_desc", brands: tuple[str, ...] = ("e1_brand", "alt_brand"), account: str = "part_manuf", keywords=D.KEYWORDS, slots: int = 50, peers: DataFrame | None = None) -> Batch:
+def run_batch(rows: DataFrame, *, id_col: str = "row_idx", sku: str = "mfg_part_num", text: str = "part_desc", brands: tuple[str, ...] = ("e1_brand", "alt_brand"), account: str = "part_manuf", keywords=D.KEYWORDS, slots: int = 50, peers: DataFrame | None = None, judge: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] | None = None) -> Batch:
     """rows with an id, a number, a description, brand columns and an account. peers: fields of records stored before, which
-    count as peers (run_single)."""
+    count as peers (run_single). judge: fields after a last review, out of categories, fields and specs (operators.judge.review
+    over providers); by default there is none."""
     spark = rows.sparkSession
     specs = D.specs(spark)
     named = ingest.unique_sku(ingest.classify(rows, text, keywords, D.GENERIC), sku, id_col)
@@ -83,6 +85,8 @@ def run_batch(rows: DataFrame, *, id_col: str = "row_idx", sku: str = "mfg_part_
     filled = enrich.fill_from_peers(cats, known, specs).select("record_id", "key", "value", F.lit("").alias("unit"), F.lit("kg_infer").alias("method"), F.lit("catalog_sibling").alias("source"), "confidence", F.lit(0).alias("n_warning"), F.lit(0).alias("n_error"), F.lit(1).alias("n_info"))
     # rules run again, as cross-field checks must see what was filled
     fields = tables.save(ruled(cats, fields.unionByName(filled)), "filled")
+    if judge is not None:
+        fields = tables.save(judge(cats, fields, specs), "judged")
     routed = review.route(fields)
     after = score.overall(cats, fields, specs)
     delivered = export.slot_columns(export.slots(fields, specs, cats, slots), slots)

@@ -17,9 +17,13 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def stored(df: DataFrame, name: str) -> str:
+    """Writes df to a new folder in the shared one; returns it."""
+    to = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(to)
+    return to
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again."""
-    spark = df.sparkSession
-    to = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(to)
-    return spark.read.schema(df.schema).parquet(to)
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df, name))

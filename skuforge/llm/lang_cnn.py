@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from skuforge.llm import common
 
 PAD = 0
+#: Parts in which a language's rows are chosen first.
+PARTS = 64
 
 
 def windows(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,12 +137,17 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     """A network from per_language labelled rows of each language at most, the first by a hash of the id, and up to
     windows_per_text windows of each, spread evenly: the bound holds at any size. None where no row has a label.
 
-    Every language is learned. Rows with a null id, text or language aren't used.
+    Every language is learned. Rows with a null id, text or language aren't used. Rows are chosen by ids alone, in parts of
+    each language first, so that a common language gathers in no task; the choice is written, so that Spark knows how small it
+    is before texts are joined with it.
     """
     rows = common.only(docs, id=id_col, text=text_col, lang=lang_col).filter("id is not null and text is not null and lang is not null and text != ''")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    some = rows.select("id", "lang").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_language)
+    some = rows.select("id", "lang", (F.xxhash64("id") % PARTS).alias("part"))
+    for group in (("lang", "part"), ("lang",)):
+        first = Window.partitionBy(*group).orderBy(F.xxhash64("id"), "id")
+        some = some.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_language).drop("r")
     some = some.select(F.col("id").alias("some_id"), F.col("lang").alias("some_lang")).distinct()
+    some = common.Workspace(docs.sparkSession, "language").save(some, "chosen")
     picked = rows.join(some, (F.col("id") == F.col("some_id")) & (F.col("lang") == F.col("some_lang"))).select("id", "lang", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

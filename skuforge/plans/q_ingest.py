@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skuforge.functions import dictionary as D
+from skuforge.functions import pages
 from skuforge.functions import scalars as S
 from skuforge.functions import units as U
 from skuforge.operators import ingest, score
@@ -161,6 +162,22 @@ def html_to_text(spark, sf):
     return V.table(spark, sf, "pages").select("page_id", S.html_text(F.col("html")).alias("text"))
 
 
+def _page_lines_sql(c: str) -> str:
+    for tag in ("script", "style", "nav", "header", "footer", "noscript", "svg"):
+        c = f"regexp_replace({c}, '(?is)<{tag}[ >].*?</{tag}>', chr(1), 'g')"
+    c = f"string_split(regexp_replace(regexp_replace({c}, '(?s)<!--.*?-->', chr(1), 'g'), '(?s)<[^>]*>', chr(1), 'g'), chr(1))"
+    for name, said in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        c = f"list_transform({c}, lambda x: replace(x, '{name}', '{said}'))"
+    c = f"list_filter(list_transform({c}, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '')"
+    return rf"regexp_replace(array_to_string({c}, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g') || chr(10)"
+
+
+#: The pages of the test tables have neither tables nor definition lists; tests/test_pages.py has those.
+@query("page_reduce", f"SELECT page_id, {_page_lines_sql('html')} AS text FROM pages")
+def page_reduce(spark, sf):
+    return pages.reduce_pages(V.table(spark, sf, "pages"), "page_id", "html").select("page_id", "text")
+
+
 # ---- units and coercion --------------------------------------------------------------------------------------------------
 
 QUANTITY = """q AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS value,

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skuforge.functions import scalars as S
+from skuforge.functions.pages import reduce_page
 
 
 def sniff(line: str) -> str:
@@ -141,9 +142,10 @@ def kind_of(path: Column) -> Column:
     return F.when(low.rlike(r"\.pdf$"), "pdf").when(low.rlike(r"\.(png|jpe?g|gif|webp|bmp)$"), "image").when(low.rlike(r"\.html?$|^https?://"), "web").when(low.rlike(r"\.(csv|tsv|xlsx?|jsonl?)$"), "table").otherwise("text")
 
 
-def read_documents(spark: SparkSession, path: str, pdf=parse_pdf, limit: int = 24_000) -> DataFrame:
-    """path, kind, text, width, height, fingerprint of the files under path. Pages are reduced to text, images have their size,
-    PDFs go through `pdf`; a file that can't be read has a null text. Long texts keep their head and tail."""
+def read_documents(spark: SparkSession, path: str, pdf=parse_pdf, limit: int = 24_000, lines: bool = False) -> DataFrame:
+    """path, kind, text, width, height, fingerprint of the files under path. Pages are reduced to text, with lines to lines of
+    text with tables and definition lists after them (see functions.pages); images have their size, PDFs go through `pdf`; a
+    file that can't be read has a null text. Long texts keep their head and tail."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content").withColumn("kind", kind_of(F.col("path")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,13 +155,14 @@ def read_documents(spark: SparkSession, path: str, pdf=parse_pdf, limit: int = 2
                 size = image_size(content) if kind == "image" else None
                 try:
                     text = pdf(content) if kind == "pdf" else None if kind == "image" else content.decode("utf-8", "replace")
+                    text = reduce_page(text)[0] if lines and kind == "web" else text
                 except Exception:
                     text = None
                 out.append((text, *(size or (None, None))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32())))], ["path", "kind", "text", "width", "height"])
 
     read = files.mapInArrow(run, "path string, kind string, text string, width int, height int")
-    text = F.when(F.col("kind") == "web", S.html_text(F.col("text"))).otherwise(F.col("text"))
+    text = F.col("text") if lines else F.when(F.col("kind") == "web", S.html_text(F.col("text"))).otherwise(F.col("text"))
     return read.withColumn("text", S.truncated(text, limit)).withColumn("fingerprint", S.fingerprint(F.col("text"), F.col("path")))
 
 

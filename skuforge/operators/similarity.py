@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skuforge.sources.tables import save
+
 
 def tokens(text):
     """Lower-case words, which may hold . - / within, and pairs of neighbours."""
@@ -40,16 +42,15 @@ def top_similar(w: DataFrame, id_col: str, group: DataFrame | None = None, k: in
     return pairs.filter(F.col("score") >= least).withColumn("rank", F.row_number().over(over)).filter(F.col("rank") <= k)
 
 
-def top_similar_copies(docs: DataFrame, id_col: str, text_col: str, group: str, k: int = 5, least: float = 0.12, digits: int = 6) -> DataFrame:
-    """What top_similar() gives for docs(id_col, text_col, group), with equal texts of a group as one: only different texts
-    meet, and each stands for its k + 1 smallest ids. Weights are those of all documents."""
+def _heads(docs: DataFrame, id_col: str, text_col: str, group: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """(id, text, category), and for each text of a group head, its smallest id, and ids, its k + 1 smallest."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(group).alias("category"))
-    w = weights(rows, "id", "text")
     heads = rows.withColumn("r", F.row_number().over(Window.partitionBy("category", "text").orderBy("id"))).filter(F.col("r") <= k + 1)
-    ids = heads.groupBy("category", "text").agg(F.min("id").alias("head"), F.array_sort(F.collect_list("id")).alias("ids"))
-    w = w.join(ids.select(F.col("head").alias("id"), "category"), "id")
-    other = w.select("term", "category", F.col("id").alias("other"), F.col("weight").alias("other_weight"))
-    pairs = w.join(other, ["term", "category"]).groupBy("id", "other").agg(F.round(F.sum(F.col("weight") * F.col("other_weight")), digits).alias("score")).filter(F.col("score") >= least)
+    return rows, heads.groupBy("category", "text").agg(F.min("id").alias("head"), F.array_sort(F.collect_list("id")).alias("ids"))
+
+
+def _each_copy(pairs: DataFrame, rows: DataFrame, ids: DataFrame, id_col: str, k: int) -> DataFrame:
+    """The k best of each row, from pairs(id, other, score) of heads, each with itself among them."""
     pairs = pairs.join(ids.select(F.col("head").alias("other"), "ids"), "other").select("id", "score", F.explode("ids").alias("other"))
     best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))).filter(F.col("r") <= k + 1)
     best = best.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "other", "score"))).alias("best")).withColumnRenamed("id", "head")
@@ -58,6 +59,84 @@ def top_similar_copies(docs: DataFrame, id_col: str, text_col: str, group: str,
     return each.select("id", F.posexplode(rest).alias("at", "x")).select(F.col("id").alias(id_col), "x.other", "x.score", (F.col("at") + 1).alias("rank"))
 
 
+def top_similar_copies(docs: DataFrame, id_col: str, text_col: str, group: str, k: int = 5, least: float = 0.12, digits: int = 6) -> DataFrame:
+    """What top_similar() gives for docs(id_col, text_col, group), with equal texts of a group as one: only different texts
+    meet, and each stands for its k + 1 smallest ids. Weights are those of all documents."""
+    rows, ids = _heads(docs, id_col, text_col, group, k)
+    w = weights(rows, "id", "text").join(ids.select(F.col("head").alias("id"), "category"), "id")
+    other = w.select("term", "category", F.col("id").alias("other"), F.col("weight").alias("other_weight"))
+    pairs = w.join(other, ["term", "category"]).groupBy("id", "other").agg(F.round(F.sum(F.col("weight") * F.col("other_weight")), digits).alias("score")).filter(F.col("score") >= least)
+    return _each_copy(pairs, rows, ids, id_col, k)
+
+
+# ---- top-k by bounds of weights ------------------------------------------------------------------------------------------
+
+
+def bounded_vectors(w: DataFrame) -> DataFrame:
+    """w(category, id, term, weight) without terms of a single document of a category, and for each term n, its documents there,
+    rare, its place among the document's terms from the rarest on, and reach, the most that this term and the document's more
+    frequent ones can add to any similarity: sums of the weight times the term's largest weight in the category."""
+    stats = w.groupBy("category", "term").agg(F.count("*").alias("n"), F.max("weight").alias("top")).filter("n > 1")
+    shared = w.join(stats, ["category", "term"])
+    frequent = Window.partitionBy("id").orderBy(F.desc("n"), "term")
+    reach = F.sum(F.col("weight") * F.col("top")).over(frequent.rowsBetween(Window.unboundedPreceding, 0))
+    rare = F.count("*").over(Window.partitionBy("id")) - F.row_number().over(frequent) + 1
+    return shared.select("category", "id", "term", "weight", "n", reach.alias("reach"), rare.cast("int").alias("rare"))
+
+
+def exact_scores(pairs: DataFrame, vectors: DataFrame, digits: int) -> DataFrame:
+    """(id, other, score) of pairs(id, other)."""
+    mine = pairs.select("id", "other").join(vectors.select("id", "term", "weight"), "id")
+    theirs = vectors.select(F.col("id").alias("other"), "term", F.col("weight").alias("other_weight"))
+    return mine.join(theirs, ["other", "term"]).groupBy("id", "other").agg(F.round(F.sum(F.col("weight") * F.col("other_weight")), digits).alias("score"))
+
+
+def first_limits(vectors: DataFrame, k: int, digits: int, probes: int = 4, depth: int = 32) -> DataFrame:
+    """(id, limit): a score that k others reach, from the `depth` heaviest documents of each one's `probes` rarest terms. Only a
+    start: documents without k such others have no row, and nothing is left out of the search because of it."""
+    heaviest = Window.partitionBy("category", "term").orderBy(F.desc("weight"), "id")
+    heavy = vectors.withColumn("r", F.row_number().over(heaviest)).filter(F.col("r") <= depth).select("category", "term", F.col("id").alias("other"))
+    tried = vectors.filter(F.col("rare") <= probes).join(heavy, ["category", "term"]).filter("id <> other").select("id", "other").distinct()
+    best = exact_scores(tried, vectors, digits).withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"))))
+    return best.filter(F.col("r") <= k).groupBy("id").agg(F.count("*").alias("c"), F.min("score").alias("limit")).filter(F.col("c") == k).select("id", "limit")
+
+
+def meetings(vectors: DataFrame, limits: DataFrame, least: float, slack: float) -> DataFrame:
+    """A row for each term over which two documents meet: id, other, part (product of weights), limit, rest (what terms that
+    weren't looked up can add at most).
+
+    A document looks up the terms whose reach comes up to its limit. All its other terms together stay below it, so a pair at the
+    limit has a common term among those looked up; the rarest common term is one of them, in the index of the other document
+    too, which holds the terms whose reach comes up to `least`."""
+    asks = vectors.join(limits, "id", "left").withColumn("limit", F.greatest(F.coalesce("limit", F.lit(least)), F.lit(least)) - slack)
+    whole = Window.partitionBy("id")
+    asks = asks.withColumn("below", F.coalesce(F.max(F.when(F.col("reach") < F.col("limit"), F.col("reach"))).over(whole), F.lit(0.0))).filter(F.col("reach") >= F.col("limit"))
+    index = vectors.withColumn("low", F.coalesce(F.max(F.when(F.col("reach") < least - slack, F.col("reach"))).over(whole), F.lit(0.0))).filter(F.col("reach") >= least - slack)
+    index = index.select("category", "term", F.col("id").alias("other"), F.col("weight").alias("other_weight"), "low")
+    met = asks.join(index, ["category", "term"]).filter("id <> other")
+    return met.select("id", "other", (F.col("weight") * F.col("other_weight")).alias("part"), "limit", (F.col("below") + F.col("low")).alias("rest"))
+
+
+def top_similar_bounded(docs: DataFrame, id_col: str, text_col: str, group: str, k: int = 5, least: float = 0.12, digits: int = 6) -> DataFrame:
+    """What top_similar() gives for docs(id_col, text_col, group), ties by id included, without meeting over every common term.
+
+    Equal texts of a group are one. Terms have one order in a category, by how many of its documents hold them. A first round
+    gives each document a score that k others reach; in the second it looks up only terms whose bound comes up to that score,
+    and whoever could reach it by what they share there is scored exactly. A term of a whole category is looked up by those
+    alone that have no better neighbours."""
+    slack = 10.0**-digits
+    rows, ids = _heads(docs, id_col, text_col, group, k)
+    ids = save(ids, "similar-heads")
+    w = save(weights(rows, "id", "text").join(ids.select(F.col("head").alias("id"), "category"), "id"), "similar-weights")
+    vectors = save(bounded_vectors(w), "similar-vectors")
+    limits = save(first_limits(vectors, k, digits), "similar-limits")
+    met = meetings(vectors, limits, least, slack).groupBy("id", "other").agg(F.sum("part").alias("part"), F.first("limit").alias("limit"), F.first("rest").alias("rest"))
+    likely = met.filter(F.col("part") + F.col("rest") >= F.col("limit") - slack)
+    scored = exact_scores(likely, vectors, digits).filter(F.col("score") >= least)
+    itself = w.select("id").distinct().select("id", F.col("id").alias("other"), F.lit(1.0).alias("score"))
+    return _each_copy(scored.unionByName(itself), rows, ids, id_col, k)
+
+
 def shared_keys(pairs: DataFrame, fields: DataFrame, a: str, b: str) -> DataFrame:
     """pairs with the sorted keys that both records have."""
     keys = fields.groupBy("record_id").agg(F.array_sort(F.collect_set("key")).alias("keys"))

@@ -49,7 +49,7 @@ def tfidf_weights_records(spark, sf):
 @query("similar_topk_records", f"""{TFIDF_RECORDS}, p AS (SELECT a.id AS id, b.id AS other, round(sum(a.weight * b.weight), 6) AS score FROM weights a JOIN category c ON c.record_id = a.id JOIN weights b ON a.term = b.term AND a.id <> b.id JOIN category o ON o.record_id = b.id AND o.category = c.category GROUP BY 1, 2),
     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS INTEGER) AS rank FROM p WHERE score >= 12e-2) SELECT * FROM r WHERE rank <= 5""")
 def similar_topk_records(spark, sf):
-    return similarity.top_similar_copies(V.categories(spark, sf).withColumnRenamed("record_id", "id"), "id", "name", "category")
+    return similarity.top_similar_bounded(V.categories(spark, sf).withColumnRenamed("record_id", "id"), "id", "name", "category")
 
 
 @query("shared_keys", f"""{BASE}, k AS (SELECT record_id, list(DISTINCT key) AS keys FROM fields GROUP BY 1) SELECT p_partkey AS a, p_partkey + 1 AS b,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skuforge.operators import identity
+from skuforge.operators import alias_trie, identity
 from skuforge.plans.registry import query
 from skuforge.sources import views as V
 
@@ -61,3 +61,16 @@ def identity_resolve(spark, sf):
 @query("identity_counts", f"SELECT brand_method, manufacturer_method, count(*) AS n FROM ({RESOLVED}) GROUP BY 1, 2")
 def identity_counts(spark, sf):
     return resolved(spark, sf).groupBy("brand_method", "manufacturer_method").agg(F.count("*").alias("n"))
+
+
+#: Aliases that grow with nothing, in texts that grow: the first three tokens of each benchmark item, in all documents.
+TOKENS = r"list_filter(string_split_regex(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}#&.+-]+'), lambda x: x <> '')"
+
+
+@query("phrase_find", f"""WITH v AS (SELECT DISTINCT array_to_string(w[1:3], ' ') AS alias FROM (SELECT {TOKENS.format("text")} AS w FROM benchmark) WHERE len(w) >= 3),
+    d AS (SELECT doc_id, ' ' || array_to_string({TOKENS.format("text")}, ' ') || ' ' AS t FROM documents), m AS (SELECT doc_id, alias, row_number() OVER (PARTITION BY doc_id ORDER BY length(alias) DESC, alias) AS r FROM d JOIN v ON contains(t, ' ' || alias || ' '))
+    SELECT doc_id, alias FROM m WHERE r = 1""")
+def phrase_find(spark, sf):
+    words = identity.tokens(F.col("text"))
+    known = V.table(spark, sf, "benchmark").select(words.alias("w")).filter(F.size("w") >= 3).select(F.array_join(F.slice("w", 1, 3), " ").alias("alias")).distinct()
+    return alias_trie.longest_alias(V.table(spark, sf, "documents"), "doc_id", words, known, F.split("alias", " "))

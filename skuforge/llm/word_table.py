@@ -4,10 +4,12 @@ A byte-pair tokenizer works on each pre-token (word) alone, so a word's ids are
 
 * Texts are split into words in tasks. A task writes blocks: about block_bytes of texts as a list of the block's distinct words
   and, for each document, the places of its words in that list. So a frequent word is one row of a block, not one of each place.
-* The distinct words of all blocks are encoded once each, with the library. Their ids are decoded by a join with the vocabulary
-  (id, piece) and put together in order.
-* Words with ids and pieces are joined back to the blocks by word, gathered by block (bounded by block_bytes), and each
-  document's ids and text are put together by the places of its words.
+* The distinct words of all blocks are encoded once each, with the library.
+* Words with their ids are joined back to the blocks by word and gathered by block (bounded by block_bytes). The blocks are a
+  table bucketed by block, so that they meet their words without being shuffled. Each document's ids are put together by the
+  places of its words.
+* Ids become text through the table (id, piece), as long as the tokenizer's vocabulary, which is broadcast and looked up for
+  each distinct word of a block.
 
 The split is the library's own: with its character classes for texts that normalisation only lower-cases one character at a
 time, else after its normaliser; special strings are cut out first, as the library does, and are words of their own. Words are
@@ -20,6 +22,7 @@ import hashlib
 import json
 import os
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +35,7 @@ from skuforge.llm import common, pretoken
 from skuforge.llm.token_count import _as_expected, _lower
 
 #: Text of a block, in bytes, about: its distinct words and places have to fit in a task.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
 
 
 def read_tokenizer(path: str) -> str:
@@ -106,18 +109,23 @@ class _Block:
         self.size += size
 
     def row(self, block: int) -> pa.RecordBatch:
-        ids = pa.concat_arrays(self.ids)
-        places = np.concatenate(self.places).astype(_width(len(self.index)))
-        columns = [pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([self.counts], pa.list_(pa.int32())), pa.array([list(self.index)], pa.list_(pa.string())), pa.array([places.tobytes()], pa.binary())]
+        ids, places = pa.concat_arrays(self.ids), _packed(np.concatenate(self.places))
+        columns = [pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([self.counts], pa.list_(pa.int32())), pa.array([list(self.index)], pa.list_(pa.string())), pa.array([places], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["block", "ids", "counts", "words", "places"])
 
 
-def _width(words: int) -> str:
-    return "<u2" if words <= 1 << 16 else "<u4"
+def _packed(places: np.ndarray) -> bytes:
+    """32-bit numbers, their four bytes apart, compressed: the upper bytes are nearly always the same."""
+    return pa.compress(np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, decompressed_size=4 * n, codec="zstd", asbytes=True) if n else b"", np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
 
 
 def split_blocks(docs: DataFrame, tokenizer_json: str, *, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """block, ids, counts (words of each document), words (distinct), places (binary: each word's place in words)."""
+    """block, ids, counts (words of each document), words (distinct), places (each word's place in words, packed)."""
     df = common.only(docs, id=id_col, text=text_col)
     shared = docs.sparkSession.sparkContext.broadcast((tokenizer_json, pretoken.classes("tokenizers"), pretoken.plain_characters()))  # a vocabulary: some MB whatever the input
 
@@ -138,8 +146,16 @@ def split_blocks(docs: DataFrame, tokenizer_json: str, *, id_col: str, text_col:
     return df.transform(common.arrow, run, f"block long, ids array<{df.schema['id'].dataType.simpleString()}>, counts array<int>, words array<string>, places binary")
 
 
+def bucketed(work: common.Workspace, blocks: DataFrame) -> DataFrame:
+    """blocks as a table with a bucket for each shuffle partition, so that a join by block doesn't move them."""
+    spark, name = work.spark, f"word_blocks_{uuid.uuid4().hex}"
+    buckets = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000))
+    blocks.write.bucketBy(buckets, "block").option("path", work.folder("blocks")).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def encode_words(words: DataFrame, tokenizer_json: str) -> DataFrame:
-    """(word, ids) of a table of distinct words, by the library's model alone."""
+    """(word, tokens) of a table of distinct words, by the library's model alone; tokens: ids as little-endian 32-bit numbers."""
     model = json.loads(tokenizer_json)
     special = {t["content"]: t["id"] for t in model["added_tokens"]}
     model |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
@@ -159,24 +175,16 @@ def encode_words(words: DataFrame, tokenizer_json: str) -> DataFrame:
         for batch in batches:
             mine = batch.column(0).to_pylist()
             ids = [[special[w]] if w in special else e.ids for w, e in zip(mine, tokenizer.encode_batch_fast(mine, add_special_tokens=False), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary())], ["word", "tokens"])
 
-    return words.select("word").transform(common.arrow, run, "word string, ids array<int>")
+    return words.select("word").transform(common.arrow, run, "word string, tokens binary")
 
 
-def vocabulary(spark, tokenizer_json: str) -> DataFrame:
-    """(id, piece): as many rows as the tokenizer has tokens."""
+def vocabulary(tokenizer_json: str) -> list[str]:
+    """The piece of each id."""
     model = json.loads(tokenizer_json)
     pieces = {i: p for p, i in model["model"]["vocab"].items()} | {t["id"]: t["content"] for t in model["added_tokens"]}
-    return spark.createDataFrame(sorted(pieces.items()), "id int, piece string")
-
-
-def decode_words(words: DataFrame, pieces: DataFrame) -> DataFrame:
-    """words(word, ids) with decoded: the pieces of the ids, with a space between, which is how a tokenizer without a decoder
-    puts them together."""
-    each = words.select("word", F.posexplode("ids").alias("i", "id")).join(pieces, "id")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "piece"))), lambda x: x["piece"]), " ")
-    return words.join(each.groupBy("word").agg(text.alias("decoded")), "word")
+    return [pieces.get(i, "") for i in range(max(pieces, default=-1) + 1)]
 
 
 def encode_and_decode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, block_bytes: int = BLOCK_BYTES, work: common.Workspace | None = None) -> DataFrame:
@@ -189,39 +197,45 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "do
     """
     work = work or common.Workspace(docs.sparkSession, "word-table")
     tokenizer_json = read_tokenizer(tokenizer_path)
-    blocks = work.save(split_blocks(docs, tokenizer_json, id_col=id_col, text_col=text_col, block_bytes=block_bytes), "blocks")
+    blocks = bucketed(work, split_blocks(docs, tokenizer_json, id_col=id_col, text_col=text_col, block_bytes=block_bytes))
     pairs = blocks.select("block", F.posexplode("words").alias("place", "word"))
     words = work.save(encode_words(pairs.select("word").distinct(), tokenizer_json), "words")
-    words = work.save(decode_words(words, vocabulary(docs.sparkSession, tokenizer_json)), "decoded")
-    there = pairs.join(words, "word").groupBy("block").agg(F.collect_list(F.struct("place", "ids", "decoded")).alias("known"))
+    there = pairs.join(words, "word").groupBy("block").agg(F.collect_list(F.struct("place", "tokens")).alias("known"))
     whole = blocks.select("block", "ids", "counts", F.size("words").alias("n"), "places").join(there, "block", "left")
     id_type = blocks.schema["ids"].dataType.elementType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(tokenizer_json))  # bounded by the tokenizer
 
     def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for r in range(rows.num_rows):
-                yield one(rows.slice(r, 1))
+                yield from one(rows.slice(r, 1))
 
-    def one(row: pa.RecordBatch) -> pa.RecordBatch:
+    def one(row: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, counts = row.column(0).flatten(), row.column(1)[0].values.to_numpy()
-        n, known = row.column(2)[0].as_py(), row.column(4)[0].values
+        n, known, pieces = row.column(2)[0].as_py(), row.column(4)[0].values, shared.value
         tokens, texts, sizes = [b""] * n, [""] * n, np.zeros(n, np.int64)
         if known is not None and len(known):
-            at, lists, pieces = (known.field(i) for i in range(3))
-            flat, ends = lists.values.to_numpy().astype("<u4"), lists.offsets.to_numpy()
-            for p, lo, hi, text in zip(at.to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), pieces.to_pylist(), strict=True):
-                tokens[p], texts[p], sizes[p] = flat[lo:hi].tobytes(), text, hi - lo
-        places = np.frombuffer(row.column(3)[0].as_buffer(), _width(n))
+            places, raws = known.field(0).to_pylist(), known.field(1).to_pylist()
+            flat = [pieces[i] for i in np.frombuffer(b"".join(raws), "<u4").tolist()]
+            at = 0
+            for p, raw in zip(places, raws, strict=True):
+                size = len(raw) >> 2
+                tokens[p], texts[p], sizes[p] = raw, flat[at] if size == 1 else " ".join(flat[at : at + size]), size
+                at += size
         ends = np.append(0, np.cumsum(counts)).tolist()
-        sums = np.append(0, np.cumsum(sizes[places]))[ends]
-        made: list[list] = [[], []]
-        for lo, hi in zip(ends[:-1], ends[1:], strict=True):
-            mine = places[lo:hi].tolist()
-            raw, text = b"".join([tokens[p] for p in mine]), " ".join([texts[p] for p in mine])
-            made[0].append(hashlib.sha256(raw).hexdigest() if digests else np.frombuffer(raw, "<u4").astype(np.int32))
-            made[1].append(hashlib.sha256(text.encode()).hexdigest() if digests else text)
-        columns = [ids, pa.array(np.diff(sums), pa.int64()), pa.array(made[0], pa.string() if digests else pa.list_(pa.int32())), pa.array(made[1], pa.string())]
-        return pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", *names])
+        places = _unpacked(row.column(3)[0].as_py(), ends[-1])
+        for lo in range(0, len(ids), common.BATCH_ROWS):
+            mine = ends[lo : lo + common.BATCH_ROWS + 1]
+            made: list[list] = [[], [], []]
+            for a, b in zip(mine[:-1], mine[1:], strict=True):
+                of = places[a:b]
+                made[0].append(int(sizes[of].sum()))
+                of = of.tolist()
+                raw, text = b"".join([tokens[p] for p in of]), " ".join([texts[p] for p in of])
+                made[1].append(hashlib.sha256(raw).hexdigest() if digests else np.frombuffer(raw, "<u4").astype(np.int32))
+                made[2].append(hashlib.sha256(text.encode()).hexdigest() if digests else text)
+            columns = [ids.slice(lo, len(mine) - 1), pa.array(made[0], pa.int64()), pa.array(made[1], pa.string() if digests else pa.list_(pa.int32())), pa.array(made[2], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", *names])
 
     names, kinds = (("ids_sha256", "decoded_sha256"), ("string", "string")) if digests else (("token_ids", "decoded"), ("array<int>", "string"))
     out = f"id {id_type}, n_tokens long, {names[0]} {kinds[0]}, {names[1]} {kinds[1]}"

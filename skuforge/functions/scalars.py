@@ -47,8 +47,9 @@ def to_list(c: Column) -> Column:
     return F.aggregate(parts, start, lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x))))
 
 
-def to_enum(c: Column, options: list[str], hints: dict[str, str] | None = None) -> Column:
-    """Exact option, hinted option (exact, then as a word), option in another case, option within or around; else null."""
+def to_enum(c: Column, options: list[str], hints: dict[str, str] | None = None, snap: float | None = None) -> Column:
+    """Exact option, hinted option (exact, then as a word), option in another case, option within or around; with snap, the most
+    similar option from that score on; else null."""
     low = F.lower(F.trim(c))
     choices = [F.when(F.trim(c) == o, o) for o in options]
     for word, option in (hints or {}).items():
@@ -57,9 +58,21 @@ def to_enum(c: Column, options: list[str], hints: dict[str, str] | None = None)
         choices.append(F.when(low.rlike(rf"(^|[^a-z0-9]){word}([^a-z0-9]|$)"), option))
     choices += [F.when(low == o.lower(), o) for o in options]
     choices += [F.when(low.contains(o.lower()) | (F.lit(o.lower()).contains(low) & (F.length(low) > 1)), o) for o in options]
+    if snap is not None:
+        choices.append(snapped(c, options, snap))
     return F.coalesce(*choices)
 
 
+def snapped(c: Column, options: list[str], floor: float = 82.0) -> Column:
+    """The option most like the text, of those that reach the floor (the first of equal ones); null without one. For a few
+    options, which are part of the expression."""
+    low = F.lower(F.trim(c))
+    score = lambda o: 100.0 * (1 - F.levenshtein(low, F.lit(o.lower())) / F.greatest(F.length(low), F.lit(len(o))))
+    scored = F.array(*(F.struct((-score(o)).alias("less"), F.lit(i).alias("i"), F.lit(o).alias("option")) for i, o in enumerate(options)))
+    best = F.array_min(F.filter(scored, lambda x: x["less"] <= -floor))
+    return F.when(F.length(low) > 0, best["option"])
+
+
 def number(c: Column) -> Column:
     return c.try_cast("double")
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from skuforge.functions import dictionary as D
 from skuforge.functions import fuzzy
+from skuforge.functions import scalars as S
+from skuforge.operators import fuzzy_join
 from skuforge.plans.registry import query
 from skuforge.sources import readers, tables
 from skuforge.sources import views as V
@@ -75,6 +77,48 @@ def alias_resolve(spark, sf):
     return D.resolve_names(V.table(spark, sf, "part"), "p_type").select("p_type", "key", F.to_json("closest").alias("closest"))
 
 
+PLAIN = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+TEXT = PLAIN.format("text")
+WORDS = f"SELECT DISTINCT unnest(string_split({TEXT}, ' ')) AS x FROM"
+#: DuckDB's levenshtein counts bytes: letters outside ASCII become capitals, which these words have none of.
+BYTES = "translate({0}, 'áâäàçéèêëíîïñóôöòúûüùßœæ', 'ABCDEFGHIJKLMNOPQRSTUVWX')"
+
+
+def _alike(a: str, b: str) -> str:
+    return f"round(100 * (1 - CAST(levenshtein({BYTES.format(a)}, {BYTES.format(b)}) AS DOUBLE) / greatest(length({a}), length({b}))), 4)"
+
+
+def _words(spark, sf, name: str, *more: str):
+    return V.table(spark, sf, name).select(F.explode(F.split(fuzzy_join.plain(F.col("text")), " ")).alias("word"), *more).filter("word <> ''")
+
+
+@query("similar_words", f"""WITH w AS (SELECT x FROM ({WORDS} benchmark) WHERE x <> ''), p AS (SELECT a.x AS a, b.x AS b, {_alike("a.x", "b.x")} AS score FROM w a, w b WHERE a.x < b.x) SELECT * FROM p WHERE score >= 75""")
+def similar_words(spark, sf):
+    words = _words(spark, sf, "benchmark").withColumnRenamed("word", "text")
+    return fuzzy_join.similar_texts(words, words, 75).filter("a < b")
+
+
+@query("alias_resolve_words", f"""WITH t AS (SELECT x FROM ({WORDS} conversations) WHERE x <> ''), k AS (SELECT alias, min(key) AS key FROM (SELECT unnest(string_split({TEXT}, ' ')) AS alias, CAST(item_id AS VARCHAR) AS key FROM benchmark) WHERE alias <> '' GROUP BY 1),
+    p AS (SELECT x, alias, key, {_alike("x", "alias")} AS score FROM t, k WHERE abs(length(x) - length(alias)) <= 2e-1 * greatest(length(x), length(alias))), r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY score DESC, alias) AS r FROM p WHERE score >= 84),
+    f AS (SELECT x, alias, key, score FROM r WHERE r = 1), d AS (SELECT f.x, max(CASE WHEN r.key <> f.key AND f.score - r.score < 4 THEN 1 ELSE 0 END) AS rival, string_agg(r.alias, ' ' ORDER BY r.r) AS closest FROM f JOIN r ON r.x = f.x AND r.r <= 3 GROUP BY 1)
+    SELECT t.x AS word, CASE WHEN f.x = f.alias OR rival = 0 THEN key END AS key, CASE WHEN f.x = f.alias OR rival = 0 THEN score END AS score, coalesce(closest, '') AS closest FROM t LEFT JOIN f ON f.x = t.x LEFT JOIN d ON d.x = t.x""")
+def alias_resolve_words(spark, sf):
+    known = _words(spark, sf, "benchmark", F.col("item_id").cast("string").alias("key")).withColumnRenamed("word", "alias")
+    found = fuzzy_join.resolve_aliases(_words(spark, sf, "conversations"), "word", known)
+    return found.withColumn("closest", F.array_join("closest.alias", " "))
+
+
+OPTIONS = ("STANDARD", "SMALL", "MEDIUM", "LARGE", "ECONOMY")
+SNAPPED = ", ".join(f"{{'less': -100 * (1 - CAST(levenshtein(low, '{o.lower()}') AS DOUBLE) / greatest(length(low), {len(o)})), 'i': {i}, 'o': '{o}'}}" for i, o in enumerate(OPTIONS))
+
+
+@query("enum_snap", f"""WITH v AS (SELECT p_partkey, translate(p_type, 'UN', 'VM') AS v, lower(translate(p_type, 'UN', 'VM')) AS low FROM part), s AS (SELECT *, list_sort(list_filter([{SNAPPED}], lambda x: x.less <= -82)) AS s FROM v)
+    SELECT p_partkey, v, coalesce({", ".join(f"CASE WHEN low = '{o.lower()}' THEN '{o}' END" for o in OPTIONS)}, {", ".join(f"CASE WHEN contains(low, '{o.lower()}') OR contains('{o.lower()}', low) THEN '{o}' END" for o in OPTIONS)}, s[1].o) AS option FROM s""")
+def enum_snap(spark, sf):
+    v = F.translate("p_type", "UN", "VM")
+    return V.table(spark, sf, "part").select("p_partkey", v.alias("v"), S.to_enum(v, list(OPTIONS), snap=82.0).alias("option"))
+
+
 @query("agreement_tumbling", f"WITH {V.SQL_DECISIONS} SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS reviewed, count(CASE WHEN decision = 'approved' THEN 1 END) AS approved FROM decisions GROUP BY 1")
 def agreement_tumbling(spark, sf):
     return stream.agreement(V.decisions(V.table(spark, sf, "events")))

@@ -4,10 +4,10 @@ A byte-pair tokenizer works on each pre-token (word) alone, so a word's ids are
 
 * Texts are split into words in tasks. A task writes blocks: about block_bytes of texts as a list of the block's distinct words
   and, for each document, the places of its words in that list. So a frequent word is one row of a block, not one of each place.
-* The distinct words of all blocks are encoded once each, with the library.
-* Words with their ids are joined back to the blocks by word and gathered by block (bounded by block_bytes). The blocks are a
-  table bucketed by block, so that they meet their words without being shuffled. Each document's ids are put together by the
-  places of its words.
+* (word, block, place) rows are dealt by word and sorted: the table of distinct words, with a word's rows one after the other.
+  Each word is encoded once, with the library, and its ids go back with the rows.
+* Ids are gathered by block (bounded by block_bytes). The blocks are a table bucketed by block, so that they meet their ids
+  without being shuffled. Each document's ids are put together by the places of its words.
 * Ids become text through the table (id, piece), as long as the tokenizer's vocabulary, which is broadcast and looked up for
   each distinct word of a block.
 
@@ -150,16 +150,17 @@ def bucketed(work: common.Workspace, blocks: DataFrame) -> DataFrame:
     """blocks as a table with a bucket for each shuffle partition, so that a join by block doesn't move them."""
     spark, name = work.spark, f"word_blocks_{uuid.uuid4().hex}"
     buckets = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000))
-    blocks.write.bucketBy(buckets, "block").option("path", work.folder("blocks")).format("parquet").saveAsTable(name)
+    blocks.write.bucketBy(buckets, "block").option("path", work.folder("blocks")).option("compression", "zstd").format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
-def encode_words(words: DataFrame, tokenizer_json: str) -> DataFrame:
-    """(word, tokens) of a table of distinct words, by the library's model alone; tokens: ids as little-endian 32-bit numbers."""
+def encode_words(pairs: DataFrame, tokenizer_json: str, width: str) -> DataFrame:
+    """(block, place, tokens) of pairs(word, block, place) dealt by word and sorted: each distinct word's ids, as numbers of the
+    given width, from the library's model alone. Only a word that goes on in the next batch is carried over."""
     model = json.loads(tokenizer_json)
-    special = {t["content"]: t["id"] for t in model["added_tokens"]}
+    special = {t["content"]: [t["id"]] for t in model["added_tokens"]}
     model |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
-    shared = words.sparkSession.sparkContext.broadcast((json.dumps(model),))
+    shared = pairs.sparkSession.sparkContext.broadcast((json.dumps(model),))
 
     def load(text: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -171,13 +172,20 @@ def encode_words(words: DataFrame, tokenizer_json: str) -> DataFrame:
         return made
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = common.kept("word-tokenizer", shared.value, load)
+        tokenizer, last, kept = common.kept("word-tokenizer", shared.value, load), None, b""
         for batch in batches:
-            mine = batch.column(0).to_pylist()
-            ids = [[special[w]] if w in special else e.ids for w, e in zip(mine, tokenizer.encode_batch_fast(mine, add_special_tokens=False), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary())], ["word", "tokens"])
+            encoded = batch.column(0).dictionary_encode()
+            mine = encoded.dictionary.to_pylist()
+            new = [w for w in mine if w != last]
+            ids = {w: e.ids for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)} | special
+            raw = [kept if w == last else np.array(ids[w], width).tobytes() for w in mine]
+            if mine:
+                last, kept = mine[-1], raw[-1]
+            tokens = pa.DictionaryArray.from_arrays(encoded.indices, pa.array(raw, pa.binary())).dictionary_decode()
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), tokens], ["block", "place", "tokens"])
 
-    return words.select("word").transform(common.arrow, run, "word string, tokens binary")
+    dealt = pairs.select("word", "block", "place").repartition("word").sortWithinPartitions("word")
+    return dealt.transform(common.arrow, run, "block long, place int, tokens binary")
 
 
 def vocabulary(tokenizer_json: str) -> list[str]:
@@ -198,12 +206,13 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "do
     work = work or common.Workspace(docs.sparkSession, "word-table")
     tokenizer_json = read_tokenizer(tokenizer_path)
     blocks = bucketed(work, split_blocks(docs, tokenizer_json, id_col=id_col, text_col=text_col, block_bytes=block_bytes))
+    pieces = vocabulary(tokenizer_json)
+    width = "<u2" if len(pieces) <= 1 << 16 else "<u4"
     pairs = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    words = work.save(encode_words(pairs.select("word").distinct(), tokenizer_json), "words")
-    there = pairs.join(words, "word").groupBy("block").agg(F.collect_list(F.struct("place", "tokens")).alias("known"))
+    there = encode_words(pairs, tokenizer_json, width).groupBy("block").agg(F.collect_list(F.struct("place", "tokens")).alias("known"))
     whole = blocks.select("block", "ids", "counts", F.size("words").alias("n"), "places").join(there, "block", "left")
     id_type = blocks.schema["ids"].dataType.elementType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(tokenizer_json))  # bounded by the tokenizer
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)  # bounded by the tokenizer
 
     def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -216,11 +225,11 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "do
         tokens, texts, sizes = [b""] * n, [""] * n, np.zeros(n, np.int64)
         if known is not None and len(known):
             places, raws = known.field(0).to_pylist(), known.field(1).to_pylist()
-            flat = [pieces[i] for i in np.frombuffer(b"".join(raws), "<u4").tolist()]
-            at = 0
+            ids_of = np.frombuffer(b"".join(raws), width)
+            whole_ids, flat, at, each = ids_of.astype("<u4").tobytes(), [pieces[i] for i in ids_of.tolist()], 0, ids_of.itemsize
             for p, raw in zip(places, raws, strict=True):
-                size = len(raw) >> 2
-                tokens[p], texts[p], sizes[p] = raw, flat[at] if size == 1 else " ".join(flat[at : at + size]), size
+                size = len(raw) // each
+                tokens[p], texts[p], sizes[p] = whole_ids[4 * at : 4 * (at + size)], flat[at] if size == 1 else " ".join(flat[at : at + size]), size
                 at += size
         ends = np.append(0, np.cumsum(counts)).tolist()
         places = _unpacked(row.column(3)[0].as_py(), ends[-1])

@@ -8,7 +8,7 @@ from __future__ import annotations
 import dataclasses
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skuforge.functions import dictionary as D
@@ -29,13 +29,17 @@ class Batch:
     summary: DataFrame
 
 
+def told(codes: str) -> tuple[Column, Column]:
+    """How many of what making a cell canonical found is worth an info, and how many a warning."""
+    mild = F.size(F.filter(codes, lambda c: c.isin("UNIT_CONVERTED", "RANGE_COLLAPSED")))
+    return mild, F.size(F.filter(codes, lambda c: (c != "") & ~c.isin("UNIT_CONVERTED", "RANGE_COLLAPSED")))
+
+
 def normalised(cats: DataFrame, fields: DataFrame, specs: DataFrame) -> DataFrame:
     """fields with numbers in their spec's unit, options in their spelling, and what that found counted as warnings or infos."""
     cells = fields.join(cats.select("record_id", "category"), "record_id").select("record_id", "category", "key", "value", "unit")
     found = canonical.canonicalise(cells, specs).select("record_id", "key", "dtype", "canonical", "number", "unit_out", F.split("issues", ",").alias("codes"))
-    told = F.col("codes")
-    mild = F.size(F.filter(told, lambda c: c.isin("UNIT_CONVERTED", "RANGE_COLLAPSED")))
-    grave = F.size(F.filter(told, lambda c: (c != "") & ~c.isin("UNIT_CONVERTED", "RANGE_COLLAPSED")))
+    mild, grave = told("codes")
     j = fields.join(found, ["record_id", "key"], "left")
     is_number = F.col("number").isNotNull()
     out = {"value": F.when(F.col("dtype").isNull(), F.col("value")).otherwise(F.col("canonical")), "unit": F.when(is_number, F.col("unit_out")).otherwise(F.col("unit"))}
@@ -66,17 +70,22 @@ def run_batch(rows: DataFrame, *, id_col: str = "row_idx", sku: str = "mfg_part_
     given = records.filter("given_brand is not null").select("record_id", F.lit("brand").alias("key"), F.col("given_brand").alias("value"), F.lit("").alias("unit"), F.lit("input_field").alias("method"), F.lit("input").alias("source"), F.lit(0.95).alias("confidence"), F.lit(0).alias("seq"))
     # written, as the next steps read it more than once and its expressions are long
     candidates = tables.save(given.unionByName(mined), "candidates")
-    best = fusion.resolve(candidates, fusion.texts_agree, numeric=False)
-    facts = candidates.groupBy("record_id", "key", "value").agg(F.max("unit").alias("unit"), F.min("method").alias("method"))
-    fields = best.join(facts, ["record_id", "key", "value"]).select("record_id", "key", "value", "unit", "method", "source", "confidence", F.when(F.col("issue") == "", 0).otherwise(1).alias("n_warning"))
+    # candidates are made canonical first, so that numbers are compared in the spec's unit
+    cells = canonical.canonicalise(candidates.join(records.select("record_id", "category"), "record_id"), specs, how="left")
+    cells = cells.withColumn("unit_out", F.when(F.col("number").isNotNull(), F.col("unit_out")).otherwise(F.col("unit")))
+    best = fusion.resolve_typed(cells)
+    mild, grave = told("codes")
+    kept_by_source = F.col("issue") == "SOURCE_CONFLICT_KEPT"
+    warned, said = grave + F.when((F.col("issue") != "") & ~kept_by_source, 1).otherwise(0), mild + F.when(kept_by_source, 1).otherwise(0)
+    fields = best.select("record_id", "key", "value", "unit", "method", "source", "confidence", warned.alias("n_warning"), F.lit(0).alias("n_error"), said.alias("n_info"))
 
     who = rows.select(F.col(id_col).alias("record_id"), *dict.fromkeys((*brands, text, account)))
     vocab = identity.vocabulary(spark, rows.select(F.col(brands[0]).alias("brand")), rows.select(F.col(account).alias("account")))
     resolved = identity.resolve(who, "record_id", list(brands), text, account, vocab)
     cell = lambda key, v, c: F.struct(F.lit(key).alias("key"), F.col(v).alias("value"), F.lit("").alias("unit"), F.col(f"{v}_method").alias("method"), F.lit("input").alias("source"), F.col(c).alias("confidence"), F.lit(0).alias("n_warning"))
     found = resolved.select("record_id", F.inline(F.array(cell("brand", "brand", "brand_confidence"), cell("manufacturer", "manufacturer", "manufacturer_confidence")))).filter("value is not null")
-    fields = fields.unionByName(found.join(fields.select("record_id", "key"), ["record_id", "key"], "left_anti"))
-    fields = normalised(records, fields.withColumn("n_error", F.lit(0)).withColumn("n_info", F.lit(0)), specs)
+    found = found.join(fields.select("record_id", "key"), ["record_id", "key"], "left_anti").withColumns({"n_error": F.lit(0), "n_info": F.lit(0)})
+    fields = fields.unionByName(normalised(records, found, specs))
     fields = tables.save(fields, "fields")
 
     cats = tables.save(records.select("record_id", "category").join(fields.filter("key = 'brand'").select("record_id", F.col("value").alias("brand")), "record_id", "left"), "categories")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skuforge.functions import dictionary as D
-from skuforge.operators import fusion, rules
+from skuforge.operators import canonical, fusion, rules
 from skuforge.plans.registry import query
 from skuforge.sources import views as V
 
@@ -50,6 +50,28 @@ def conflict_resolve(spark, sf):
     return fusion.resolve(V.candidates(spark, sf))
 
 
+#: Diameters of a fastener in several units: inches, centimetres, a range in millimetres, and ten times too much from some.
+TYPED = (("0", "input", "0.9", "concat(CAST(p_size AS VARCHAR(20)), ' in')", "p_partkey % 2 = 0"), ("1", "pdf", "0.8", "concat(CAST(p_size * 3 AS VARCHAR(20)), ' cm')", "p_partkey % 3 > 0"), ("2", "pdf", "0.7", "CAST(p_size * 10 AS VARCHAR(20))", "p_partkey % 5 = 0"), ("3", "web", "0.95", "concat(CAST(p_size * 25 AS VARCHAR(20)), ' to ', CAST(p_size * 25 + 1 AS VARCHAR(20)), ' mm')", "p_partkey % 7 > 1"), ("4", "image", "0.4", "'about'", "p_partkey % 4 = 1"))
+TYPED_SQL = " UNION ALL ".join(f"SELECT p_partkey AS record_id, {q} AS seq, '{s}' AS source, CAST({c} AS DOUBLE) AS confidence, {v} AS value FROM part WHERE {w}" for q, s, c, v, w in TYPED)
+NUMBER_SQL = "CASE seq WHEN 0 THEN p_size WHEN 1 THEN round(p_size * 3 * CAST(0.393701 AS DOUBLE), 6) WHEN 2 THEN p_size * 10 WHEN 3 THEN round((p_size * 25e0 + p_size * 25e0 + 1) / 2 * CAST(0.0393701 AS DOUBLE), 6) END"
+SHOWN_SQL = "CASE WHEN n IS NULL THEN value WHEN n = floor(n) THEN CAST(CAST(floor(n) AS BIGINT) AS VARCHAR) ELSE CAST(n AS VARCHAR) END"
+
+
+@query("conflict_typed", f"""WITH c AS ({TYPED_SQL}), p AS (SELECT c.*, CAST({NUMBER_SQL} AS DOUBLE) AS n, {PREC} AS precedence FROM c JOIN part ON p_partkey = record_id), r AS (SELECT *, {SHOWN_SQL} AS v, row_number() OVER (PARTITION BY record_id ORDER BY precedence DESC, confidence DESC, seq) AS rank FROM p),
+    t AS (SELECT record_id, n AS tn, v AS tv, source AS ts, precedence AS tp, confidence AS tc FROM r WHERE rank = 1), j AS (SELECT r.*, tn, tv, ts, tp, tc, CASE WHEN n IS NOT NULL AND tn IS NOT NULL THEN abs(n - tn) <= 2e-2 * greatest(abs(n), abs(tn)) ELSE lower(v) = lower(tv) END AS agrees FROM r JOIN t USING (record_id)),
+    g AS (SELECT record_id, any_value(tn) AS number, any_value(ts) AS source, any_value(tp) AS tp, any_value(tc) AS tc, count(DISTINCT CASE WHEN agrees AND source <> ts THEN source END) AS support, count(CASE WHEN NOT agrees THEN 1 END) AS alternatives,
+        arg_min(CASE WHEN NOT agrees THEN coalesce(n, -1) END, CASE WHEN NOT agrees THEN rank END) AS rn, arg_min(CASE WHEN NOT agrees THEN precedence END, CASE WHEN NOT agrees THEN rank END) AS rp FROM j GROUP BY 1),
+    q AS (SELECT record_id, n, lag(n) OVER (PARTITION BY record_id ORDER BY n) AS before FROM r WHERE n IS NOT NULL), f AS (SELECT record_id, count(CASE WHEN before IS NULL OR abs(n - before) > 2e-2 * greatest(abs(n), abs(before)) THEN 1 END) AS facts FROM q GROUP BY 1),
+    b AS (SELECT g.*, coalesce(f.facts, 1) AS facts, CASE WHEN rn >= 0 THEN greatest(rn, number) / nullif(least(rn, number), 0) END AS big FROM g LEFT JOIN f ON f.record_id = g.record_id),
+    i AS (SELECT *, CASE WHEN alternatives = 0 THEN '' WHEN tp - rp >= 20 THEN 'SOURCE_CONFLICT_KEPT' WHEN abs(big - 10) <= 2e-1 OR abs(big - 100) <= 2 OR abs(big - 1000) <= 20 THEN 'UNIT_SUSPECT' ELSE 'SOURCE_CONFLICT' END AS issue FROM b)
+    SELECT record_id, number, source, floor(least(least(1e0, tc + least(15, support * 6) / 100e0), CASE issue WHEN '' THEN 1e0 WHEN 'SOURCE_CONFLICT_KEPT' THEN 85e-2 WHEN 'UNIT_SUSPECT' THEN 5e-1 ELSE 55e-2 END) * 1000 + 5e-1) / 1000e0 AS confidence, CAST(support AS INTEGER) AS support, CAST(alternatives AS INTEGER) AS alternatives, CAST(facts AS INTEGER) AS facts, issue FROM i""")
+def conflict_typed(spark, sf):
+    V.table(spark, sf, "part").createOrReplaceTempView("part_of_typed")
+    cells = spark.sql(TYPED_SQL.replace("FROM part", "FROM part_of_typed")).withColumns({"key": F.lit("diameter"), "category": F.lit("fastener"), "unit": F.lit(""), "method": F.lit("regex")})
+    found = fusion.resolve_typed(canonical.canonicalise(cells, D.specs(spark)))
+    return found.select("record_id", "number", "source", "confidence", "support", "alternatives", "facts", "issue")
+
+
 @query("corroboration", f"SELECT support, count(*) AS records FROM ({RESOLVED}) GROUP BY 1")
 def corroboration(spark, sf):
     return fusion.resolve(V.candidates(spark, sf)).groupBy("support").agg(F.count("*").alias("records"))

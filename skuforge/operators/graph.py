@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skuforge.sources.tables import save, stored
+
 
 def edges(categories: DataFrame, fields: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """product, node, kind: products to their category and to the values of some keys (lower case)."""
@@ -62,6 +64,46 @@ def ego(e: DataFrame, start: str, radius: int) -> DataFrame:
     return seen
 
 
+def neighbourhoods(e: DataFrame, starts: DataFrame, radius: int) -> DataFrame:
+    """(start, node, distance) of all nodes within radius steps of each start of starts(start), products or other nodes; a start
+    that isn't in the graph has no row.
+
+    All starts go in step: a step joins the last step's nodes with the edges and keeps those not seen before. Each step's nodes
+    are a table of their own, and the seen ones are read from those folders, so plans stay as short at any radius. It ends when
+    a step finds nothing."""
+    spark = e.sparkSession
+    both = save(e.select(F.col("product").alias("node"), F.col("node").alias("next")).unionByName(e.select("node", F.col("product").alias("next"))).distinct(), "adjacent")
+    known = starts.select("start").distinct().join(both.select(F.col("node").alias("start")).distinct(), "start", "left_semi")
+    schema = "start string, node string, distance int"
+    reached = [stored(known.select("start", F.col("start").alias("node"), F.lit(0).alias("distance")), "reached")]
+    for d in range(1, radius + 1):
+        last, seen = spark.read.schema(schema).parquet(reached[-1]), spark.read.schema(schema).parquet(*reached)
+        step = last.join(both, "node").select("start", F.col("next").alias("node")).distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        reached.append(stored(step.select("start", "node", F.lit(d).alias("distance")), "reached"))
+        if spark.read.schema(schema).parquet(reached[-1]).isEmpty():
+            break
+    return spark.read.schema(schema).parquet(*reached)
+
+
+def drawn(e: DataFrame, within: DataFrame | None = None) -> DataFrame:
+    """Elements for a graph widget, as JSON: (start, part, element) of the nodes and edges among within(start, node), of the whole
+    graph (start null) without it. Nodes have id, label and kind, edges source, target and relation."""
+    kind = F.max(F.when(F.col("kind").isin("product", "category"), F.col("kind")).otherwise("attribute"))
+    every = nodes(e).groupBy("node").agg(kind.alias("kind"))
+    name = F.regexp_extract("node", r"(?s)^[^:]*:(.*)$", 1)
+    label = F.when(F.col("kind") == "attribute", F.concat(F.regexp_extract("node", "^([^:]*):", 1), F.lit("="), name)).otherwise(name)
+    links = e.select("product", "node", F.when(F.col("kind") == "category", "in_category").otherwise("has_attribute").alias("relation")).distinct()
+    if within is None:
+        every, links = (x.withColumn("start", F.lit(None).cast("string")) for x in (every, links))
+    else:
+        inside = within.select("start", "node").distinct()
+        every = every.join(inside, "node")
+        links = links.join(inside, "node").join(inside.withColumnRenamed("node", "product"), ["start", "product"])
+    element = lambda *c: F.to_json(F.struct(F.struct(*c).alias("data"))).alias("element")
+    points = every.select("start", F.lit("node").alias("part"), element(F.col("node").alias("id"), label.alias("label"), "kind"))
+    return points.unionByName(links.select("start", F.lit("edge").alias("part"), element(F.col("product").alias("source"), F.col("node").alias("target"), "relation")))
+
+
 def peer_groups(categories: DataFrame, fields: DataFrame, least: int = 3) -> DataFrame:
     """record_id, level, grp: the series if it has `least` records or more, else brand and category, else category.
     Group sizes are counted before the shuffle and joined back, so a group of any size is no task of its own; a record without

@@ -91,7 +91,7 @@ def run_batch(rows: DataFrame, *, id_col: str = "row_idx", sku: str = "mfg_part_
     cats = tables.save(records.select("record_id", "category").join(fields.filter("key = 'brand'").select("record_id", F.col("value").alias("brand")), "record_id", "left"), "categories")
     before = score.overall(cats, ruled(cats, fields.filter("method = 'input_field'")), specs)
     known = fields if peers is None else fields.unionByName(peers.select(*fields.columns))
-    filled = enrich.fill_from_peers(cats, known, specs).select("record_id", "key", "value", F.lit("").alias("unit"), F.lit("kg_infer").alias("method"), F.lit("catalog_sibling").alias("source"), "confidence", F.lit(0).alias("n_warning"), F.lit(0).alias("n_error"), F.lit(1).alias("n_info"))
+    filled = enrich.fill_from_peers(cats, known, specs, consensus=True).select("record_id", "key", "value", F.lit("").alias("unit"), F.lit("kg_infer").alias("method"), F.lit("catalog_sibling").alias("source"), "confidence", F.lit(0).alias("n_warning"), F.lit(0).alias("n_error"), F.lit(1).alias("n_info"))
     # rules run again, as cross-field checks must see what was filled
     fields = tables.save(ruled(cats, fields.unionByName(filled)), "filled")
     if judge is not None:

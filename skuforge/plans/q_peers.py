@@ -119,6 +119,27 @@ def graph_export(spark, sf):
     return _edges(spark, sf).select(F.to_json(F.struct(F.col("product").alias("source"), F.col("node").alias("target"), "kind")).alias("element"))
 
 
+NEAR = f"""{EDGES}, adj AS (SELECT product AS a, node AS b FROM edges UNION SELECT node, product FROM edges), d0 AS (SELECT DISTINCT product AS start, product AS node FROM edges WHERE node = 'brand:brand#12'),
+    d1 AS (SELECT DISTINCT start, b AS node FROM d0 JOIN adj ON a = node), d2 AS (SELECT DISTINCT start, b AS node FROM d1 JOIN adj ON a = node), d3 AS (SELECT DISTINCT start, b AS node FROM d2 JOIN adj ON a = node),
+    near AS (SELECT start, node, CAST(min(d) AS INTEGER) AS distance FROM (SELECT *, 0 AS d FROM d0 UNION ALL SELECT *, 1 FROM d1 UNION ALL SELECT *, 2 FROM d2 UNION ALL SELECT *, 3 FROM d3) GROUP BY 1, 2)"""
+
+
+@query("neighbourhoods", f"{NEAR} SELECT * FROM near")
+def neighbourhoods(spark, sf):
+    e = _edges(spark, sf)
+    return graph.neighbourhoods(e, e.filter("node = 'brand:brand#12'").select(F.col("product").alias("start")), 3)
+
+
+LABEL = "CASE WHEN kind IN ('product', 'category') THEN regexp_replace(node, '^[^:]*:', '') ELSE concat(split_part(node, ':', 1), '=', regexp_replace(node, '^[^:]*:', '')) END"
+
+
+@query("graph_drawn", f"""{EDGES}, n AS (SELECT DISTINCT product AS node, 'product' AS kind FROM edges UNION SELECT node, CASE WHEN kind = 'category' THEN kind ELSE 'attribute' END FROM edges)
+    SELECT 'node' AS part, concat('{{"data":{{"id":"', node, '","label":"', {LABEL}, '","kind":"', kind, '"}}}}') AS element FROM n
+    UNION ALL SELECT DISTINCT 'edge', concat('{{"data":{{"source":"', product, '","target":"', node, '","relation":"', CASE WHEN kind = 'category' THEN 'in_category' ELSE 'has_attribute' END, '"}}}}') FROM edges""")
+def graph_drawn(spark, sf):
+    return graph.drawn(_edges(spark, sf)).select("part", "element")
+
+
 PEERS = f"""{BASE}, g0 AS (SELECT c.*, f.value AS series FROM category c LEFT JOIN fields f ON f.record_id = c.record_id AND f.key = 'series'),
     g1 AS (SELECT *, CASE WHEN series IS NOT NULL THEN count(*) OVER (PARTITION BY series) END AS ns, count(*) OVER (PARTITION BY brand, category) AS nb FROM g0),
     peers AS (SELECT record_id, CASE WHEN ns >= 3 THEN 'series' WHEN nb >= 3 THEN 'brand' ELSE 'category' END AS level, CASE WHEN ns >= 3 THEN series WHEN nb >= 3 THEN concat(brand, '|', category) ELSE category END AS grp FROM g1)"""
@@ -161,6 +182,26 @@ def peer_fill(spark, sf):
     return enrich.fill_from_peers(V.categories(spark, sf), V.fields(spark, sf), D.specs(spark))
 
 
+TIERS = f"""{INFER}, s0 AS (SELECT c.record_id, c.category, lower(c.brand) AS brand, s.series FROM category c LEFT JOIN (SELECT record_id, min(lower(value)) AS series FROM fields WHERE key = 'series' GROUP BY 1) s ON s.record_id = c.record_id),
+    pg AS (SELECT record_id, category, 'series' AS how, series AS grp FROM s0 WHERE series <> '' UNION ALL SELECT record_id, category, 'brand', brand FROM s0 WHERE brand <> ''),
+    ask AS (SELECT record_id, category, CASE WHEN series <> '' THEN 'series' ELSE 'brand' END AS how, CASE WHEN series <> '' THEN series ELSE brand END AS grp FROM s0 WHERE series <> '' OR brand <> ''),
+    sz AS (SELECT category, how, grp, count(*) - 1 AS n_peers FROM pg GROUP BY 1, 2, 3), vt AS (SELECT category, how, grp, key, value, count(*) AS c FROM pg JOIN fields USING (record_id) WHERE confidence >= 6e-1 GROUP BY 1, 2, 3, 4, 5),
+    bt AS (SELECT *, row_number() OVER (PARTITION BY category, how, grp, key ORDER BY c DESC, value) AS r FROM vt),
+    agreed AS (SELECT w.record_id, w.key, b.value, b.c AS support, round(CAST(b.c AS DOUBLE) / n_peers, 6) AS share FROM wanted w JOIN ask a ON a.record_id = w.record_id JOIN bt b ON b.r = 1 AND b.category = a.category AND b.how = a.how AND b.grp = a.grp AND b.key = w.key
+        JOIN sz ON sz.category = a.category AND sz.how = a.how AND sz.grp = a.grp WHERE b.c >= 3 AND round(CAST(b.c AS DOUBLE) / n_peers, 6) >= 6e-1)"""
+
+
+@query("consensus_fill", f"{TIERS} SELECT * FROM agreed")
+def consensus_fill(spark, sf):
+    cats, fields = V.categories(spark, sf), V.fields(spark, sf)
+    return enrich.series_consensus(cats, fields, enrich.missing(cats, fields, D.specs(spark)))
+
+
+@query("peer_fill_tiers", f"{TIERS}, every AS (SELECT * FROM inferred UNION ALL SELECT * FROM agreed a WHERE NOT EXISTS (SELECT 1 FROM inferred i WHERE i.record_id = a.record_id AND i.key = a.key)) SELECT record_id, key, value, round(least(70e-2, 45e-2 + 3e-1 * share), 6) AS confidence, support FROM every")
+def peer_fill_tiers(spark, sf):
+    return enrich.fill_from_peers(V.categories(spark, sf), V.fields(spark, sf), D.specs(spark), consensus=True)
+
+
 @query("content_length", f"{BASE} SELECT record_id, key, CAST(length(value) AS INTEGER) AS chars, CASE WHEN length(value) * 10 < 25 * 8 THEN 'CONTENT_TOO_SHORT' ELSE 'CONTENT_TOO_LONG' END AS code FROM fields WHERE key = 'short_desc' AND (length(value) * 10 < 25 * 8 OR length(value) * 10 > 18 * 12)".replace("25 * 8", "25 * 8"))
 def content_length(spark, sf):
     return enrich.content_length(V.fields(spark, sf), {"short_desc": (25, 18)})

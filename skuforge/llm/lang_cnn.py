@@ -133,19 +133,21 @@ class ByteCNN:
         return self
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, windows_per_text: int = 8, length: int = 256, seed: int = 0) -> ByteCNN | None:
-    """A network from per_language labelled rows of each language at most, the first by a hash of the id, and up to
-    windows_per_text windows of each, spread evenly: the bound holds at any size. None where no row has a label.
-
-    Every language is learned. Rows with a null id, text or language aren't used. Rows are chosen by ids alone, in parts of
-    each language first, so that a common language gathers in no task; the choice is written, so that Spark knows how small it
-    is before texts are joined with it.
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, windows_per_language: int = 3200, length: int = 256, seed: int = 0) -> ByteCNN | None:
+    """A network from labelled rows of each language: the first by a hash of the id, per_language at most, as long as those before
+    have less than windows_per_language windows together; rows of more windows than that come last. A chosen row is learned
+    whole. So the bound holds at any size. None where no row has a label.
+
+    Every language is learned. Rows with a null id, text or language aren't used. Rows are chosen by ids and lengths alone, in
+    parts of each language first, so that a common language gathers in no task; the choice is written, so that Spark knows how
+    small it is before texts are joined with it.
     """
     rows = common.only(docs, id=id_col, text=text_col, lang=lang_col).filter("id is not null and text is not null and lang is not null and text != ''")
-    some = rows.select("id", "lang", (F.xxhash64("id") % PARTS).alias("part"))
+    some = rows.select("id", "lang", F.ceil(F.octet_length("text") / length).alias("n"), (F.xxhash64("id") % PARTS).alias("part"))
     for group in (("lang", "part"), ("lang",)):
-        first = Window.partitionBy(*group).orderBy(F.xxhash64("id"), "id")
-        some = some.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_language).drop("r")
+        first = Window.partitionBy(*group).orderBy(F.col("n") > windows_per_language, F.xxhash64("id"), "id", "n")
+        before = F.coalesce(F.sum("n").over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        some = some.withColumns({"r": F.row_number().over(first), "before": before}).filter((F.col("r") <= per_language) & (F.col("before") < windows_per_language)).drop("r", "before")
     some = some.select(F.col("id").alias("some_id"), F.col("lang").alias("some_lang")).distinct()
     some = common.Workspace(docs.sparkSession, "language").save(some, "chosen")
     picked = rows.join(some, (F.col("id") == F.col("some_id")) & (F.col("lang") == F.col("some_lang"))).select("id", "lang", "text")
@@ -155,11 +157,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
             langs = batch.column(1).to_pylist()
             for lo, _, data, offsets in common.slices(batch.column(2)):
                 x, text, _ = windows(data, offsets, length)
-                n = np.bincount(text, minlength=len(offsets) - 1)
-                rank = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-                step = np.maximum(-(-n // windows_per_text), 1)[text]
-                keep = rank % step == 0
-                yield pa.RecordBatch.from_arrays([pa.array([langs[lo + t] for t in text[keep]], pa.string()), pa.array([w.tobytes() for w in x[keep]], pa.binary())], ["lang", "window"])
+                yield pa.RecordBatch.from_arrays([pa.array([langs[lo + t] for t in text], pa.string()), pa.array([w.tobytes() for w in x], pa.binary())], ["lang", "window"])
 
     data = picked.transform(common.arrow, cut, "lang string, window binary").orderBy("lang", "window").toLocalIterator()
     pairs = [(r["lang"], bytes(r["window"])) for r in data]

@@ -3,8 +3,8 @@ r"""Secret scan with corpus-wide ownership frequency, with DataFrame functions o
 Base spans are found by pattern: assignments of a value to a password-like name, access keys and long hexadecimal runs. Each
 is a candidate with a hash of its secret value (an assignment's value, else the whole match). Over the corpus, a candidate
 hash has a number of distinct repositories and of distinct owners that hold it. A value in `example_owners` owners or more
-is a widely copied example; a value that looks like a placeholder is one too. The rest belong to few owners; those with
-enough different characters look live and become added spans of kind `live` on their value.
+is a widely copied example, as is one of fewer than `distinct_characters` different characters. The rest belong to few owners,
+look live and become added spans of kind `live` on their value. No list of words overrides the count.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ ASSIGN = _BEFORE_VALUE + r"[A-Za-z0-9+/_.=-]++"
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 PATTERNS = dict(zip(KINDS, (ASSIGN, ACCESS, HEX), strict=True))
-#: What placeholders hold, in lower case.
-PLACEHOLDERS = ("example", "changeme", "change_me", "placeholder", "your_", "your-", "dummy", "xxxx", "redacted", "insert", "sample", "test1234")
 
 
 def _value(kind: Column, text: Column) -> Column:
@@ -65,9 +63,8 @@ def scan(
     owners = held.groupBy("hash", "owner").agg(F.sum("n").alias("n")).groupBy("hash").agg(F.count("*").alias("n_owners"))
     repositories = held.groupBy("hash", "repository").agg(F.sum("n").alias("n")).groupBy("hash").agg(F.count("*").alias("n_repositories"))
     frequency = owners.join(repositories, "hash")
-    low = F.lower("value")
-    placeholder = low.rlike("|".join(PLACEHOLDERS)) | (F.size(F.array_distinct(F.split("value", ""))) < distinct_characters)
-    verdict = F.when(placeholder | (F.col("n_owners") >= example_owners) | (F.col("n_repositories") >= 2 * example_owners), "example").otherwise("live")
+    plain = F.size(F.array_distinct(F.split("value", ""))) < distinct_characters
+    verdict = F.when(plain | (F.col("n_owners") >= example_owners) | (F.col("n_repositories") >= 2 * example_owners), "example").otherwise("live")
     end = F.col("s.end")
     live = F.struct((end - F.length("value")).cast("int").alias("start"), F.lit(len(KINDS)).alias("rank"), end.alias("end"), F.lit("live").alias("kind"), F.col("value"))
     judged = candidates.join(frequency, "hash").select("id", "text_key", verdict.alias("verdict"), live.alias("span")).distinct()

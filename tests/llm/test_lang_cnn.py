@@ -40,3 +40,19 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert lang_cnn.train(odd.limit(0)) is None
     assert {r.lang_pred for r in lang_cnn.predict(odd, None).collect()} == {"und"}
     assert lang_cnn.predict(odd.limit(0), model).count() == 0
+
+
+def test_the_sample_is_bounded_by_rows_and_by_windows_and_rows_stay_whole(spark, monkeypatch):
+    seen = {}
+
+    def fit(self, x, y, **_):
+        seen["windows"] = {self.languages[k]: int((y == k).sum()) for k in range(len(self.languages))}
+        return self
+
+    monkeypatch.setattr(lang_cnn.ByteCNN, "fit", fit)
+    rows = [(i, "a" * 256 * (1 + i % 3), "en") for i in range(60)] + [(100 + i, "b" * 256 * 50, "fr") for i in range(3)] + [(200, "c" * 256 * 40, "de"), (201, "d" * 10, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lang_cnn.train(docs, per_language=400, windows_per_language=30)
+    assert 30 <= seen["windows"]["en"] < 33 and seen["windows"]["fr"] == 50 and seen["windows"]["de"] == 41
+    lang_cnn.train(docs, per_language=5, windows_per_language=3000)
+    assert 5 <= seen["windows"]["en"] <= 15 and seen["windows"]["fr"] == 150

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from skuforge.llm import secret_scan
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("[A-Za-z0-9+", "[A-Za-z0-9+"), re.IGNORECASE | re.ASCII)
@@ -40,5 +42,33 @@ def test_ownership_separates_examples_from_live_values(spark):
     assert len(got) == len(rows)
     assert by[0].n_live == 0 and by[0].n_example == 1
     assert by[10].n_live == 1 and by[10].spans == "assign:0:19,live:7:19"
-    assert by[12].n_live == 0 and by[13].spans == "" and by[None].n_live == 1
+    assert by[12].n_live == 1 and by[13].spans == "" and by[None].n_live == 1
     assert secret_scan.report(docs.limit(0)).count() == 0
+
+
+def test_live_spans_over_a_corpus_against_counting_by_hand(spark):
+    draw = random.Random(11)
+    secrets = ["".join(draw.choice("abcdefgh01234567") for _ in range(draw.choice((6, 12, 30)))) for _ in range(25)] + ["aaaaaa", "ababababab", "EXAMPLEKEY42x", "AKIA" + "QWERTYUIOPASDFGH"]
+    rows = []
+    for i in range(160):
+        said = [f"{draw.choice(('password', 'Token', 'api_key'))}{draw.choice(('=', ': ', ' = '))}{draw.choice(secrets[: 1 + i % len(secrets)])}" if draw.random() < 0.7 else draw.choice(secrets) for _ in range(draw.randrange(0, 4))]
+        owner = draw.choice(("o1", "o2", "o3", "o4", None))
+        rows.append((i % 150, " and ".join(said) or None, draw.choice(("r1", "r2", "r3", "r4", "r5", "r6", "r7", None)), owner))
+    rows.append((900, " ".join(f"token=zq{j:04d}w" for j in range(3000)), "r9", "o9"))
+    value_of = lambda text, k, a, b: ASSIGN.fullmatch(text[a:b])[2] if k == "assign" else text[a:b]
+    held = {}
+    for _, text, repository, owner in rows:
+        for k, a, b in base(text):
+            o, r = held.setdefault(value_of(text, k, a, b), (set(), set()))
+            o.add(owner)
+            r.add(repository)
+    live = lambda v: len(held[v][0]) < 3 and len(held[v][1]) < 6 and len(set(v)) >= 6
+    docs = spark.createDataFrame(rows, "doc_id long, text string, repo string, org string").repartition(5)
+    got = sorted((r.doc_id, r.spans, r.n_live) for r in secret_scan.report(docs, repository=F.col("repo"), owner=F.col("org")).collect())
+    want = []
+    for i, text, _, _ in rows:
+        spans = [(a, secret_scan.KINDS.index(k), b, k) for k, a, b in base(text)]
+        added = {(b - len(value_of(text, k, a, b)), 3, b, "live") for k, a, b in base(text) if live(value_of(text, k, a, b))}
+        want.append((i, ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted({*spans, *added})), len(added)))
+    assert got == sorted(want)
+    assert 0 < sum(r[2] for r in got if r[0] != 900) and any("live" not in r[1] and r[1] for r in got)

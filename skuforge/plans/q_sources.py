@@ -61,6 +61,15 @@ def messy_sample(spark, sf):
     return readers.messy_sample(spark)
 
 
+@query("scan_mixed", """SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, concat(p_name, CASE WHEN p_partkey % 3 = 0 THEN ', "large"; x' ELSE '' END) AS p_name, p_brand, CASE WHEN p_partkey % 3 = 1 THEN '' ELSE CAST(p_size AS VARCHAR) END AS size FROM part""")
+def scan_mixed(spark, sf):
+    part = V.table(spark, sf, "part").select("p_partkey", F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, ', "large"; x').otherwise("")).alias("p_name"), "p_brand", F.col("p_size").alias("size"))
+    folder = _folder(spark, "mixed")
+    for k, (sep, columns) in enumerate(((",", ("p_partkey", "p_name", "p_brand", "size")), (";", ("p_brand", "p_partkey", "p_name")), ("\t", ("size", "p_name", "p_partkey", "p_brand")))):
+        part.filter(F.col("p_partkey") % 3 == k).select(*columns).write.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').csv(f"{folder}/{k}")
+    return readers.read_mixed(spark, folder).select("p_partkey", "p_name", "p_brand", "size")
+
+
 @query("alias_exact", "SELECT * FROM (VALUES ('Brand Name', 'brand'), ('guarantee', 'warranty_months'), ('Dia', 'diameter'), ('xyz', NULL)) t(header, key)")
 def alias_exact(spark, sf):
     return spark.createDataFrame([(h, D.resolve_header(h)) for h in ("Brand Name", "guarantee", "Dia", "xyz")], "header string, key string")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from skuforge.functions import scalars as S
 from skuforge.functions.pages import reduce_page
+from skuforge.sources import tables
 
 
 def sniff(line: str) -> str:
@@ -33,6 +34,45 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> Da
     return df.na.fill("")
 
 
+SEPARATORS = (",", ";", "\t", "|")
+
+
+def read_mixed(spark: SparkSession, path: str, file_col: str = "source_file") -> DataFrame:
+    """All delimited files under path as one table of strings: each file has its own separator, encoding and order of columns, and
+    columns are put together by name (trimmed; of a name that a file has twice, the first). A column that a file hasn't is
+    empty, as is a missing cell; cells beyond the header are left out. file_col names the file.
+
+    Lines are read by Spark, so large files are split and any store that Spark reads will do. A file's first line that isn't
+    blank is its header and shows its separator; a file with a line that isn't UTF-8 is Latin-1. Cells in quotes may hold the
+    separator, not line ends. The driver gets the names and number of columns only."""
+    meta = F.col("_metadata")
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", meta["file_path"].alias("file"), F.struct(meta["file_block_start"], F.monotonically_increasing_id()).alias("at"))
+    lines = lines.filter(F.trim("value") != "")
+    files = lines.groupBy("file").agg(F.min(F.struct("at", "value")).alias("first"), F.min(F.is_valid_utf8("value")).alias("utf8"))
+    text = lambda value: F.regexp_replace(F.when(F.col("utf8"), value).otherwise(F.decode(value.cast("binary"), "ISO-8859-1")), "^\ufeff|\r$", "")
+    files = files.select("file", "utf8", F.col("first.at").alias("header_at"), text(F.col("first.value")).alias("header"))
+    bare = F.regexp_replace("header", '"[^"]*"', "")
+    count = lambda s: F.length(bare) - F.length(F.replace(bare, F.lit(s), F.lit("")))
+    sep = F.array_max(F.array(*(F.struct(count(s).alias("n"), F.lit(-i).alias("i"), F.lit(s).alias("sep")) for i, s in enumerate(SEPARATORS))))["sep"]
+    files = files.withColumn("sep", sep)
+    files = tables.save(files.withColumn("names", F.transform(F.split("header", _outside_quotes(F.col("sep"))), lambda x: F.trim(F.regexp_replace(F.trim(x), '^"|"$', "")))), "files")
+    width = files.agg(F.max(F.size("names"))).first()[0] or 0
+    found = files.select(F.posexplode("names").alias("i", "name")).groupBy("name").agg(F.min("i").alias("i")).filter("name <> ''").orderBy("i", "name")
+    names = [r["name"] for r in found.toLocalIterator()]
+    data = lines.join(files, "file").filter(F.col("at") != F.col("header_at")).withColumn("line", text(F.col("value")))
+    schema = ", ".join(f"c{i} string" for i in range(width)) or "c0 string"
+    read = lambda s: F.from_csv("line", schema, {"sep": s, "quote": '"', "escape": '"'})
+    cells = F.coalesce(*(F.when(F.col("sep") == s, read(s)) for s in SEPARATORS))
+    data = data.withColumn("cells", cells).select("file", "names", F.array(*(F.col(f"cells.c{i}") for i in range(max(width, 1)))).alias("cells"))
+    one = lambda name: F.coalesce(F.get("cells", F.array_position("names", name).cast("int") - 1), F.lit(""))
+    return data.select(F.col("file").alias(file_col), *(one(n).alias(n) for n in names))
+
+
+def _outside_quotes(sep: Column) -> Column:
+    """A pattern for the separator outside quotes."""
+    return F.concat(F.when(sep == "|", "\\|").otherwise(sep), F.lit('(?=(?:[^"]*"[^"]*")*[^"]*$)'))
+
+
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     """One object on each line; values as strings, missing ones empty."""
     df = spark.read.option("primitivesAsString", True).json(path)

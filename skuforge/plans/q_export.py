@@ -29,48 +29,24 @@ def flat_publishable(spark, sf):
     return export.flat(export.publishable(V.fields(spark, sf)), KEYS)
 
 
+N_SLOTS = 50
 SLOTS = f"""{BASE}, s AS (SELECT record_id, row_number() OVER (PARTITION BY record_id ORDER BY required DESC, weight DESC, {score.SQL_PENALISED} DESC, key) AS slot, label, value, fields.unit AS uom
     FROM fields JOIN category USING (record_id) JOIN spec USING (category, key) WHERE {score.SQL_PENALISED} >= 4e-1 AND key NOT IN {export.DEDICATED})"""
 
 
-@query("attribute_slots", f"{SLOTS} SELECT record_id, CAST(slot AS INTEGER) AS slot, label, value, uom FROM s WHERE slot <= 3")
+@query("attribute_slots", f"{SLOTS} SELECT record_id, CAST(slot AS INTEGER) AS slot, label, value, uom FROM s WHERE slot <= {N_SLOTS}")
 def attribute_slots(spark, sf):
-    return export.slots(V.fields(spark, sf), D.specs(spark), V.categories(spark, sf), 3)
-
-
-DELIVERY = f"""{SLOTS}, p AS (SELECT record_id, {', '.join(f"max(CASE WHEN slot = {i} THEN {c} END) AS {c}_{i}" for i in (1, 2) for c in ('label', 'value', 'uom'))} FROM s GROUP BY 1),
-    delivery AS (SELECT CAST(record_id AS VARCHAR) AS sku, brand, category, coalesce(label_1, '') AS label_1, coalesce(value_1, '') AS value_1, coalesce(uom_1, '') AS uom_1, coalesce(label_2, '') AS label_2, coalesce(value_2, '') AS value_2, coalesce(uom_2, '') AS uom_2, '' AS video_link
-    FROM category LEFT JOIN p USING (record_id))"""
-TEMPLATE = ["sku", "brand", "category", "label_1", "value_1", "uom_1", "label_2", "value_2", "uom_2", "video_link"]
-
-
-def delivery(spark, sf):
-    s = export.slot_columns(export.slots(V.fields(spark, sf), D.specs(spark), V.categories(spark, sf), 2), 2)
-    return export.template(V.categories(spark, sf).join(s, "record_id", "left").withColumn("sku", F.col("record_id")), TEMPLATE)
-
-
-@query("delivery_row", f"{DELIVERY} SELECT * FROM delivery")
-def delivery_row(spark, sf):
-    return delivery(spark, sf)
+    return export.slots(V.fields(spark, sf), D.specs(spark), V.categories(spark, sf), N_SLOTS)
 
 
 def _filled(columns: list[str]) -> str:
     return f"floor(sum({' + '.join(f'CASE WHEN trim({c}) <> {chr(39) * 2} THEN 1 ELSE 0 END' for c in columns)}) * 1000e0 / (count(*) * {len(columns)}) + 5e-1) / 10e0"
 
 
-BLOCKS = {"identity": ["sku", "brand"], "taxonomy": ["category"], "attributes": ["label_1", "value_1", "uom_1", "label_2", "value_2", "uom_2"], "media": ["video_link"]}
-
-
-@query("coverage_report", f"{DELIVERY} " + " UNION ALL ".join(f"SELECT '{b}' AS block, {len(c)} AS columns, {_filled(c)} AS filled FROM delivery" for b, c in BLOCKS.items()))
-def coverage_report(spark, sf):
-    return export.coverage(delivery(spark, sf), BLOCKS)
-
-
 #: The delivery with all slots of the template.
-N_SLOTS = 50
 SLOT_COLUMNS = [f"{c}_{i}" for i in range(1, N_SLOTS + 1) for c in ("label", "value", "uom")]
 TEMPLATE_FULL = ["sku", "brand", "category", *SLOT_COLUMNS, "video_link"]
-BLOCKS_FULL = BLOCKS | {"attributes": SLOT_COLUMNS}
+BLOCKS_FULL = {"identity": ["sku", "brand"], "taxonomy": ["category"], "attributes": SLOT_COLUMNS, "media": ["video_link"]}
 DELIVERY_FULL = f"""{SLOTS}, p AS (SELECT record_id, {', '.join(f"max(CASE WHEN slot = {i} THEN {c} END) AS {c}_{i}" for i in range(1, N_SLOTS + 1) for c in ('label', 'value', 'uom'))} FROM s GROUP BY 1),
     delivery AS (SELECT CAST(record_id AS VARCHAR) AS sku, brand, category, {', '.join(f"coalesce({c}, '') AS {c}" for c in SLOT_COLUMNS)}, '' AS video_link FROM category LEFT JOIN p USING (record_id))"""
 
@@ -80,12 +56,17 @@ def delivery_full(spark, sf):
     return export.template(V.categories(spark, sf).join(s, "record_id", "left").withColumn("sku", F.col("record_id")), TEMPLATE_FULL)
 
 
+@query("delivery_row", f"{DELIVERY_FULL} SELECT * FROM delivery")
 @query("delivery_row_full", f"{DELIVERY_FULL} SELECT * FROM delivery")
 def delivery_row_full(spark, sf):
     return delivery_full(spark, sf)
 
 
-@query("coverage_report_full", f"{DELIVERY_FULL} " + " UNION ALL ".join(f"SELECT '{b}' AS block, {len(c)} AS columns, {_filled(c)} AS filled FROM delivery" for b, c in BLOCKS_FULL.items()))
+COVERAGE = f"{DELIVERY_FULL} " + " UNION ALL ".join(f"SELECT '{b}' AS block, {len(c)} AS columns, {_filled(c)} AS filled FROM delivery" for b, c in BLOCKS_FULL.items())
+
+
+@query("coverage_report", COVERAGE)
+@query("coverage_report_full", COVERAGE)
 def coverage_report_full(spark, sf):
     return export.coverage(delivery_full(spark, sf), BLOCKS_FULL)
 

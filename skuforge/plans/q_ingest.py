@@ -65,16 +65,12 @@ def catalog_search(spark, sf):
     return rows.filter(ingest.contains_text("Bolt", "mfg_part_num", "part_desc", "e1_brand") & (F.col("e1_brand") != "Brand#1")).select("row_idx", "mfg_part_num")
 
 
-@query("containment_join", """WITH f AS (SELECT page_id, upper(regexp_extract(url, '([^/?]*)(?:\\?|$)', 1)) AS stem FROM pages), k AS (SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS sku FROM part WHERE p_partkey >= 100)
-    SELECT page_id, stem, min(sku) AS sku FROM f JOIN k ON contains(stem, sku) GROUP BY 1, 2""")
-def containment_join(spark, sf):
-    files = V.table(spark, sf, "pages").select("page_id", F.upper(F.regexp_extract("url", r"([^/?]*)(?:\?|$)", 1)).alias("stem"))
-    skus = V.table(spark, sf, "part").filter("p_partkey >= 100").select(F.col("p_partkey").cast("string").alias("sku"))
-    return ingest.attach_by_name(files, skus)
+ATTACHED = """WITH f AS (SELECT page_id, upper(regexp_extract(url, '([^/?]*)(?:\\?|$)', 1)) AS stem FROM pages), k AS (SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS sku FROM part)
+    SELECT page_id, stem, min(sku) AS sku FROM f JOIN k ON contains(stem, sku) GROUP BY 1, 2"""
 
 
-@query("containment_join_all", """WITH f AS (SELECT page_id, upper(regexp_extract(url, '([^/?]*)(?:\\?|$)', 1)) AS stem FROM pages), k AS (SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS sku FROM part)
-    SELECT page_id, stem, min(sku) AS sku FROM f JOIN k ON contains(stem, sku) GROUP BY 1, 2""")
+@query("containment_join", ATTACHED)
+@query("containment_join_all", ATTACHED)
 def containment_join_all(spark, sf):
     files = V.table(spark, sf, "pages").select("page_id", F.upper(F.regexp_extract("url", r"([^/?]*)(?:\?|$)", 1)).alias("stem"))
     return ingest.attach_by_name(files, V.table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("sku")))

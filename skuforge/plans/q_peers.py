@@ -11,7 +11,7 @@ from skuforge.sources import views as V
 
 BASE = f"WITH {V.SQL_CATEGORY}, {V.SQL_FIELDS}, {D.specs_sql()}"
 
-#: Texts to compare: benchmark items' first words, few and of real length; the category is the id's remainder.
+#: Texts to compare: names of all records, within the real category.
 TFIDF = r"""WITH d AS (SELECT item_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_#][a-z0-9_#.\-/]*') AS w FROM benchmark), t AS (
     SELECT id, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END)) AS term FROM d),
     tf AS (SELECT id, term, count(*) AS tf FROM t GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM benchmark),
@@ -19,35 +19,25 @@ TFIDF = r"""WITH d AS (SELECT item_id AS id, regexp_extract_all(lower(coalesce(t
     weights AS (SELECT id, term, x / norm AS weight FROM raw JOIN norm USING (id))"""
 
 
-def _weights(spark, sf):
-    return similarity.weights(V.table(spark, sf, "benchmark").withColumnRenamed("item_id", "id"), "id", "text")
-
-
-@query("tfidf_weights", f"{TFIDF} SELECT id, term, round(weight, 6) AS weight FROM weights")
-def tfidf_weights(spark, sf):
-    return _weights(spark, sf).withColumn("weight", F.round("weight", 6))
-
-
-@query("similar_topk", f"""{TFIDF}, p AS (SELECT a.id AS id, b.id AS other, round(sum(a.weight * b.weight), 6) AS score FROM weights a JOIN weights b ON a.term = b.term AND a.id <> b.id AND a.id % 2 = b.id % 2 GROUP BY 1, 2), r AS (
-    SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS INTEGER) AS rank FROM p WHERE score >= 12e-2) SELECT * FROM r WHERE rank <= 5""")
-def similar_topk(spark, sf):
-    w = _weights(spark, sf)
-    group = V.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), (F.col("item_id") % 2).alias("category"))
-    return similarity.top_similar(w, "id", group).select("id", "other", "score", "rank")
+TFIDF_RECORDS = TFIDF.replace("item_id AS id", "record_id AS id").replace("coalesce(text, '')", "coalesce(name, '')").replace("FROM benchmark", "FROM category").replace("WITH d AS", f"WITH {V.SQL_CATEGORY}, d AS")
 
 
-#: The same over all records: names as texts, and the real category.
-TFIDF_RECORDS = TFIDF.replace("item_id AS id", "record_id AS id").replace("coalesce(text, '')", "coalesce(name, '')").replace("FROM benchmark", "FROM category").replace("WITH d AS", f"WITH {V.SQL_CATEGORY}, d AS")
+WEIGHTS_SQL = f"{TFIDF_RECORDS} SELECT id, term, round(weight, 6) AS weight FROM weights"
 
 
-@query("tfidf_weights_records", f"{TFIDF_RECORDS} SELECT id, term, round(weight, 6) AS weight FROM weights")
+@query("tfidf_weights", WEIGHTS_SQL)
+@query("tfidf_weights_records", WEIGHTS_SQL)
 def tfidf_weights_records(spark, sf):
     w = similarity.weights(V.categories(spark, sf).withColumnRenamed("record_id", "id"), "id", "name")
     return w.withColumn("weight", F.round("weight", 6))
 
 
-@query("similar_topk_records", f"""{TFIDF_RECORDS}, p AS (SELECT a.id AS id, b.id AS other, round(sum(a.weight * b.weight), 6) AS score FROM weights a JOIN category c ON c.record_id = a.id JOIN weights b ON a.term = b.term AND a.id <> b.id JOIN category o ON o.record_id = b.id AND o.category = c.category GROUP BY 1, 2),
-    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS INTEGER) AS rank FROM p WHERE score >= 12e-2) SELECT * FROM r WHERE rank <= 5""")
+TOPK_SQL = f"""{TFIDF_RECORDS}, p AS (SELECT a.id AS id, b.id AS other, round(sum(a.weight * b.weight), 6) AS score FROM weights a JOIN category c ON c.record_id = a.id JOIN weights b ON a.term = b.term AND a.id <> b.id JOIN category o ON o.record_id = b.id AND o.category = c.category GROUP BY 1, 2),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS INTEGER) AS rank FROM p WHERE score >= 12e-2) SELECT * FROM r WHERE rank <= 5"""
+
+
+@query("similar_topk", TOPK_SQL)
+@query("similar_topk_records", TOPK_SQL)
 def similar_topk_records(spark, sf):
     return similarity.top_similar_bounded(V.categories(spark, sf).withColumnRenamed("record_id", "id"), "id", "name", "category")
 
@@ -97,14 +87,12 @@ def products_sharing(spark, sf):
     return _edges(spark, sf).filter(F.col("node") == "series:s4").select("product")
 
 
-@query("related_products", f"""{EDGES}, e AS (SELECT product, node FROM edges WHERE kind IN ('series', 'finish')), p AS (SELECT a.product, b.product AS other, count(*) AS shared FROM e a JOIN e b ON a.node = b.node AND a.product <> b.product GROUP BY 1, 2)
-    SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY product ORDER BY shared DESC, other) AS INTEGER) AS rank FROM p) WHERE rank <= 8""")
-def related_products(spark, sf):
-    return graph.related(_edges(spark, sf), kinds=("series", "finish"))
+RELATED = f"""{EDGES}, p AS (SELECT a.product, b.product AS other, count(*) AS shared FROM edges a JOIN edges b ON a.node = b.node AND a.product <> b.product GROUP BY 1, 2)
+    SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY product ORDER BY shared DESC, other) AS INTEGER) AS rank FROM p) WHERE rank <= 8"""
 
 
-@query("related_products_all", f"""{EDGES}, p AS (SELECT a.product, b.product AS other, count(*) AS shared FROM edges a JOIN edges b ON a.node = b.node AND a.product <> b.product GROUP BY 1, 2)
-    SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY product ORDER BY shared DESC, other) AS INTEGER) AS rank FROM p) WHERE rank <= 8""")
+@query("related_products", RELATED)
+@query("related_products_all", RELATED)
 def related_products_all(spark, sf):
     return graph.related_sets(_edges(spark, sf))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skuforge.functions import dictionary as D
-from skuforge.operators import canonical, enrich, export, fusion, identity, ingest, mining, review, rules, score
+from skuforge.operators import canonical, delivery, enrich, fusion, identity, ingest, mining, review, rules, score
 from skuforge.sources import tables
 
 NO_ISSUES = {"n_error": 0, "n_warning": 0, "n_info": 0}
@@ -98,11 +98,10 @@ def run_batch(rows: DataFrame, *, id_col: str = "row_idx", sku: str = "mfg_part_
         fields = tables.save(judge(cats, fields, specs), "judged")
     routed = review.route(fields)
     after = score.overall(cats, fields, specs)
-    delivered = export.slot_columns(export.slots(fields, specs, cats, slots), slots)
-    delivery = records.select("record_id", "sku", "category").join(cats.select("record_id", "brand"), "record_id").join(delivered, "record_id", "left")
+    delivered = delivery.deliver(records, fields, specs, raw=delivery.raw_rows(rows, id_col), columns=delivery.template(slots))
     uplift = after.select("record_id", F.col("overall").alias("after")).join(before.select("record_id", F.col("overall").alias("before")), "record_id")
     summary = uplift.agg(F.count("*").alias("records"), F.round(F.avg("before"), 1).alias("avg_before"), F.round(F.avg("after"), 1).alias("avg_after")).crossJoin(F.broadcast(routed.agg(F.count("*").alias("filled"), F.count(F.when(F.col("state") == "needs_review", 1)).alias("flagged"))))
-    return Batch(records, fields, before, after, routed, delivery, summary)
+    return Batch(records, fields, before, after, routed, delivered, summary)
 
 
 def run_single(row: DataFrame, stored_fields: DataFrame, **options) -> Batch:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from skuforge.functions import dictionary as D
+from skuforge.operators import catalogue_state as state
 from skuforge.operators import review, score
 from skuforge.plans.registry import query
+from skuforge.sources import tables
 from skuforge.sources import views as V
 
 ALL = f"WITH {V.SQL_CATEGORY}, {V.SQL_FIELDS}, {D.specs_sql()}, {score.SQL_COMPLETENESS}, {score.SQL_ACCURACY}, {score.SQL_CONSISTENCY}, {score.SQL_RICHNESS}, {score.SQL_OVERALL}"
@@ -70,8 +74,11 @@ def category_grade_rollup(spark, sf):
     return scored(spark, sf).rollup("category", "grade").agg(F.count("*").alias("n"))
 
 
-@query("field_coverage", f"""{ALL}, j AS (SELECT key, CASE WHEN value IS NOT NULL THEN CAST(floor({score.SQL_PENALISED} * 1000 + 5e-1) AS BIGINT) END AS p FROM category JOIN spec USING (category) LEFT JOIN fields USING (record_id, key))
-    SELECT key, count(*) AS applicable, count(p) AS filled, floor(count(p) * 100e0 / count(*) * 10 + 5e-1) / 10e0 AS fill_rate, floor(CAST(sum(p) AS DOUBLE) / 1000 / nullif(count(p), 0) * 100 + 5e-1) / 100e0 AS mean_confidence FROM j GROUP BY 1""")
+COVERAGE = f"""{ALL}, j AS (SELECT key, CASE WHEN value IS NOT NULL THEN CAST(floor({score.SQL_PENALISED} * 1000 + 5e-1) AS BIGINT) END AS p FROM category JOIN spec USING (category) LEFT JOIN fields USING (record_id, key))
+    SELECT key, count(*) AS applicable, count(p) AS filled, floor(count(p) * 100e0 / count(*) * 10 + 5e-1) / 10e0 AS fill_rate, floor(CAST(sum(p) AS DOUBLE) / 1000 / nullif(count(p), 0) * 100 + 5e-1) / 100e0 AS mean_confidence FROM j GROUP BY 1"""
+
+
+@query("field_coverage", COVERAGE)
 def field_coverage(spark, sf):
     return score.field_coverage(V.categories(spark, sf), V.fields(spark, sf), D.specs(spark))
 
@@ -107,3 +114,25 @@ def batch_summary(spark, sf):
     cells = review.route(V.fields(spark, sf)).agg(F.count("*").alias("filled"), F.count(F.when(F.col("state") == "needs_review", 1)).alias("flagged"))
     records = scored(spark, sf).agg(F.count("*").alias("total"), mean("completeness").alias("avg_before"), mean("overall").alias("avg_after"))
     return records.crossJoin(F.broadcast(cells)).select("total", "filled", "flagged", "avg_before", "avg_after")
+
+
+def _merged(spark, sf):
+    """Statistics of ten batches, each stored by itself, merged."""
+    folder = tables.shared_folder(spark) + f"/catalogue-state-{uuid.uuid4().hex}"
+    state.store(state.states(scored(spark, sf), V.fields(spark, sf), D.specs(spark), F.col("record_id") % 10), folder)
+    return state.merged(state.stored(spark, folder))
+
+
+@query("merged_coverage", COVERAGE)
+def merged_coverage(spark, sf):
+    return state.coverage(_merged(spark, sf)).drop("distinct_values")
+
+
+@query("merged_grades", f"{ALL} SELECT category, grade, count(*) AS records, floor(CAST(sum(CAST(round(overall * 10) AS BIGINT)) AS DOUBLE) / 10 / count(*) * 10 + 5e-1) / 10e0 AS mean_overall FROM overall GROUP BY 1, 2")
+def merged_grades(spark, sf):
+    return state.grades(_merged(spark, sf))
+
+
+@query("merged_issues", f"WITH {V.SQL_FIELDS} SELECT * FROM (SELECT key, 'error' AS severity, CAST(sum(n_error) AS BIGINT) AS n FROM fields GROUP BY 1 UNION ALL SELECT key, 'warning', CAST(sum(n_warning) AS BIGINT) FROM fields GROUP BY 1 UNION ALL SELECT key, 'info', CAST(sum(n_info) AS BIGINT) FROM fields GROUP BY 1) WHERE n > 0")
+def merged_issues(spark, sf):
+    return state.issue_totals(_merged(spark, sf))

@@ -84,8 +84,9 @@ BATCH_ROWS = 1000
 
 
 def arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """df.mapInArrow(run, schema), with Spark's batches cut to BATCH_ROWS at most (the session's own setting stays); a worker
-    gives its free memory back after each task, since idle workers live on beside those of the next stage."""
+    """df.mapInArrow(run, schema), with Spark's batches cut to BATCH_ROWS at most (the session's own setting stays). After each
+    task a worker drops what kept() holds for other tasks than this one and gives its free memory back: the same workers serve
+    the stages that follow."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,6 +94,7 @@ def arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
                 yield batch.slice(lo, BATCH_ROWS)
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         try:
             yield from run(cut(batches))
         finally:
@@ -102,16 +104,27 @@ def arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
 
 
 _KEPT: dict[str, tuple[object, object]] = {}
+_USED: set[str] = set()
 
 
 def kept(name: str, source: object, make: Callable):
-    """make(*source), kept by a worker process for its next tasks as long as source, a broadcast's value, is the same object."""
+    """make(*source), kept by a worker process for its next tasks as long as source, a broadcast's value, is the same object, and
+    until a task that doesn't ask for it."""
+    _USED.add(name)
     if name not in _KEPT or _KEPT[name][0] is not source:
         _KEPT[name] = (source, make(*source))
     return _KEPT[name][1]
 
 
+def begin() -> None:
+    """A task begins: it has asked for nothing that is kept yet. (A function of the module, as workers get what is nested by value.)"""
+    _USED.clear()
+
+
 def release() -> None:
+    """A task ends: what it didn't ask for is kept no longer, and free memory goes back."""
+    for name in set(_KEPT) - _USED:
+        del _KEPT[name]
     gc.collect()
     pa.default_memory_pool().release_unused()
     if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):

@@ -66,3 +66,22 @@ def test_a_tokenizer_of_another_kind_is_refused(tmp_path):
     (tmp_path / "t.json").write_text(json.dumps(model))
     with pytest.raises(ValueError):
         read_tokenizer(str(tmp_path / "t.json"))
+
+
+def test_a_worker_keeps_a_store_until_a_task_without_it():
+    from skuforge.llm import common
+
+    source = (1,)
+    common.begin()
+    first = common.kept("thing", source, lambda x: [x])
+    common.release()
+    common.begin()
+    assert common.kept("thing", source, lambda x: [x]) is first
+    common.release()
+    common.begin()
+    common.release()  # a task of another stage
+    common.begin()
+    assert common.kept("thing", source, lambda x: [x]) is not first
+    common.begin()
+    common.release()
+    assert "thing" not in common._KEPT

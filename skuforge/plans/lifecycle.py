@@ -56,9 +56,9 @@ def ruled(cats: DataFrame, fields: DataFrame) -> DataFrame:
     return j.select(*(added.get(c, F.col(c)).alias(c) for c in fields.columns))
 
 
-def run_batch(rows: DataFrame, *, id_col: str = "row_idx", sku: str = "mfg_part_num", text: str = "part_desc", brands: tuple[str, ...] = ("e1_brand", "alt_brand"), account: str = "part_manuf", keywords=D.KEYWORDS, slots: int = 50, peers: DataFrame | None = None, judge: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] | None = None) -> Batch:
+def run_batch(rows: DataFrame, *, id_col: str = "row_idx", sku: str = "mfg_part_num", text: str = "part_desc", brands: tuple[str, ...] = ("e1_brand", "alt_brand"), account: str = "part_manuf", keywords=D.KEYWORDS, slots: int = 50, peers: DataFrame | None = None, seed_brands: dict[str, tuple[str, ...]] | None = None, judge: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] | None = None) -> Batch:
     """rows with an id, a number, a description, brand columns and an account. peers: fields of records stored before, which
-    count as peers (run_single). judge: fields after a last review, out of categories, fields and specs (operators.judge.review
+    count as peers (run_single). seed_brands: brands known from the start, with names that mean them. judge: fields after a last review, out of categories, fields and specs (operators.judge.review
     over providers); by default there is none."""
     spark = rows.sparkSession
     specs = D.specs(spark)
@@ -80,7 +80,7 @@ def run_batch(rows: DataFrame, *, id_col: str = "row_idx", sku: str = "mfg_part_
     fields = best.select("record_id", "key", "value", "unit", "method", "source", "confidence", warned.alias("n_warning"), F.lit(0).alias("n_error"), said.alias("n_info"))
 
     who = rows.select(F.col(id_col).alias("record_id"), *dict.fromkeys((*brands, text, account)))
-    vocab = identity.vocabulary(spark, rows.select(F.col(brands[0]).alias("brand")), rows.select(F.col(account).alias("account")))
+    vocab = identity.vocabulary(spark, rows.select(F.col(brands[0]).alias("brand")), rows.select(F.col(account).alias("account")), seed_brands)
     resolved = identity.resolve(who, "record_id", list(brands), text, account, vocab)
     cell = lambda key, v, c: F.struct(F.lit(key).alias("key"), F.col(v).alias("value"), F.lit("").alias("unit"), F.col(f"{v}_method").alias("method"), F.lit("input").alias("source"), F.col(c).alias("confidence"), F.lit(0).alias("n_warning"))
     found = resolved.select("record_id", F.inline(F.array(cell("brand", "brand", "brand_confidence"), cell("manufacturer", "manufacturer", "manufacturer_confidence")))).filter("value is not null")

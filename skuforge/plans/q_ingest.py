@@ -162,8 +162,9 @@ def _page_lines_sql(c: str) -> str:
     for tag in ("script", "style", "nav", "header", "footer", "noscript", "svg"):
         c = f"regexp_replace({c}, '(?is)<{tag}[ >].*?</{tag}>', chr(1), 'g')"
     c = f"string_split(regexp_replace(regexp_replace({c}, '(?s)<!--.*?-->', chr(1), 'g'), '(?s)<[^>]*>', chr(1), 'g'), chr(1))"
-    for name, said in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        c = f"list_transform({c}, lambda x: replace(x, '{name}', '{said}'))"
+    # as in HTML, these six references count without their semicolon too (a title cut short ends in "&amp"); & comes last, as nothing is replaced twice
+    for name, said in (("&middot", "·"), ("&copy", "©"), ("&quot", '"'), ("&lt", "<"), ("&gt", ">"), ("&amp", "&")):
+        c = f"list_transform({c}, lambda x: regexp_replace(x, '{name};?', '{said}', 'g'))"
     c = f"list_filter(list_transform({c}, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '')"
     return rf"regexp_replace(array_to_string({c}, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g') || chr(10)"
 

@@ -137,3 +137,15 @@ def test_pages_among_documents(spark, tmp_path):
     (tmp_path / "b.txt").write_text("plain")
     got = {r.kind: r.text for r in readers.read_documents(spark, str(tmp_path), lines=True).collect()}
     assert got == {"web": "Hi\nyou\nk\nv\nl\nw\n\n[TABLE on page 0]\nk | v\nl | w", "text": "plain"}
+
+
+def test_the_sql_takes_references_without_semicolon():
+    import duckdb
+
+    from skuforge.plans import q_ingest
+
+    source = "<title>a&amp;b&amp</title><p>x &lt y&gt z &amp;lt; &am &copy &middot; &quot</p>"
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages AS SELECT 1 AS page_id, ? AS html", [source])
+    con.execute(f"SELECT {q_ingest._page_lines_sql('html')} FROM pages")
+    assert con.fetchall()[0][0] == reduce_page(source)[0]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from skuforge.functions import scalars as S
 from skuforge.operators.score import penalised
+from skuforge.sources.tables import growing
 
 SCHEMA = "batch string, part string, k1 string, k2 string, n long, m long, total long, distinct binary, scores binary"
 
@@ -33,10 +34,10 @@ def states(scored: DataFrame, fields: DataFrame, specs: DataFrame, batch: Column
     grades = records.groupBy("batch", F.col("category").alias("k1"), F.col("grade").alias("k2")).agg(F.count("*").alias("n"), F.sum(tenths).alias("total"), F.kll_sketch_agg_double("overall").alias("scores"))
     cells = fields.select("record_id", "key", "value", (penalised() * 1000 + 0.5).cast("long").alias("p"), "n_error", "n_warning", "n_info")
     wanted = records.select("batch", "record_id", "category").join(F.broadcast(specs.select("category", "key")), "category")
-    told = wanted.join(cells, ["record_id", "key"], "left").groupBy("batch", F.col("key").alias("k1"))
+    told = wanted.join(growing(cells), ["record_id", "key"], "left").groupBy("batch", F.col("key").alias("k1"))
     coverage = told.agg(F.count("*").alias("n"), F.count("p").alias("m"), F.sum("p").alias("total"), F.hll_sketch_agg("value").alias("distinct"))
     each = F.inline(F.array(*(F.struct(F.lit(s).alias("k2"), F.col(f"n_{s}").cast("long").alias("c")) for s in ("error", "warning", "info"))))
-    issues = records.select("batch", "record_id").join(cells, "record_id").select("batch", F.col("key").alias("k1"), each).groupBy("batch", "k1", "k2").agg(F.sum("c").alias("n"))
+    issues = records.select("batch", "record_id").join(growing(cells), "record_id").select("batch", F.col("key").alias("k1"), each).groupBy("batch", "k1", "k2").agg(F.sum("c").alias("n"))
     return _rows("grade", grades).unionByName(_rows("field", coverage)).unionByName(_rows("issue", issues))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from skuforge.functions import dictionary as D
 from skuforge.functions import scalars as S
 from skuforge.operators.score import penalised
+from skuforge.sources.tables import growing
 
 # The names and order of the delivery format's columns, and the cells that they hold.
 FRONT = ("PART_NUMBER", "Dept", "Class", "Fine", "SKU - MY_PART_NUMBER", "Mfg_Part_Num", "Part_Desc", "E1_Brand")
@@ -111,18 +112,18 @@ def deliver(
     no rule knows is empty. A record without cells, documents or raw row is there too.
     """
     columns, taxonomy = columns or template(), taxonomy or D.TAXONOMY
-    own = fields.filter("value is not null and trim(value) <> ''").join(records.select("record_id", "category"), "record_id")
+    own = fields.filter("value is not null and trim(value) <> ''").join(growing(records.select("record_id", "category")), "record_id")
     told = specs.select("category", "key", "label", "required", "weight", F.col("unit").alias("spec_unit"))
     own = own.join(F.broadcast(told), ["category", "key"], "left")
     fit = F.col("label").isNotNull() & (penalised() >= floor) & ~F.col("key").isin(*DEDICATED, *CONTENT)
     slot = F.struct((~F.col("required")).alias("later"), (-F.col("weight")).alias("weight"), (-penalised()).alias("confidence"), "key", "label", "value", F.coalesce("spec_unit", F.lit("")).alias("uom"))
     keys = sorted({*CELL_OF.values(), "certifications", "product_name", "product_name_generic", "warranty_months", "item_features", "discontinued"})
     cells = own.groupBy("record_id").agg(F.array_sort(F.collect_list(F.when(fit, slot))).alias("slots"), *(F.max(F.when(F.col("key") == k, F.trim("value"))).alias(f"cell_{k}") for k in keys))
-    wide = records.select("record_id", "sku", "category").join(cells, "record_id", "left")
+    wide = records.select("record_id", "sku", "category").join(growing(cells), "record_id", "left")
     for part in [_first(documents, "web", 6), _first(documents, "image", 5), _papers(documents)] if documents is not None else []:
-        wide = wide.join(part, "record_id", "left")
+        wide = wide.join(growing(part), "record_id", "left")
     if raw is not None:
-        wide = wide.join(raw.select("record_id", "raw"), "record_id", "left")
+        wide = wide.join(growing(raw.select("record_id", "raw")), "record_id", "left")
 
     cell = lambda k: F.col(f"cell_{k}")
     path = lambda i: F.create_map(*(F.lit(x) for c, levels in taxonomy.items() for x in (c, levels[i])))[F.col("category")]

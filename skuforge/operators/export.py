@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skuforge.functions.dictionary import AUTO_APPROVE
 from skuforge.operators.score import penalised
+from skuforge.sources.tables import growing
 
 #: Keys with columns of their own in a delivery, so they take no slot (fixed values).
 DEDICATED = ("sku", "product_name", "brand", "manufacturer", "supplier", "category", "series", "model", "warranty_months", "upc", "unspsc_code", "country_of_origin", "short_desc")
@@ -28,7 +29,7 @@ def publishable(fields: DataFrame, floor: float = 0.4) -> DataFrame:
 def slots(fields: DataFrame, specs: DataFrame, categories: DataFrame, most: int = 50, floor: float = 0.4) -> DataFrame:
     """record_id, slot, label, value, uom: publishable cells without a column of their own; required ones first, then by
     weight, confidence and key; `most` slots at most, as the template has."""
-    rows = publishable(fields, floor).filter(~F.col("key").isin(*DEDICATED)).join(categories.select("record_id", "category"), "record_id")
+    rows = publishable(fields, floor).filter(~F.col("key").isin(*DEDICATED)).join(growing(categories.select("record_id", "category")), "record_id")
     rows = rows.join(F.broadcast(specs.select("category", "key", "label", "required", "weight")), ["category", "key"])
     over = Window.partitionBy("record_id").orderBy(F.desc("required"), F.desc("weight"), F.desc(penalised()), "key")
     return rows.withColumn("slot", F.row_number().over(over)).filter(F.col("slot") <= most).select("record_id", "slot", "label", "value", F.col("unit").alias("uom"))
@@ -93,11 +94,11 @@ def audit_record(records: DataFrame, fields: DataFrame, before: DataFrame | None
     each = fields.groupBy("record_id", "key").agg(F.max(cell).alias("cell"))
     flagged = (F.col("cell.issues.error") > 0) | (F.col("cell.confidence") < AUTO_APPROVE)
     cells = each.groupBy("record_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "cell")))).alias("attributes"), F.max(flagged).alias("flagged"))
-    rows = records.join(cells, "record_id", "left")
+    rows = records.join(growing(cells), "record_id", "left")
     scores = {"quality_before": before, "quality_after": after}
     for name, df in scores.items():
         if df is not None:
-            rows = rows.join(df.select("record_id", F.struct("completeness", "accuracy", "consistency", "richness", "overall", "grade").alias(name)), "record_id", "left")
+            rows = rows.join(growing(df.select("record_id", F.struct("completeness", "accuracy", "consistency", "richness", "overall", "grade").alias(name))), "record_id", "left")
     state = F.when(F.coalesce("flagged", F.lit(False)), "needs_review").otherwise("auto_approved")
     nothing = F.create_map().cast(rows.schema["attributes"].dataType)
     parts = [F.col("record_id"), F.col("sku"), F.col("category"), F.coalesce("attributes", nothing).alias("attributes"), *(F.col(c) for c, df in scores.items() if df is not None), state.alias("review_state")]

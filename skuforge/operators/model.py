@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skuforge.functions import scalars as S
+from skuforge.sources.tables import growing
 
 ITEMS = "array<struct<key:string,value:string,unit:string,evidence:string,uncertain:boolean,basis:string>>"
 BASIS_CAPS = {"same_series": 0.72, "similar_products": 0.68, "domain_knowledge": 0.60}
@@ -54,7 +55,7 @@ def content_fields(answers: DataFrame, id_col: str, json_col: str, keys: list[st
 def neighbour_block(similar: DataFrame, fields: DataFrame, wanted: DataFrame, floor: float = 0.6) -> DataFrame:
     """record_id and what its similar records (record_id, other, score) say about wanted(record_id, key) cells, as lines."""
     have = fields.filter(F.col("confidence") >= floor).select(F.col("record_id").alias("other"), "key", "value")
-    rows = similar.join(wanted, "record_id").join(have, ["other", "key"])
+    rows = similar.join(growing(wanted), "record_id").join(growing(have), ["other", "key"])
     line = F.concat(F.col("key"), F.lit(" = "), F.col("value"), F.lit(" (record "), F.col("other").cast("string"), F.lit(")"))
     return rows.groupBy("record_id").agg(F.array_join(F.array_sort(F.collect_set(line)), "\n").alias("block"))
 

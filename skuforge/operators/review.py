@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skuforge.functions.dictionary import AUTO_APPROVE, PUBLISH
 from skuforge.operators.score import SQL_PENALISED, penalised
+from skuforge.sources.tables import growing
 
 SQL_ROUTED = f"""SELECT *, CASE WHEN n_error > 0 OR penalised < 75e-2 THEN 'needs_review' ELSE 'auto_approved' END AS state, penalised < 40e-2 AS below_publish
     FROM (SELECT *, {SQL_PENALISED} AS penalised FROM fields)"""
@@ -51,7 +52,7 @@ def apply_decisions(fields: DataFrame, decisions: DataFrame) -> DataFrame:
     and drops errors and warnings; edited sets the new value at confidence 1; rejected blanks it at 0. The machine's value is
     kept as previous where it changed."""
     d = latest(decisions).select("sku", F.col("field_key").alias("key"), "decision", "new_value")
-    j = fields.join(d, ["sku", "key"], "left")
+    j = fields.join(growing(d), ["sku", "key"], "left")
     edited, rejected, approved = (F.col("decision").eqNullSafe(x) for x in ("edited", "rejected", "approved"))
     value = F.when(edited, F.col("new_value")).when(rejected, None).otherwise(F.col("value"))
     confidence = F.when(edited, 1.0).when(rejected, 0.0).when(approved, F.greatest(F.lit(0.95), F.col("confidence"))).otherwise(F.col("confidence"))

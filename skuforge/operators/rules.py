@@ -10,6 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skuforge.sources.tables import growing
+
 
 @dataclasses.dataclass(frozen=True)
 class Rule:
@@ -71,7 +73,7 @@ def wide(categories: DataFrame, fields: DataFrame, rules: tuple[Rule, ...] = RUL
         "phase_factor": F.when(number("phases") == 3, 3**0.5).when(number("phases") == 1, 1.0),
     }
     cells = [made.get(c, cell(c) if c in TEXTS else number(c)).alias(c) for c in columns(rules)]
-    return categories.select("record_id", "category").join(fields.groupBy("record_id").agg(*cells), "record_id", "left")
+    return categories.select("record_id", "category").join(growing(fields.groupBy("record_id").agg(*cells)), "record_id", "left")
 
 
 def _fails(records: DataFrame, rule: Rule) -> bool:
@@ -108,13 +110,13 @@ def rules_sql(table: str, rules: tuple[Rule, ...] = RULES) -> str:
 def missing_required(categories: DataFrame, fields: DataFrame, specs: DataFrame) -> DataFrame:
     """record_id and key of required cells that aren't there (MISSING_REQUIRED errors)."""
     wanted = categories.join(F.broadcast(specs.filter("required").select("category", "key")), "category").select("record_id", "key")
-    return wanted.join(fields.filter("value is not null and value <> ''").select("record_id", "key"), ["record_id", "key"], "left_anti")
+    return wanted.join(growing(fields.filter("value is not null and value <> ''").select("record_id", "key")), ["record_id", "key"], "left_anti")
 
 
 def attach(issues: DataFrame, fields: DataFrame) -> DataFrame:
     """issues(record_id, key, code) with attached: field where that cell exists, else record."""
     there = fields.select("record_id", "key", F.lit("field").alias("on")).distinct()
-    return issues.join(there, ["record_id", "key"], "left").withColumn("attached", F.coalesce("on", F.lit("record"))).drop("on")
+    return issues.join(growing(there), ["record_id", "key"], "left").withColumn("attached", F.coalesce("on", F.lit("record"))).drop("on")
 
 
 def replace_issues(old: DataFrame, new: DataFrame, producer: str) -> DataFrame:

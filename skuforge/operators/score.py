@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skuforge.functions import scalars as S
+from skuforge.sources.tables import growing
 
 WEIGHTS = {"completeness": 0.35, "accuracy": 0.25, "consistency": 0.20, "richness": 0.20}
 #: Content fields with the number of characters they should have.
@@ -26,7 +27,7 @@ def completeness(categories: DataFrame, fields: DataFrame, specs: DataFrame) ->
     below a penalised confidence of 0.5."""
     wanted = categories.join(F.broadcast(specs.select("category", "key", (F.col("weight") * F.when(F.col("required"), 2).otherwise(1)).alias("w"))), "category")
     have = fields.select("record_id", "key", F.when(penalised() >= 0.5, 1.0).otherwise(0.5).alias("credit"))
-    joined = wanted.join(have, ["record_id", "key"], "left")
+    joined = wanted.join(growing(have), ["record_id", "key"], "left")
     share = F.sum(F.col("w") * F.coalesce("credit", F.lit(0.0))) / F.sum("w")
     return joined.groupBy(*categories.columns).agg(S.half_up(share * 100, 1).alias("completeness"))
 
@@ -70,7 +71,7 @@ def richness(categories: DataFrame, fields: DataFrame, targets: dict[str, int] |
     goal = F.create_map(*(F.lit(x) for k, v in targets.items() for x in (k, v)))[F.col("key")]
     credit = F.when(n >= goal, 1.0).when(n >= goal * 0.7, 0.6).otherwise(0.25)
     got = fields.filter(F.col("key").isin(*targets)).groupBy("record_id").agg(F.sum((credit * 100).cast("long")).alias("c"))
-    return categories.select("record_id").join(got, "record_id", "left").select("record_id", S.half_up(F.coalesce("c", F.lit(0)).cast("double") / len(targets), 1).alias("richness"))
+    return categories.select("record_id").join(growing(got), "record_id", "left").select("record_id", S.half_up(F.coalesce("c", F.lit(0)).cast("double") / len(targets), 1).alias("richness"))
 
 
 _GOAL = "CASE key " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in RICHNESS_TARGETS.items()) + " END"
@@ -84,7 +85,7 @@ def overall(categories: DataFrame, fields: DataFrame, specs: DataFrame) -> DataF
     """categories with the four components, overall and grade; a record without cells has accuracy 0 and consistency 100."""
     done = completeness(categories, fields, specs)
     for part in (accuracy(fields), consistency(fields), richness(categories, fields)):
-        done = done.join(part, "record_id", "left")
+        done = done.join(growing(part), "record_id", "left")
     done = done.withColumn("accuracy", F.coalesce("accuracy", F.lit(0.0))).withColumn("consistency", F.coalesce("consistency", F.lit(100.0)))
     total = sum((F.col(c) * w for c, w in list(WEIGHTS.items())[1:]), F.col("completeness") * WEIGHTS["completeness"])
     return done.withColumn("overall", S.half_up(total, 1)).withColumn("grade", S.grade(F.col("overall")))
@@ -100,7 +101,7 @@ SQL_OVERALL = """overall AS (
 def field_coverage(categories: DataFrame, fields: DataFrame, specs: DataFrame) -> DataFrame:
     """key, applicable, filled, fill_rate (percent, one digit), mean_confidence (two digits)."""
     wanted = categories.select("record_id", "category").join(F.broadcast(specs.select("category", "key")), "category")
-    joined = wanted.join(fields.select("record_id", "key", (penalised() * 1000 + 0.5).cast("long").alias("p")), ["record_id", "key"], "left")
+    joined = wanted.join(growing(fields.select("record_id", "key", (penalised() * 1000 + 0.5).cast("long").alias("p"))), ["record_id", "key"], "left")
     n, m = F.count("*"), F.count("p")
     mean = F.sum("p").cast("double") / 1000 / F.nullif(m, F.lit(0))
     return joined.groupBy("key").agg(n.alias("applicable"), m.alias("filled"), S.half_up(m * 100 / n, 1).alias("fill_rate"), S.half_up(mean, 2).alias("mean_confidence"))
@@ -110,7 +111,7 @@ def uplift(before: DataFrame, after: DataFrame, routed: DataFrame) -> DataFrame:
     """total, avg_before, avg_after, uplift (one digit), filled and flagged cells: one row from the scores of the supplied
     cells alone, those of all cells, and the routed cells. Tenths are summed as whole numbers; no record gives nulls."""
     mean = lambda c: S.half_up(F.sum(F.round(F.col(c) * 10).cast("long")).cast("double") / 10 / F.count("*"), 1)
-    both = after.select("record_id", F.col("overall").alias("after")).join(before.select("record_id", F.col("overall").alias("before")), "record_id")
+    both = after.select("record_id", F.col("overall").alias("after")).join(growing(before.select("record_id", F.col("overall").alias("before"))), "record_id")
     one = both.agg(F.count("*").alias("total"), mean("before").alias("avg_before"), mean("after").alias("avg_after"))
     cells = routed.agg(F.count("*").alias("filled"), F.count(F.when(F.col("state") == "needs_review", 1)).alias("flagged"))
     return one.crossJoin(F.broadcast(cells)).select("total", "avg_before", "avg_after", S.half_up(F.col("avg_after") - F.col("avg_before"), 1).alias("uplift"), "filled", "flagged")

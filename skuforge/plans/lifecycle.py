@@ -37,10 +37,10 @@ def told(codes: str) -> tuple[Column, Column]:
 
 def normalised(cats: DataFrame, fields: DataFrame, specs: DataFrame) -> DataFrame:
     """fields with numbers in their spec's unit, options in their spelling, and what that found counted as warnings or infos."""
-    cells = fields.join(cats.select("record_id", "category"), "record_id").select("record_id", "category", "key", "value", "unit")
+    cells = fields.join(tables.growing(cats.select("record_id", "category")), "record_id").select("record_id", "category", "key", "value", "unit")
     found = canonical.canonicalise(cells, specs).select("record_id", "key", "dtype", "canonical", "number", "unit_out", F.split("issues", ",").alias("codes"))
     mild, grave = told("codes")
-    j = fields.join(found, ["record_id", "key"], "left")
+    j = fields.join(tables.growing(found), ["record_id", "key"], "left")
     is_number = F.col("number").isNotNull()
     out = {"value": F.when(F.col("dtype").isNull(), F.col("value")).otherwise(F.col("canonical")), "unit": F.when(is_number, F.col("unit_out")).otherwise(F.col("unit"))}
     counts = {"n_warning": F.col("n_warning") + F.coalesce(grave, F.lit(0)), "n_info": F.col("n_info") + F.coalesce(mild, F.lit(0))}
@@ -50,8 +50,8 @@ def normalised(cats: DataFrame, fields: DataFrame, specs: DataFrame) -> DataFram
 def ruled(cats: DataFrame, fields: DataFrame) -> DataFrame:
     """fields with the issues of cross-field rules counted at the record's first cell by key; a record without cells has none."""
     issues = rules.run_rules(rules.wide(cats, fields)).groupBy("record_id").agg(*(F.count(F.when(F.col("severity") == s, 1)).alias(f"rule_{s}") for s in ("error", "warning", "info")))
-    first = fields.groupBy("record_id").agg(F.min("key").alias("key")).join(issues, "record_id")
-    j = fields.join(first, ["record_id", "key"], "left")
+    first = fields.groupBy("record_id").agg(F.min("key").alias("key")).join(tables.growing(issues), "record_id")
+    j = fields.join(tables.growing(first), ["record_id", "key"], "left")
     added = {f"n_{s}": (F.col(f"n_{s}") + F.coalesce(F.col(f"rule_{s}"), F.lit(0))).cast("int") for s in ("error", "warning", "info")}
     return j.select(*(added.get(c, F.col(c)).alias(c) for c in fields.columns))
 
@@ -71,7 +71,7 @@ def run_batch(rows: DataFrame, *, id_col: str = "row_idx", sku: str = "mfg_part_
     # written, as the next steps read it more than once and its expressions are long
     candidates = tables.save(given.unionByName(mined), "candidates")
     # candidates are made canonical first, so that numbers are compared in the spec's unit
-    cells = canonical.canonicalise(candidates.join(records.select("record_id", "category"), "record_id"), specs, how="left")
+    cells = canonical.canonicalise(candidates.join(tables.growing(records.select("record_id", "category")), "record_id"), specs, how="left")
     cells = cells.withColumn("unit_out", F.when(F.col("number").isNotNull(), F.col("unit_out")).otherwise(F.col("unit")))
     best = fusion.resolve_typed(cells)
     mild, grave = told("codes")
@@ -84,11 +84,11 @@ def run_batch(rows: DataFrame, *, id_col: str = "row_idx", sku: str = "mfg_part_
     resolved = identity.resolve(who, "record_id", list(brands), text, account, vocab)
     cell = lambda key, v, c: F.struct(F.lit(key).alias("key"), F.col(v).alias("value"), F.lit("").alias("unit"), F.col(f"{v}_method").alias("method"), F.lit("input").alias("source"), F.col(c).alias("confidence"), F.lit(0).alias("n_warning"))
     found = resolved.select("record_id", F.inline(F.array(cell("brand", "brand", "brand_confidence"), cell("manufacturer", "manufacturer", "manufacturer_confidence")))).filter("value is not null")
-    found = found.join(fields.select("record_id", "key"), ["record_id", "key"], "left_anti").withColumns({"n_error": F.lit(0), "n_info": F.lit(0)})
+    found = found.join(tables.growing(fields.select("record_id", "key")), ["record_id", "key"], "left_anti").withColumns({"n_error": F.lit(0), "n_info": F.lit(0)})
     fields = fields.unionByName(normalised(records, found, specs))
     fields = tables.save(fields, "fields")
 
-    cats = tables.save(records.select("record_id", "category").join(fields.filter("key = 'brand'").select("record_id", F.col("value").alias("brand")), "record_id", "left"), "categories")
+    cats = tables.save(records.select("record_id", "category").join(tables.growing(fields.filter("key = 'brand'").select("record_id", F.col("value").alias("brand"))), "record_id", "left"), "categories")
     before = score.overall(cats, ruled(cats, fields.filter("method = 'input_field'")), specs)
     known = fields if peers is None else fields.unionByName(peers.select(*fields.columns))
     filled = enrich.fill_from_peers(cats, known, specs, consensus=True).select("record_id", "key", "value", F.lit("").alias("unit"), F.lit("kg_infer").alias("method"), F.lit("catalog_sibling").alias("source"), "confidence", F.lit(0).alias("n_warning"), F.lit(0).alias("n_error"), F.lit(1).alias("n_info"))
@@ -99,7 +99,7 @@ def run_batch(rows: DataFrame, *, id_col: str = "row_idx", sku: str = "mfg_part_
     routed = review.route(fields)
     after = score.overall(cats, fields, specs)
     delivered = delivery.deliver(records, fields, specs, raw=delivery.raw_rows(rows, id_col), columns=delivery.template(slots))
-    uplift = after.select("record_id", F.col("overall").alias("after")).join(before.select("record_id", F.col("overall").alias("before")), "record_id")
+    uplift = after.select("record_id", F.col("overall").alias("after")).join(tables.growing(before.select("record_id", F.col("overall").alias("before"))), "record_id")
     summary = uplift.agg(F.count("*").alias("records"), F.round(F.avg("before"), 1).alias("avg_before"), F.round(F.avg("after"), 1).alias("avg_after")).crossJoin(F.broadcast(routed.agg(F.count("*").alias("filled"), F.count(F.when(F.col("state") == "needs_review", 1)).alias("flagged"))))
     return Batch(records, fields, before, after, routed, delivered, summary)
 

@@ -96,7 +96,7 @@ def _answers(spark, sf):
     first = F.concat(F.lit('{"field_key": "diameter", "code": "unit_suspect", "severity": "'), F.when(k % 2 == 0, "error").otherwise("grave"), F.lit('", "message": "m"}'))
     rest = F.lit('{"field_key": "grit", "code": "NO_SUCH_CODE", "severity": "error"}, {"field_key": "voltage", "code": "WRONG_ATTRIBUTE", "severity": "info"}, {"field_key": "voltage", "code": "MISSING_CRITICAL"}')
     text = F.concat(F.lit('Here: {"issues": ['), first, F.lit(", "), rest, F.lit('], "verdict": "minor_issues", "confidence_adjustments": {"brand": "0.3", "grit": "1", "length": "low"}}'))
-    return V.table(spark, sf, "part").select(k.alias("record_id"), F.when(k % 7 == 0, "no answer").otherwise(text).alias("answer"))
+    return tables.spread(V.table(spark, sf, "part"), "p_partkey").select(k.alias("record_id"), F.when(k % 7 == 0, "no answer").otherwise(text).alias("answer"))
 
 
 _JUDGE = f"""WITH {V.SQL_FIELDS}, a AS (SELECT p_partkey AS record_id FROM part WHERE p_partkey % 7 <> 0), d AS (SELECT record_id FROM fields WHERE key = 'diameter'),

@@ -104,7 +104,7 @@ def weakest_k(spark, sf):
     SELECT record_id, brand, coalesce(flagged, 0) AS flagged, overall FROM overall LEFT JOIN f USING (record_id) WHERE brand LIKE '%#1%' AND grade IN ('B', 'C', 'D') ORDER BY coalesce(flagged, 0) DESC, overall, record_id LIMIT 500""")
 def list_records(spark, sf):
     flagged = V.fields(spark, sf).filter("n_error > 0").groupBy("record_id").agg(F.count("*").alias("flagged"))
-    rows = scored(spark, sf).filter(F.col("brand").contains("#1") & F.col("grade").isin("B", "C", "D")).join(flagged, "record_id", "left").withColumn("flagged", F.coalesce("flagged", F.lit(0)))
+    rows = scored(spark, sf).filter(F.col("brand").contains("#1") & F.col("grade").isin("B", "C", "D")).join(tables.growing(flagged), "record_id", "left").withColumn("flagged", F.coalesce("flagged", F.lit(0)))
     return rows.orderBy(F.desc("flagged"), "overall", "record_id").limit(500).select("record_id", "brand", "flagged", "overall")
 
 

@@ -17,7 +17,7 @@ import functools
 import hashlib
 import json
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,9 @@ from pyspark.sql import DataFrame
 
 from skuforge.llm import common, pretoken
 
-CACHE = 300_000
+#: Pre-tokens that a worker keeps with their ids and decimals (digests), and with their ids alone (encoding, also in a pipeline, whose
+#: workers have little room).
+CACHE, IDS_CACHE = 300_000, 100_000
 
 
 @functools.lru_cache(maxsize=1)
@@ -85,7 +87,7 @@ class Codec:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.table = Tokenizer.from_str(model), pretoken.unpacked(table)
-        self.known = pretoken.Known(CACHE)
+        self.known, self.known_ids = pretoken.Known(CACHE), pretoken.Known(IDS_CACHE)
         size = max(ranks.values(), default=-1) + 1
         self.token = [b""] * size
         for token, i in ranks.items():
@@ -100,18 +102,21 @@ class Codec:
         ranks = read_ranks(path)
         return cls(tokenizer_json(ranks), ranks, pretoken.classes("tiktoken"))
 
-    def _make(self, pieces: list[str]) -> list[tuple[bytes, str]]:
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Each piece's ids, as the bytes of 32-bit numbers."""
+        return [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _ids_and_decimals(self, pieces: list[str]) -> list[tuple[bytes, str]]:
         """Each piece's ids, as the bytes of 32-bit numbers and as decimals with a space after each."""
-        made = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        return [(np.array(ids, np.int32).tobytes(), "".join(f"{i} " for i in ids)) for ids in made]
+        return [(ids, "".join(f"{i} " for i in np.frombuffer(ids, np.int32).tolist())) for ids in self._ids(pieces)]
 
-    def _pieces(self, text: str) -> list[tuple[bytes, str]]:
+    def _pieces(self, text: str, known: pretoken.Known, make: Callable[[list[str]], Iterable]) -> list:
         starts = pretoken.spaced_pieces(text, self.table)
-        return self.known.look_up(pretoken.cut(text, starts, np.append(starts[1:], len(text))), self._make) if len(starts) else []
+        return known.look_up(pretoken.cut(text, starts, np.append(starts[1:], len(text))), make) if len(starts) else []
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text."""
-        return np.frombuffer(b"".join([ids for ids, _ in self._pieces(text)]), np.int32)
+        return np.frombuffer(b"".join(self._pieces(text, self.known_ids, self._ids)), np.int32)
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -119,7 +124,7 @@ class Codec:
 
     def encode_decimal(self, text: str) -> tuple[np.ndarray, str]:
         """Ids of a text, and the same as decimals with a space between."""
-        pieces = self._pieces(text)
+        pieces = self._pieces(text, self.known, self._ids_and_decimals)
         return np.frombuffer(b"".join([ids for ids, _ in pieces]), np.int32), "".join([x for _, x in pieces])[:-1]
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:

@@ -109,9 +109,12 @@ _USED: set[str] = set()
 
 def kept(name: str, source: object, make: Callable):
     """make(*source), kept by a worker process for its next tasks as long as source, a broadcast's value, is the same object, and
-    until a task that doesn't ask for it."""
+    until a task that doesn't ask for it. Before something new is made, what this task hasn't asked for goes, so that the stores of
+    two stages aren't held at once."""
     _USED.add(name)
     if name not in _KEPT or _KEPT[name][0] is not source:
+        _KEPT.pop(name, None)
+        drop_unused()
         _KEPT[name] = (source, make(*source))
     return _KEPT[name][1]
 
@@ -123,6 +126,11 @@ def begin() -> None:
 
 def release() -> None:
     """A task ends: what it didn't ask for is kept no longer, and free memory goes back."""
+    drop_unused()
+
+
+def drop_unused() -> None:
+    """Drops what the task hasn't asked for and gives free memory back."""
     for name in set(_KEPT) - _USED:
         del _KEPT[name]
     gc.collect()

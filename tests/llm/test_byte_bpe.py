@@ -84,3 +84,25 @@ def test_offsets_and_split_characters_of_whole_texts(spark, codec):
             at = to
         assert at == len(raw) and r.n_split == len(split) and codec.offsets_of(ids) == spans
         assert r.offsets_sha256 == hashlib.sha256(b"".join(x.to_bytes(8, "little") for s in spans for x in s)).hexdigest()
+
+
+def test_encoding_keeps_ids_alone(monkeypatch):
+    monkeypatch.setattr("skuforge.llm.byte_bpe.IDS_CACHE", 5)
+    codec = Codec.of(P.path("byte_bpe_50k.tiktoken"))
+    text = " ".join(f"word{i} ünd 日本" for i in range(40))
+    assert all(codec.encode(text).tolist() == codec.encode_decimal(text)[0].tolist() for _ in range(3))
+    assert codec.encode_decimal(text)[1] == " ".join(map(str, codec.encode(text).tolist()))
+    assert all(isinstance(v, bytes) for v in codec.known_ids.values.values()) and codec.known_ids.limit == 5
+
+
+def test_stores_of_another_stage_go_before_a_new_one_is_made(monkeypatch):
+    from skuforge.llm import common
+
+    monkeypatch.setattr(common, "_KEPT", {})
+    old, new = ("old",), ("new",)
+    common.begin()
+    common.kept("before", old, str)
+    common.begin()
+    held = []
+    common.kept("now", new, lambda x: held.extend(common._KEPT))
+    assert held == []

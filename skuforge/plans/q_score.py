@@ -119,7 +119,9 @@ def batch_summary(spark, sf):
 def _merged(spark, sf):
     """Statistics of ten batches, each stored by itself, merged."""
     folder = tables.shared_folder(spark) + f"/catalogue-state-{uuid.uuid4().hex}"
-    state.store(state.states(scored(spark, sf), V.fields(spark, sf), D.specs(spark), F.col("record_id") % 10), folder)
+    # written, as each part of a state reads them
+    done, cells = tables.save(scored(spark, sf), "scored"), tables.save(V.fields(spark, sf), "cells")
+    state.store(state.states(done, cells, D.specs(spark), F.col("record_id") % 10), folder)
     return state.merged(state.stored(spark, folder))
 
 

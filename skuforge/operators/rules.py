@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skuforge.sources.tables import growing
+from skuforge.sources.tables import growing, has_key, keys_of
 
 
 @dataclasses.dataclass(frozen=True)
@@ -109,14 +109,15 @@ def rules_sql(table: str, rules: tuple[Rule, ...] = RULES) -> str:
 
 def missing_required(categories: DataFrame, fields: DataFrame, specs: DataFrame) -> DataFrame:
     """record_id and key of required cells that aren't there (MISSING_REQUIRED errors)."""
-    wanted = categories.join(F.broadcast(specs.filter("required").select("category", "key")), "category").select("record_id", "key")
-    return wanted.join(growing(fields.filter("value is not null and value <> ''").select("record_id", "key")), ["record_id", "key"], "left_anti")
+    have = keys_of(fields.filter("value is not null and value <> ''"))
+    known = categories.select("record_id", "category").join(growing(have), "record_id", "left")
+    wanted = known.join(F.broadcast(specs.filter("required").select("category", "key")), "category")
+    return wanted.filter(~has_key("key")).select("record_id", "key")
 
 
 def attach(issues: DataFrame, fields: DataFrame) -> DataFrame:
     """issues(record_id, key, code) with attached: field where that cell exists, else record."""
-    there = fields.select("record_id", "key", F.lit("field").alias("on")).distinct()
-    return issues.join(growing(there), ["record_id", "key"], "left").withColumn("attached", F.coalesce("on", F.lit("record"))).drop("on")
+    return issues.join(growing(keys_of(fields)), "record_id", "left").withColumn("attached", F.when(has_key("key"), "field").otherwise("record")).drop("keys")
 
 
 def replace_issues(old: DataFrame, new: DataFrame, producer: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skuforge.functions import dictionary as D
 from skuforge.operators import canonical, fusion, rules
 from skuforge.plans.registry import query
+from skuforge.sources import tables
 from skuforge.sources import views as V
 
 CAND = f"WITH {V.SQL_CANDIDATES}"
@@ -138,7 +139,7 @@ def missing_required_counts(spark, sf):
 @query("issue_attach", f"WITH {V.SQL_FIELDS}, i AS (SELECT p_partkey AS record_id, CASE WHEN p_partkey % 2 = 0 THEN 'finish' ELSE 'grit' END AS key, 'CHECK' AS code FROM part) SELECT record_id, key, code, CASE WHEN EXISTS (SELECT 1 FROM fields f WHERE f.record_id = i.record_id AND f.key = i.key) THEN 'field' ELSE 'record' END AS attached FROM i")
 def issue_attach(spark, sf):
     k = F.col("p_partkey")
-    issues = V.table(spark, sf, "part").select(k.alias("record_id"), F.when(k % 2 == 0, "finish").otherwise("grit").alias("key"), F.lit("CHECK").alias("code"))
+    issues = tables.spread(V.table(spark, sf, "part"), "p_partkey").select(k.alias("record_id"), F.when(k % 2 == 0, "finish").otherwise("grit").alias("key"), F.lit("CHECK").alias("code"))
     return rules.attach(issues, V.fields(spark, sf))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skuforge.functions import scalars as S
 from skuforge.operators import prompts, rules, runtime
-from skuforge.sources.tables import growing
+from skuforge.sources.tables import growing, has_key, keys_of
 
 # The codes and severities that count, and how many cells a judge is shown.
 CODES = ("VALUE_CONTRADICTS_EVIDENCE", "IMPLAUSIBLE_MAGNITUDE", "INTERNAL_CONTRADICTION", "UNIT_SUSPECT", "WRONG_ATTRIBUTE", "MISSING_CRITICAL")
@@ -46,10 +46,9 @@ def issues(answers: DataFrame, json_col: str, fields: DataFrame) -> DataFrame:
     rows = answers.select("record_id", F.explode(F.from_json(F.get_json_object(text, "$.issues"), ISSUES)).alias("i"))
     rows = rows.select("record_id", F.col("i.field_key").alias("key"), F.upper("i.code").alias("code"), F.lower(F.coalesce("i.severity", F.lit("warning"))).alias("said"), F.substring(F.coalesce("i.message", F.lit("")), 1, 500).alias("message"), F.col("i.suggestion").alias("suggestion"))
     rows = rows.filter(F.col("code").isin(*CODES))
-    there = fields.select("record_id", "key", F.lit(True).alias("there")).distinct()
-    known = F.coalesce("there", F.lit(False)) | (F.col("code") == "MISSING_CRITICAL")
+    known = has_key("key") | (F.col("code") == "MISSING_CRITICAL")
     severity = F.when(F.col("said").isin(*SEVERITIES), F.col("said")).otherwise("warning")
-    return rows.join(growing(there), ["record_id", "key"], "left").select("record_id", F.when(known, F.col("key")).alias("key"), "code", severity.alias("severity"), "message", "suggestion", F.lit("judge").alias("raised_by"))
+    return rows.join(growing(keys_of(fields)), "record_id", "left").select("record_id", F.when(known, F.col("key")).alias("key"), "code", severity.alias("severity"), "message", "suggestion", F.lit("judge").alias("raised_by"))
 
 
 def adjustments(answers: DataFrame, json_col: str) -> DataFrame:

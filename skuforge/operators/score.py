@@ -25,11 +25,15 @@ SQL_PENALISED = "floor(greatest(0e0, confidence - n_error * 35e-2 - n_warning *
 def completeness(categories: DataFrame, fields: DataFrame, specs: DataFrame) -> DataFrame:
     """categories with completeness from 0 to 100: the weights (twice for required keys) of what is filled, half of it
     below a penalised confidence of 0.5."""
-    wanted = categories.join(F.broadcast(specs.select("category", "key", (F.col("weight") * F.when(F.col("required"), 2).otherwise(1)).alias("w"))), "category")
+    wanted = specs.select("category", "key", (F.col("weight") * F.when(F.col("required"), 2).otherwise(1)).alias("w"))
     have = fields.select("record_id", "key", F.when(penalised() >= 0.5, 1.0).otherwise(0.5).alias("credit"))
-    joined = wanted.join(growing(have), ["record_id", "key"], "left")
-    share = F.sum(F.col("w") * F.coalesce("credit", F.lit(0.0))) / F.sum("w")
-    return joined.groupBy(*categories.columns).agg(S.half_up(share * 100, 1).alias("completeness"))
+    # cells meet their record, which needs no shuffle by record and key; what isn't filled counts in the category's total
+    joined = categories.distinct().join(growing(have), "record_id", "left").join(F.broadcast(wanted), ["category", "key"], "left")
+    each = joined.groupBy(*categories.columns, "key", "w").agg(F.sum("credit").alias("credit"), (F.count("*") - 1).alias("again"))
+    got = each.groupBy(*categories.columns).agg(F.coalesce(F.sum(F.col("w") * F.col("credit")), F.lit(0.0)).alias("got"), F.coalesce(F.sum(F.col("w") * F.col("again")), F.lit(0.0)).alias("again"))
+    total = wanted.groupBy("category").agg(F.sum("w").alias("total"))
+    share = F.col("got") / (F.col("total") + F.col("again"))
+    return got.join(F.broadcast(total), "category").select(*categories.columns, S.half_up(share * 100, 1).alias("completeness"))
 
 
 SQL_COMPLETENESS = f"""completeness AS (

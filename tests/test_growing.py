@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from skuforge.operators import score
 from skuforge.plans import registry
 from skuforge.sources.tables import ROWS_A_TASK, spread
 
@@ -40,3 +41,26 @@ def test_rows_are_dealt_by_their_number(spark, tmp_path):
     assert dealt.rdd.getNumPartitions() == 3 and dealt.count() == 2 * ROWS_A_TASK + 1 == dealt.distinct().count()
     few = rows.limit(10)
     assert spread(few, "id") is few
+
+
+@pytest.mark.parametrize("name", ["score_completeness", "score_overall", "batch_uplift", "judge_issues", "issue_attach", "rule_missing_required", "missing_required_counts", "missing_keys"])
+def test_cells_meet_their_record_and_no_shuffle_is_by_record_and_key(spark, name):
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(record_id#\d+L?, key#", plan)
+
+
+@pytest.mark.parametrize("name", ["peer_fill", "peer_fill_tiers", "consensus_fill", "find_outliers"])
+def test_what_is_asked_of_groups_is_not_broadcast_as_it_runs(spark, name):
+    df = registry.queries()[name](spark, "/root/testdata/sf0.01")
+    df.collect()
+    # tables of groups, which stand on the right, may be
+    assert "BuildLeft" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_completeness_of_repeated_cells_and_records(spark):
+    specs = spark.createDataFrame([("c", "a", 3, True), ("c", "b", 2, False), ("d", "a", 1, False)], "category string, key string, weight int, required boolean")
+    cats = spark.createDataFrame([(1, "c"), (2, "c"), (3, "d"), (4, "none"), (1, "c")], "record_id long, category string")
+    cell = "record_id long, key string, confidence double, n_error int, n_warning int, n_info int"
+    fields = spark.createDataFrame([(1, "a", 0.9, 0, 0, 0), (1, "a", 0.3, 0, 0, 0), (1, "z", 0.9, 0, 0, 0), (3, "a", 0.9, 0, 0, 0), (9, "a", 0.9, 0, 0, 0)], cell)
+    got = {r.record_id: r.completeness for r in score.completeness(cats, fields, specs).collect()}
+    assert got == {1: 64.3, 2: 0.0, 3: 100.0}  # record 1: (6 + 3) / (6 + 6 + 2)

@@ -40,6 +40,21 @@ def test_plans_are_as_long_at_any_radius(spark):
     assert sizes[0] == sizes[1]
 
 
+def test_steps_go_by_class_whatever_the_copies(spark, monkeypatch):
+    # 3 kinds of products with 20 copies each; and x and y, which are neighbours of themselves and of each other
+    edges = [(f"product:{i}-{c}", f"{k}:{v}", k) for i in range(3) for c in range(20) for k, v in (("category", i // 2), ("brand", i))] + [(a, b, "loop") for a, b in (("x", "x"), ("y", "x"), ("y", "y"))]
+    starts = [f"product:{i}-{c}" for i in range(2) for c in range(20)] + ["x", "y", "brand:2"]
+    folders, write = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name: folders.append(write(df, name)) or folders[-1])
+    for radius in (1, 2, 4):
+        folders.clear()
+        rows = graph.neighbourhoods(spark.createDataFrame(edges, "product string, node string, kind string"), spark.createDataFrame([(s,) for s in starts], "start string"), radius).collect()
+        want = {(s, n, d) for s in starts for n, d in walk(edges, s, radius).items()}
+        assert {tuple(r) for r in rows} == want and len(rows) == len(want)
+        # 4 classes of starts, 9 of nodes; by node the steps' tables had a row for each of the result's
+        assert spark.read.parquet(*folders).count() <= 4 * 9
+
+
 def test_drawn_elements_of_a_focus_and_of_all(spark):
     edges = [("product:1", "category:bolt", "category"), ("product:1", "brand:a:b", "brand"), ("product:2", "brand:a:b", "brand"), ("product:2", "finish:x\"y", "finish")]
     e = spark.createDataFrame(edges, "product string, node string, kind string")

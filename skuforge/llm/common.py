@@ -47,9 +47,11 @@ class Workspace:
         return f"{self.path}/{self._n:03d}-{what}"
 
     def save(self, df: DataFrame, what: str) -> DataFrame:
-        """Write df and read it again."""
+        """Write df and read it again. The driver collects its garbage in between: Spark deletes a step's shuffle files only when the
+        driver has noticed that nothing refers to them, and its heap goes back to what is in use instead of growing to its limit."""
         to = self.folder(what)
         df.write.parquet(to)
+        self.spark._jvm.System.gc()
         return _Saved.of(self.spark.read.schema(df.schema).parquet(to), to)
 
     def drop(self, df: DataFrame) -> None:

@@ -222,9 +222,9 @@ def _text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def links(docs: DataFrame, work: common.Workspace, *, id_col: str, text_col: str, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(base, nodes, links): id, n, set_key and text_hash of every row; key (a number), set_key and least id of every set;
-    links (a, b) between keys that connect all linked sets."""
+def links(docs: DataFrame, work: common.Workspace, *, id_col: str, text_col: str, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(base, nodes, first, links): id, n, set_key and text_hash of every row; key (a number), set_key and least id of every set;
+    key and label of the sets that the first round connected; links (a, b) between keys that with those connect all linked sets."""
     df = common.only(docs, id=id_col, text=text_col).select("id", "text", _text_hash(F.col("text")).alias("text_hash"))
     sketch = docs.sparkSession.sparkContext.broadcast(_sketch(df.select("text"), n))  # 1 MB whatever the input
     kind = df.schema["id"].dataType.simpleString()
@@ -275,7 +275,7 @@ def links(docs: DataFrame, work: common.Workspace, *, id_col: str, text_col: str
     full = work.save(_full(rows, stands, n), "full")
     found = work.save(_verified(first, full, num, den), "links")
     # second round: whoever has a prefix n-gram in common and isn't connected yet
-    label = components(found, work, "connected").withColumnRenamed("node", "key")
+    label = work.save(components(found, work, "connected").withColumnRenamed("node", "key"), "labels")
     named = work.save(shared.join(label, "key", "left").withColumn("label", F.coalesce("label", "key")), "named")
     by_label = named.groupBy("h", "label").agg(F.count("*").alias("c"))
     by_ngram = by_label.groupBy("h").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("m"))
@@ -289,7 +289,7 @@ def links(docs: DataFrame, work: common.Workspace, *, id_col: str, text_col: str
     second = work.save(pairs_of(a.join(b, meet)).join(first.select("ka", "kb"), ["ka", "kb"], "left_anti"), "pairs")
     more = standing(second).unionByName(hots.select("key").join(nodes.select("key", "set_key", "row"), "key")).distinct()
     full = full.unionByName(work.save(_full(rows, work.save(more.join(stands.select("key"), "key", "left_anti"), "stand"), n), "full"))
-    found = found.unionByName(_verified(second, full, num, den))
+    found = _verified(second, full, num, den)
     # frequent n-grams, block by block
     groups, spread = F.ceil(F.col("n_outside") / GROUP_SETS).cast("int"), lambda count, salt: F.pmod(F.xxhash64("key", F.lit(salt)), count).cast("int")
     upto = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
@@ -299,7 +299,7 @@ def links(docs: DataFrame, work: common.Workspace, *, id_col: str, text_col: str
     outside = hot.filter("outside").select(*sides, spread(F.col("groups"), 3).alias("i"), upto(F.col("blocks")).alias("j"), F.lit(True).alias("left"))
     met = every.unionByName(outside).groupBy("i", "j", *sides).agg(F.max("left").alias("left"), F.max(~F.col("left")).alias("right"))
     in_blocks = met.join(full.join(hots, "key"), "key").groupBy("h", "i", "j").applyInPandas(_verify_blocks(num, den), LINK)
-    return base, nodes, work.save(found.unionByName(in_blocks), "links")
+    return base, nodes, label, work.save(found.unionByName(in_blocks), "links")
 
 
 def _verified(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
@@ -361,9 +361,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def _labelled(docs: DataFrame, work: common.Workspace, id_col: str, text_col: str, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """links' base, and of each set with an id: set_key, label of its component and the component's smallest id."""
-    base, nodes, found = links(docs, work, id_col=id_col, text_col=text_col, n=n, num=num, den=den)
-    label = work.save(components(found, work), "labels").withColumnRenamed("node", "key")
-    ids = nodes.filter("least is not null").select("key", "set_key", "least").join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    base, nodes, first, found = links(docs, work, id_col=id_col, text_col=text_col, n=n, num=num, den=den)
+    # later links go between the first round's components, which needn't be found again
+    for side in ("a", "b"):
+        found = found.join(first.withColumnRenamed("key", side), side, "left").withColumn(side, F.coalesce("label", side)).drop("label")
+    label = components(found, work).withColumnRenamed("label", "last")
+    ids = nodes.filter("least is not null").select("key", "set_key", "least").join(first, "key", "left").withColumn("node", F.coalesce("label", "key"))
+    ids = work.save(ids.join(label, "node", "left").select("set_key", "least", F.coalesce("last", "node").alias("label")), "labels")
     groups = ids.groupBy("label").agg(F.min("least").alias("component"))
     return base, work.save(ids.join(groups, "label").select("set_key", "label", "component"), "component")
 

@@ -158,3 +158,25 @@ def test_look_alikes_of_a_polynomial_hash_are_not_linked(spark):
     a = "".join("ab"[i.bit_count() & 1] for i in range(1 << 10))
     docs = spark.createDataFrame([(1, f"{a} x y"), (2, f"{a.translate(str.maketrans('ab', 'ba'))} x y")], "doc_id long, text string")
     assert {tuple(r) for r in ngram_join.near_duplicates(docs, n=3, num=90, den=100).collect()} == {(1, 1, 1), (2, 1, 2)}
+
+
+def test_what_the_first_round_connected_is_not_connected_again(spark, monkeypatch):
+    seen, find = [], ngram_join.components
+
+    def components(edges, work, what="components"):
+        seen.append(work.save(edges, "asked"))
+        return find(seen[-1], work, what)
+
+    monkeypatch.setattr(ngram_join, "components", components)
+    texts = corpus(3, 12, 30, 120, 4)
+    got = ngram_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), n=3, num=80, den=100)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(list(enumerate(texts)), 3, 80, 100)
+    first, again = ({tuple(r) for r in e.collect()} for e in seen)
+    assert first and not first & again
+
+
+def test_a_written_step_lets_garbage_go(spark):
+    beans = [b for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName()]
+    before = sum(b.getCollectionCount() for b in beans)
+    common.Workspace(spark, "t").save(spark.range(3), "t")
+    assert sum(b.getCollectionCount() for b in beans) > before

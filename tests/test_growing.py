@@ -6,7 +6,7 @@ import pytest
 
 from skuforge.operators import score
 from skuforge.plans import registry
-from skuforge.sources.tables import ROWS_A_TASK, spread
+from skuforge.sources.tables import ROWS_A_TASK, save, spread
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,3 +64,10 @@ def test_completeness_of_repeated_cells_and_records(spark):
     fields = spark.createDataFrame([(1, "a", 0.9, 0, 0, 0), (1, "a", 0.3, 0, 0, 0), (1, "z", 0.9, 0, 0, 0), (3, "a", 0.9, 0, 0, 0), (9, "a", 0.9, 0, 0, 0)], cell)
     got = {r.record_id: r.completeness for r in score.completeness(cats, fields, specs).collect()}
     assert got == {1: 64.3, 2: 0.0, 3: 100.0}  # record 1: (6 + 3) / (6 + 6 + 2)
+
+
+def test_a_written_table_lets_garbage_go(spark):
+    beans = [b for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName()]
+    before = sum(b.getCollectionCount() for b in beans)
+    save(spark.range(3), "t")
+    assert sum(b.getCollectionCount() for b in beans) > before

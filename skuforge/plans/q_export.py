@@ -12,16 +12,18 @@ from skuforge.sources import views as V
 
 BASE = f"WITH {V.SQL_CATEGORY}, {V.SQL_FIELDS}, {D.specs_sql()}"
 KEYS = ["brand", "diameter", "length", "grit", "material"]
+#: Every key that a cell can have.
+ALL_KEYS = [key for key, *_ in V.FIELD_RULES]
 
 
-def _pivot(where: str = "") -> str:
-    values = ", ".join(f"max(CASE WHEN key = '{k}' THEN value END) AS {k}, max(CASE WHEN key = '{k}' AND unit <> '' THEN unit END) AS {k}__unit" for k in KEYS)
+def _pivot(where: str = "", keys: list[str] = KEYS) -> str:
+    values = ", ".join(f"max(CASE WHEN key = '{k}' THEN value END) AS {k}, max(CASE WHEN key = '{k}' AND unit <> '' THEN unit END) AS {k}__unit" for k in keys)
     return f"SELECT record_id, {values} FROM fields {where} GROUP BY 1"
 
 
-@query("flat_pivot", f"{BASE} {_pivot()}")
+@query("flat_pivot", f"{BASE} {_pivot(keys=ALL_KEYS)}")
 def flat_pivot(spark, sf):
-    return export.flat(V.fields(spark, sf), KEYS)
+    return export.flat(V.fields(spark, sf), ALL_KEYS)
 
 
 @query("flat_publishable", f"{BASE} {_pivot(f'WHERE {score.SQL_PENALISED} >= 4e-1')}")

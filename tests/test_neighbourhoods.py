@@ -55,6 +55,22 @@ def test_steps_go_by_class_whatever_the_copies(spark, monkeypatch):
         assert spark.read.parquet(*folders).count() <= 4 * 9
 
 
+@pytest.mark.parametrize("members", (256, 7))
+def test_starts_and_nodes_meet_in_lists(spark, monkeypatch, members):
+    # 30 kinds of products with 20 copies each: 61 classes, and 600 starts
+    monkeypatch.setattr(graph, "MEMBERS_A_LIST", members, raising=False)
+    monkeypatch.setattr(graph, "PAIRS_A_TASK", 20_000, raising=False)
+    edges = [(f"product:{i}-{c}", f"{k}:{v}", k) for i in range(30) for c in range(20) for k, v in (("category", 0), ("brand", i))]
+    starts = sorted({p for p, _, _ in edges})
+    near = graph.neighbourhoods(spark.createDataFrame(edges, "product string, node string, kind string"), spark.createDataFrame([(s,) for s in starts], "start string"), 3)
+    rows = near.collect()
+    want = {(s, n, d) for s in starts for n, d in walk(edges, s, 3).items()}
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want)
+    # every start meets every class; those were rows of their own, shuffled, sorted and joined with the nodes as the last step
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.find("Generate explode(nodes") < plan.find("REPARTITION_BY_NUM") < plan.find("Join")
+
+
 def test_drawn_elements_of_a_focus_and_of_all(spark):
     edges = [("product:1", "category:bolt", "category"), ("product:1", "brand:a:b", "brand"), ("product:2", "brand:a:b", "brand"), ("product:2", "finish:x\"y", "finish")]
     e = spark.createDataFrame(edges, "product string, node string, kind string")
